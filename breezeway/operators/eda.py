@@ -11,7 +11,8 @@ from breezeway.operators.percentiles import exact_percentiles, percentile_name
 from breezeway.operators.series import Series
 from breezeway.operators.shape import numeric_columns, unpivot_row
 
-ROWS = F.count(F.lit(1))
+def _rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def _with_percentiles(wide: DataFrame, df: DataFrame, columns: list[str], probs: list[float], s: Series) -> DataFrame:
@@ -51,7 +52,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     """Type, rows, known values and distinct values of each column."""
     columns = columns or df.columns
     wide = df.agg(
-        ROWS.alias("_rows"),
+        _rows().alias("_rows"),
         *[F.count(c).alias(f"{c}_n") for c in columns],
         *[F.countDistinct(c).alias(f"{c}_d") for c in columns])
     records = [
@@ -65,13 +66,13 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 def type_histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows, columns and number of columns per type."""
     return column_profile(df, columns).groupBy("type").agg(
-        ROWS.alias("columns"), F.max("rows").alias("rows"))
+        _rows().alias("columns"), F.max("rows").alias("rows"))
 
 
 def missing_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Missing count and percentage of the columns that miss any, largest first."""
     columns = columns or df.columns
-    wide = df.agg(ROWS.alias("_rows"), *[F.count(c).alias(c) for c in columns])
+    wide = df.agg(_rows().alias("_rows"), *[F.count(c).alias(c) for c in columns])
     rows = F.col("_rows")
     records = [
         {"column": F.lit(c), "missing_count": rows - F.col(c),
@@ -84,7 +85,7 @@ def missing_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 def category_distribution(df: DataFrame, category: Column | None = None) -> DataFrame:
     """Count and percentage per category, by name."""
     category = epa_short_category(F.col("aqi")) if category is None else category
-    counts = df.groupBy(category.alias("category")).agg(ROWS.alias("n"))
+    counts = df.groupBy(category.alias("category")).agg(_rows().alias("n"))
     # at most one row per category reaches this window
     share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())
     return counts.withColumn("percentage", share).orderBy("category")
@@ -103,7 +104,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     placed = known.withColumn("e", ends.scalar())
     width = F.col("e.hi") - F.col("e.lo")
     position = F.floor((F.col("x") - F.col("e.lo")) / width * bins)
-    counts = placed.groupBy(F.least(position, F.lit(bins - 1)).cast("int").alias("bin")).agg(ROWS.alias("n"))
+    counts = placed.groupBy(F.least(position, F.lit(bins - 1)).cast("int").alias("bin")).agg(_rows().alias("n"))
     frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     out = frame.join(counts, "bin", "left").withColumn("e", ends.scalar())
     edge = lambda k: F.col("e.lo") + width * k / F.lit(float(bins))

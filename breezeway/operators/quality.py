@@ -13,16 +13,17 @@ from breezeway.operators.series import Series
 from breezeway.operators.shape import first_present, unpivot_row, where_present
 from breezeway.operators.windows import with_gap, with_run_id
 
-ROWS = F.count(F.lit(1))
+def _rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def row_count(df: DataFrame, where: Column | None = None) -> DataFrame:
-    return (df if where is None else df.filter(where)).agg(ROWS.alias("n"))
+    return (df if where is None else df.filter(where)).agg(_rows().alias("n"))
 
 
 def count_by(df: DataFrame, column: str, present_only: bool = False) -> DataFrame:
     df = where_present(df, column) if present_only else df
-    return df.groupBy(column).agg(ROWS.alias("n"))
+    return df.groupBy(column).agg(_rows().alias("n"))
 
 
 def field_range(df: DataFrame, column: str) -> DataFrame:
@@ -83,7 +84,7 @@ def detect_target_scale(df: DataFrame, candidates: list[str] = V.TARGET_CANDIDAT
 def index_stats(df: DataFrame) -> DataFrame:
     """Spread of the index and of pm2_5."""
     return df.agg(
-        ROWS.alias("n"),
+        _rows().alias("n"),
         F.min("aqi").alias("aqi_min"), F.max("aqi").alias("aqi_max"),
         F.stddev_samp("aqi").alias("aqi_std"), F.countDistinct("aqi").alias("aqi_unique"),
         F.min("pm2_5").alias("pm2_5_min"), F.max("pm2_5").alias("pm2_5_max"),
@@ -93,7 +94,7 @@ def index_stats(df: DataFrame) -> DataFrame:
 def training_gates(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Row-count and variance gates before training."""
     std = F.round(F.stddev_samp("aqi"), 9)
-    stats = df.groupBy(*(key or [])).agg(ROWS.alias("n"), std.alias("aqi_std"))
+    stats = df.groupBy(*(key or [])).agg(_rows().alias("n"), std.alias("aqi_std"))
     n, spread = F.col("n"), F.col("aqi_std")
     return stats.withColumns({
         "few_rows": n < 168,
@@ -109,8 +110,8 @@ SAMPLE_GATES = {"adaptive": (30, 20), "simple": (20, 10), "warn": (50, None), "s
 
 def sample_gates(raw: DataFrame, clean: DataFrame, key: list[str] = ["location"]) -> DataFrame:
     """Which uses each entity has enough rows for."""
-    raw_n = raw.groupBy(*key).agg(ROWS.alias("raw_rows"))
-    clean_n = clean.groupBy(*key).agg(ROWS.alias("clean_rows"))
+    raw_n = raw.groupBy(*key).agg(_rows().alias("raw_rows"))
+    clean_n = clean.groupBy(*key).agg(_rows().alias("clean_rows"))
     counts = raw_n.join(clean_n, key, "left").withColumn(
         "clean_rows", F.coalesce(F.col("clean_rows"), F.lit(0)))
     gates = {}
@@ -122,14 +123,14 @@ def sample_gates(raw: DataFrame, clean: DataFrame, key: list[str] = ["location"]
 
 def with_enough_rows(df: DataFrame, least: int, s: Series = Series()) -> DataFrame:
     """Rows of the entities that have at least ``least`` rows."""
-    enough = df.groupBy(*s.key).agg(ROWS.alias("_n")).filter(F.col("_n") >= least).drop("_n")
+    enough = df.groupBy(*s.key).agg(_rows().alias("_n")).filter(F.col("_n") >= least).drop("_n")
     return df.join(enough, list(s.key), "left_semi").select(*df.columns)
 
 
 def time_span(df: DataFrame, s: Series = Series()) -> DataFrame:
     t = micros(F.col(s.ts))
     return df.groupBy(*s.key).agg(
-        ROWS.alias("n"), F.min(s.ts).alias("first_ts"), F.max(s.ts).alias("last_ts"),
+        _rows().alias("n"), F.min(s.ts).alias("first_ts"), F.max(s.ts).alias("last_ts"),
         (F.max(t) - F.min(t)).alias("span_micros"))
 
 
@@ -150,7 +151,7 @@ def large_gaps(df: DataFrame, s: Series = Series(), hours: int = V.LARGE_GAP_HOU
     gaps = with_gap(df.select(*key, *s.order), s)
     large = gaps.filter(F.col("gap_micros") > hours * 60 * MICROS_PER_MINUTE)
     first = large.withColumn("rank", F.row_number().over(s.window())).filter(F.col("rank") <= show)
-    counts = large.groupBy(*key).agg(ROWS.alias("large_gaps"))
+    counts = large.groupBy(*key).agg(_rows().alias("large_gaps"))
     return first.join(counts, key).select(*key, s.ts, "gap_micros", "rank", "large_gaps")
 
 
@@ -158,7 +159,7 @@ def runs(df: DataFrame, s: Series = Series(), minutes: int = V.RUN_GAP_MINUTES)
     """One row per run of readings without a gap over ``minutes``."""
     key = list(s.key)
     return with_run_id(df.select(*key, *s.order), s, minutes).groupBy(*key, "run_id").agg(
-        ROWS.alias("run_rows"), F.min(s.ts).alias("run_start"), F.max(s.ts).alias("run_end"))
+        _rows().alias("run_rows"), F.min(s.ts).alias("run_start"), F.max(s.ts).alias("run_end"))
 
 
 def run_lengths(df: DataFrame, s: Series = Series()) -> DataFrame:
@@ -169,7 +170,7 @@ def run_lengths(df: DataFrame, s: Series = Series()) -> DataFrame:
 def run_summary(df: DataFrame, s: Series = Series()) -> DataFrame:
     """Number of runs of more than one row and the longest, per entity."""
     return run_lengths(df, s).groupBy(*s.key).agg(
-        ROWS.alias("n_runs"), F.max("run_rows").alias("longest_run"))
+        _rows().alias("n_runs"), F.max("run_rows").alias("longest_run"))
 
 
 def data_quality(df: DataFrame, s: Series = Series()) -> DataFrame:
@@ -187,6 +188,6 @@ def daily_coverage(df: DataFrame, s: Series = Series()) -> DataFrame:
     n = F.col("records")
     return (
         df.groupBy(*s.key, F.to_date(s.ts).alias("date"))
-        .agg(ROWS.alias("records"))
+        .agg(_rows().alias("records"))
         .withColumn("status", F.when(n >= 20, "good").when(n >= 10, "partial").otherwise("poor"))
     )

@@ -61,7 +61,8 @@ def simple_features(df: DataFrame, forecast_hours: int = 24, s: Series = Series(
                     subset: list[str] | None = None) -> DataFrame:
     """Short lags and full-frame means with the target; rows missing any value are dropped.
 
-    ``subset=None`` looks at every column, so rows without a gust value go too.
+    ``subset=None`` looks at every column, so rows without a gust value go too;
+    ``subset=[]`` drops nothing.
     """
     df = ensure_columns(df, SIMPLE_WEATHER)
     columns, lags = LAG_SETS["simple"]
@@ -74,7 +75,8 @@ def simple_features(df: DataFrame, forecast_hours: int = 24, s: Series = Series(
             *lead_columns(w, {f"target_aqi_{forecast_hours}h": forecast_hours}),
         ]
 
-    return drop_missing(with_windows(df, build, s, back=6, ahead=forecast_hours), subset)
+    out = with_windows(df, build, s, back=6, ahead=forecast_hours)
+    return out if subset == [] else drop_missing(out, subset)
 
 
 def adaptive_features(df: DataFrame, use_lags: bool = False, s: Series = Series(),
