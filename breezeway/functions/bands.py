@@ -110,6 +110,22 @@ def scale_of_value(value: Column) -> Column:
     )
 
 
+def display_round(value: Column, places: int) -> Column:
+    """Round an index for display by its exact binary value, half to even.
+
+    ``F.round`` looks at the shortest decimal form, so 2.175 (just below the
+    half in binary) would go up. The value is scaled to whole multiples of
+    2**-52, which is exact from 1 to 16; other values use ``F.round``.
+    """
+    scale = 10**places
+    units = (value * F.lit(float(1 << 52))).try_cast("long") * scale
+    whole, rest = F.shiftright(units, 52), units.bitwiseAND(F.lit((1 << 52) - 1))
+    half = F.lit(1 << 51)
+    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+    exact = (whole + up.cast("long")) / F.lit(float(scale))
+    return F.when(value.between(1, 16), exact).otherwise(F.round(value, places))
+
+
 def clip_index(value: Column, low: float = 1.0, high: float = 5.0) -> Column:
     """Clip to the five-step scale; NULL stays NULL."""
     return F.when(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from breezeway.functions import fixed_values as V
 from breezeway.functions.bands import (
-    clip_index, five_step_category, five_step_colour, five_step_message, five_step_text_colour,
+    clip_index, display_round, five_step_category, five_step_colour, five_step_message, five_step_text_colour,
 )
 from breezeway.functions.calendar import hours_after
 from breezeway.operators.quality import with_enough_rows
@@ -111,8 +111,8 @@ def forecast(rows: DataFrame, scorers: dict[str, Scorer], models: DataFrame | No
             *s.key,
             F.lit(horizon).alias("horizon"),
             hours_after(F.col(s.ts), F.lit(hours_of(horizon))).alias("forecast_time"),
-            F.round(value, 2).alias("predicted_aqi"),
-            F.round(value, 1).alias("display_aqi"),
+            display_round(value, 2).alias("predicted_aqi"),
+            display_round(value, 1).alias("display_aqi"),
             five_step_category(value).alias("aqi_category"),
             five_step_colour(value).alias("color"),
             F.lit(None).cast("string").alias("confidence")))

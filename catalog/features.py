@@ -233,7 +233,7 @@ feats AS (
          max(pm2_5) {frame(48)} AS pm2_5_rolling_max_48h FROM recent),
 last_rows AS (SELECT * FROM feats WHERE back = 1 AND n >= 50),
 scored AS ({FORECAST_SQL})
-SELECT location, horizon, forecast_time, {r('p', 2)} AS predicted_aqi, {r('p', 1)} AS display_aqi,
+SELECT location, horizon, forecast_time, CAST(printf('%.2f', p) AS DOUBLE) AS predicted_aqi, CAST(printf('%.1f', p) AS DOUBLE) AS display_aqi,
        {category_sql('p')} AS aqi_category, {colour_sql('p')} AS color, CAST(NULL AS VARCHAR) AS confidence
 FROM scored""")
 def _(spark, sf):

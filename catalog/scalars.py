@@ -141,12 +141,16 @@ on_events("f21_horizon_hours", f"try_cast(replace({HORIZON}, 'h', '') AS INTEGER
           ("hours", lambda: calendar.horizon_hours(horizon())))
 on_events("f22_forecast_time", "ts + to_hours(24 * (event_id % 3 + 1)) AS forecast_time",
           ("forecast_time", lambda: calendar.hours_after(ts().cast("timestamp"), (F.lit(24) * (F.col("event_id") % 3 + 1)).cast("int"))))
-on_events("f23_display_rounding", f"{r('value / 64', 2)} AS two_places, {r('value / 64', 1)} AS one_place, {category_sql('value / 64')} AS category",
-          ("two_places", lambda: F.round(value() / 64, 2)), ("one_place", lambda: F.round(value() / 64, 1)),
-          ("category", lambda: bands.five_step_category(value() / 64)))
+PREDICTED = "greatest(1e0, least(5e0, value / 40))"
+predicted = lambda: bands.clip_index(value() / 40)
+on_events("f23_display_rounding", f"CAST(printf('%.2f', {PREDICTED}) AS DOUBLE) AS two_places, "
+          f"CAST(printf('%.1f', {PREDICTED}) AS DOUBLE) AS one_place, {category_sql(PREDICTED)} AS category",
+          ("two_places", lambda: bands.display_round(predicted(), 2)),
+          ("one_place", lambda: bands.display_round(predicted(), 1)),
+          ("category", lambda: bands.five_step_category(predicted())))
 on_events("f24_version_stamp", "strftime(ts, 'v%Y%m%d_%H%M') AS version", ("version", lambda: calendar.version_stamp(ts())))
-on_events("f25_minutes_since", f"{r('(epoch_us(ts) - epoch_us(TIMESTAMP ' + chr(39) + '2024-01-01' + chr(39) + ')) / 60000000e0')} AS minutes",
-          ("minutes", lambda: F.round(calendar.minutes_between(ts(), F.lit("2024-01-01").cast("timestamp")), 6)))
+on_events("f25_minutes_since", "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 60000000e0 AS minutes",
+          ("minutes", lambda: calendar.minutes_between(ts(), F.lit("2024-01-01").cast("timestamp"))))
 on_events("f26_json_path", "CAST(json_extract(props, '$.k') AS INTEGER) AS k",
           ("k", lambda: F.from_json("props", "k int")["k"]))
 on_events("f27_regex_match", "regexp_matches(event_type, 'i[a-z]*n|ck') AS matches",
