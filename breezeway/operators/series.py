@@ -273,6 +273,7 @@ def running_count(counts: DataFrame, group: list[str], order: str, amount: str,
 
     Meant for value counts of unknown size: ordered blocks instead of one task per group.
     """
+    counts = materialise(counts, "value-counts")
     rows = counts.count()
     blocks, parts = _range_blocks(counts, [*group, order], rows, s.max_rows)
     totals = blocks.groupBy(*group, "_block").agg(F.sum(amount).alias("_amount"))

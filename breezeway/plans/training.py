@@ -11,9 +11,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -71,14 +71,20 @@ def deep_boosting(rounds: int = 100) -> GBTRegressor:
     return gradient_boosting(rounds, depth=6, rate=0.3)
 
 
-def ridge(train: DataFrame, alpha: float = 1.0) -> LinearRegression:
-    """Ridge with penalty ``alpha * |w|**2`` on the sum of squares.
+def ridge(train: DataFrame, alpha: float = 1.0) -> Pipeline:
+    """Ridge with penalty ``alpha * |w|**2`` on the sum of squares, in closed form.
 
     Spark's penalty applies to the mean and to the scaled label, hence the factor.
+    Constant features, which carry no weight, are left out: Spark does not
+    penalise them, so they would make the closed form singular.
     """
     stats = train.agg(F.stddev_pop("label").alias("sd"), F.count("label").alias("n")).first()
     penalty = alpha * (stats["sd"] or 1.0) / max(stats["n"], 1)
-    return LinearRegression(elasticNetParam=0.0, standardization=False, solver="normal", regParam=penalty)
+    return Pipeline(stages=[
+        VarianceThresholdSelector(featuresCol="features", outputCol="varying", varianceThreshold=0.0),
+        LinearRegression(featuresCol="varying", elasticNetParam=0.0, standardization=False,
+                         solver="normal", regParam=penalty),
+    ])
 
 
 Candidates = dict[str, Callable[[DataFrame], Estimator]]
@@ -284,4 +290,4 @@ def load_model(registry_row) -> PipelineModel:
 
 def scorer_of(model: PipelineModel):
     """A scorer for ``serving.forecast``."""
-    return lambda rows: model.transform(rows).drop("features")
+    return lambda rows: model.transform(rows).drop("features", "varying")
