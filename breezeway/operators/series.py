@@ -164,26 +164,34 @@ def chunk_window(s: Series) -> WindowSpec:
     return Window.partitionBy(*s.key, "_chunk").orderBy("_pos")
 
 
-def with_windows(
+def with_window_steps(
     df: DataFrame,
-    build: Callable[[WindowSpec], list[Column]],
+    steps: Callable[[DataFrame, WindowSpec], DataFrame],
     s: Series,
     back: int = 0,
     ahead: int = 0,
 ) -> DataFrame:
-    """Add window columns that look at most ``back`` rows behind and ``ahead`` rows on.
+    """Apply window ``steps`` that together look ``back`` rows behind and ``ahead`` rows on.
 
-    ``build`` receives the ordered window and returns aliased columns.
+    ``steps`` receives the rows and their ordered window; it may use windows
+    over columns made by earlier windows, and must keep all columns.
     """
     split = split_by_size(df, s)
-    out = split.cold.select("*", *build(s.window()))
+    out = steps(split.cold, s.window())
     if split.hot is None:
         return out
     chunks = chunk_rows(place_hot(split, s), s, back, ahead)
-    hot = chunks.select("*", *build(chunk_window(s))).filter("_own")
+    hot = steps(chunks, chunk_window(s)).filter("_own")
     return out.unionByName(hot.select(*out.columns))
 
 
+def with_windows(
+    df: DataFrame, build: Callable[[WindowSpec], list[Column]], s: Series, back: int = 0, ahead: int = 0,
+) -> DataFrame:
+    """Add window columns; ``build`` receives the ordered window and returns aliased columns."""
+    return with_window_steps(df, lambda rows, w: rows.select("*", *build(w)), s, back, ahead)
+
+
 def with_positions(df: DataFrame, s: Series, pos: str = "_pos", total: str = "_total") -> DataFrame:
     """Add each row's 1-based place in its entity and the entity's row count."""
     split = split_by_size(df, s)

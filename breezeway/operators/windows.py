@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from breezeway.functions import fixed_values as V
 from breezeway.functions.calendar import MICROS_PER_MINUTE, micros
-from breezeway.operators.series import Series, with_last_known, with_positions, with_runs, with_windows
+from breezeway.operators.series import Series, with_last_known, with_positions, with_runs, with_window_steps, with_windows
 
 LAG_SETS = {
     "full": (["pm2_5", "pm10", "aqi"], [1, 3, 6, 12, 24]),
@@ -42,25 +42,113 @@ def change(w: WindowSpec, column: str, n: int) -> Column:
     return F.col(column) - F.lag(column, n).over(w)
 
 
-def day_rolling_columns(w: WindowSpec, columns: list[str]) -> list[Column]:
+def full_mean_columns(w: WindowSpec, columns: list[str], sizes: list[int]) -> list[Column]:
+    return [rolling_full_mean(w, c, n).alias(f"{c}_rolling_mean_{n}h") for n in sizes for c in columns]
+
+
+# Doubling frames. A frame of 2k rows is the frame of the last k rows merged with
+# the same frame k rows back, so each size costs one lag instead of a pass over
+# its rows. A frame's state is (n, total, q, high, low); q is the sum of squared
+# deviations, merged by the pairwise formula, which is as stable as one pass.
+
+DOUBLING = [3, 6, 12, 24, 48]
+
+
+def _state(column: str, n: int) -> str:
+    return f"_{column}_last_{n}"
+
+
+def _first_state(values: list[Column]) -> Column:
+    """State of the few given values, any of them may be missing."""
+    values = [v.cast("double") for v in values]
+    n = sum((v.isNotNull().cast("double") for v in values), F.lit(0.0))
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in values), F.lit(0.0))
+    mean = F.try_divide(total, n)
+    q = sum((F.coalesce((v - mean) * (v - mean), F.lit(0.0)) for v in values), F.lit(0.0))
+    return F.struct(n.alias("n"), total.alias("total"), q.alias("q"),
+                    F.greatest(*values).alias("high"), F.least(*values).alias("low"))
+
+
+def _merged(a: str, b: str) -> Column:
+    """State of two adjoining frames; ``b`` is NULL before the first row."""
+    part = lambda side, name: F.col(f"{side}.{name}")
+    na, nb = part(a, "n"), F.coalesce(part(b, "n"), F.lit(0.0))
+    apart = F.try_divide(part(b, "total"), nb) - F.try_divide(part(a, "total"), na)
+    between = F.coalesce(apart * apart * F.try_divide(na * nb, na + nb), F.lit(0.0))
+    return F.struct(
+        (na + nb).alias("n"),
+        (part(a, "total") + F.coalesce(part(b, "total"), F.lit(0.0))).alias("total"),
+        (part(a, "q") + F.coalesce(part(b, "q"), F.lit(0.0)) + between).alias("q"),
+        F.greatest(part(a, "high"), part(b, "high")).alias("high"),
+        F.least(part(a, "low"), part(b, "low")).alias("low"))
+
+
+def with_frame_states(df: DataFrame, w: WindowSpec, columns: list[str], upto: int = DOUBLING[-1],
+                      last: list[Column] | None = None) -> DataFrame:
+    """Add the state of the last 3, 6, ... ``upto`` rows for each column.
+
+    The window columns ``last`` ride along with the final lag, so that the rows
+    stay narrow until then.
+    """
+    recent = [F.lag(c, k).over(w).alias(f"_{c}_{k}_back") for c in columns for k in (1, 2)]
+    df = df.select("*", *recent)
+    df = df.withColumns({
+        _state(c, 3): _first_state([F.col(c), F.col(f"_{c}_1_back"), F.col(f"_{c}_2_back")]) for c in columns
+    }).drop(*[f"_{c}_{k}_back" for c in columns for k in (1, 2)])
+    for n in DOUBLING:
+        if n == upto:
+            break
+        earlier = [F.lag(_state(c, n), n).over(w).alias(f"_{c}_earlier") for c in columns]
+        df = df.select("*", *earlier, *(last or [] if 2 * n == upto else []))
+        df = df.withColumns({_state(c, 2 * n): _merged(_state(c, n), f"_{c}_earlier") for c in columns})
+        df = df.drop(*[f"_{c}_earlier" for c in columns])
+    return df
+
+
+def from_state(column: str, n: int, how: str) -> Column:
+    """A statistic of the last ``n`` rows; partial frames at the start count as they are."""
+    part = lambda name: F.col(f"{_state(column, n)}.{name}")
+    if how == "std":
+        return F.when(part("n") > 1, F.sqrt(part("q") / (part("n") - 1)))
+    return {"mean": F.try_divide(part("total"), part("n")), "max": part("high"), "min": part("low")}[how]
+
+
+def drop_states(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_") and "_last_" in c])
+
+
+def rolling_columns(parts: dict[str, list[str]], sizes: list[int]) -> list[Column]:
+    return [
+        from_state(c, n, how).alias(f"{c}_rolling_{how}_{n}h")
+        for n in sizes for c, hows in parts.items() for how in hows
+    ]
+
+
+def day_rolling_columns(columns: list[str]) -> list[Column]:
     """24-row means, and the deviation of pm2_5 (0 where a single value has none)."""
     out = []
     for c in columns:
-        out.append(rolling(w, c, 24, "mean").alias(f"{c}_rolling_24h_mean"))
+        out.append(from_state(c, 24, "mean").alias(f"{c}_rolling_24h_mean"))
         if c == "pm2_5":
-            out.append(F.coalesce(rolling(w, c, 24, "std"), F.lit(0.0)).alias(f"{c}_rolling_24h_std"))
+            out.append(F.coalesce(from_state(c, 24, "std"), F.lit(0.0)).alias(f"{c}_rolling_24h_std"))
     return out
 
 
-def full_mean_columns(w: WindowSpec, columns: list[str], sizes: list[int]) -> list[Column]:
-    return [rolling_full_mean(w, c, n).alias(f"{c}_rolling_mean_{n}h") for n in sizes for c in columns]
+def with_rolling(df: DataFrame, parts: dict[str, list[str]], sizes: list[int] = DOUBLING,
+                 s: Series = Series()) -> DataFrame:
+    """Rolling statistics of the last 3, 6, 12, 24 or 48 rows."""
+    def steps(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = with_frame_states(rows, w, list(parts), max(sizes))
+        return drop_states(rows.select("*", *rolling_columns(parts, sizes)))
 
+    return with_window_steps(df, steps, s, back=max(sizes))
 
-def advanced_rolling_columns(w: WindowSpec, parts: dict[str, list[str]], sizes: list[int]) -> list[Column]:
-    return [
-        rolling(w, c, n, how).alias(f"{c}_rolling_{how}_{n}h")
-        for n in sizes for c, hows in parts.items() for how in hows
-    ]
+
+def with_day_rolling(df: DataFrame, columns: list[str], s: Series = Series()) -> DataFrame:
+    def steps(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        return drop_states(with_frame_states(rows, w, columns, 24).select("*", *day_rolling_columns(columns)))
+
+    return with_window_steps(df, steps, s, back=24)
 
 
 def change_columns(w: WindowSpec) -> list[Column]:

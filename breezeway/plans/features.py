@@ -1,4 +1,4 @@
-"""Feature sets. Each one is a single pass over one ordered window."""
+"""Feature sets. Each one shuffles and sorts its rows once."""
 
 from __future__ import annotations
 
@@ -10,11 +10,11 @@ from breezeway.functions.derived import (
     pollution_products, present, weather_products, weather_products_with_defaults,
 )
 from breezeway.operators.quality import data_quality
-from breezeway.operators.series import Series, with_windows
+from breezeway.operators.series import Series, with_window_steps, with_windows
 from breezeway.operators.shape import drop_missing, ensure_columns
 from breezeway.operators.windows import (
-    LAG_SETS, advanced_rolling_columns, change_columns, day_rolling_columns, full_mean_columns,
-    lag_columns, weather_change_columns,
+    DOUBLING, LAG_SETS, change_columns, day_rolling_columns, drop_states, full_mean_columns, lag_columns,
+    rolling_columns, weather_change_columns, with_frame_states,
 )
 
 FULL_CALENDAR = ["hour", "day_of_week", "day_of_month", "month", "is_weekend",
@@ -27,7 +27,7 @@ SIMPLE_WEATHER = ["temperature", "humidity", "pressure", "wind_speed", "clouds"]
 ADAPTIVE_WEATHER = ["pm2_5", "pm10", *SIMPLE_WEATHER]
 ADVANCED_RAW = ["pm2_5", "pm10", *SIMPLE_WEATHER]
 SHORT_SIZES = [3, 6]
-ADVANCED_SIZES = [3, 6, 12, 24, 48]
+ADVANCED_SIZES = DOUBLING
 ADVANCED_ROLLING = {"pm2_5": ["mean", "std", "max", "min"], "aqi": ["mean", "std"]}
 ADVANCED_BACK = 48
 
@@ -45,16 +45,15 @@ def full_features(df: DataFrame, horizons: list[str] | None = None, s: Series =
     tracked = [c for c in LAG_SETS["full"][0] if c in df.columns]
     targets = {f"aqi_{h}_ahead": hours_of(h) for h in horizons or []} if "aqi" in df.columns else {}
 
-    def build(w: WindowSpec) -> list[Column]:
-        return [
-            *calendar_columns(F.col(s.ts), FULL_CALENDAR),
-            *lag_columns(w, tracked, LAG_SETS["full"][1]),
-            *day_rolling_columns(w, tracked),
-            *weather_products(df),
-            *lead_columns(w, targets),
-        ]
+    products = weather_products(df)
 
-    return with_windows(df, build, s, back=24, ahead=max(targets.values(), default=0))
+    def steps(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        ordered = [*lag_columns(w, tracked, LAG_SETS["full"][1]), *lead_columns(w, targets)]
+        rows = with_frame_states(rows, w, tracked, 24, ordered)
+        own = [*calendar_columns(F.col(s.ts), FULL_CALENDAR), *day_rolling_columns(tracked), *products]
+        return drop_states(rows.select("*", *own))
+
+    return with_window_steps(df, steps, s, back=24, ahead=max(targets.values(), default=0))
 
 
 def simple_features(df: DataFrame, forecast_hours: int = 24, s: Series = Series(),
@@ -116,19 +115,21 @@ def advanced_features(df: DataFrame, s: Series = Series(), targets: dict[str, in
     """The 75 engineered columns of the tuned models, used for training and serving alike."""
     columns, lags = LAG_SETS["advanced"]
 
-    def build(w: WindowSpec) -> list[Column]:
-        return [
+    def steps(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        ordered = [
+            *lag_columns(w, columns, lags), *change_columns(w), *weather_change_columns(w),
+            *lead_columns(w, targets or {}),
+        ]
+        rows = with_frame_states(rows, w, list(ADVANCED_ROLLING), max(ADVANCED_SIZES), ordered)
+        own = [
             *calendar_columns(F.col(s.ts), ADVANCED_CALENDAR),
-            *lag_columns(w, columns, lags),
-            *advanced_rolling_columns(w, ADVANCED_ROLLING, ADVANCED_SIZES),
-            *change_columns(w),
+            *rolling_columns(ADVANCED_ROLLING, ADVANCED_SIZES),
             *pollution_products(),
-            *weather_change_columns(w),
-            *lead_columns(w, targets or {}),
         ]
+        return drop_states(rows.select("*", *own))
 
     ahead = max((targets or {}).values(), default=0)
-    return with_windows(df, build, s, back=ADVANCED_BACK, ahead=ahead)
+    return with_window_steps(df, steps, s, back=ADVANCED_BACK, ahead=ahead)
 
 
 def advanced_feature_names() -> list[str]:

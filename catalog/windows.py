@@ -42,6 +42,12 @@ def over(df, build, back):
     return out.select(*IDS, *[c for c in out.columns if c not in names])
 
 
+def rolled(df, parts):
+    names = df.columns
+    out = win.with_rolling(df, parts, SIZES, S)
+    return out.select(*IDS, *[c for c in out.columns if c not in names])
+
+
 def _lags(which):
     columns, lags = win.LAG_SETS[which]
 
@@ -65,16 +71,15 @@ query("w03_long_lags_of_sensor_rows", select_sql(lag_sql(*win.LAG_SETS["advanced
 @query("w04_day_rolling_mean", select_sql(
     [f"avg({c}) {frame(24)} AS {c}_rolling_24h_mean" for c in ("pm2_5", "pm10", "aqi")]))
 def _(spark, sf):
-    df = base(spark, sf, "pm2_5", "pm10", "aqi")
-    build = lambda w: [win.rolling(w, c, 24, "mean").alias(f"{c}_rolling_24h_mean") for c in ("pm2_5", "pm10", "aqi")]
-    return over(df, build, 24)
+    out = win.with_day_rolling(base(spark, sf, "pm2_5", "pm10", "aqi"), ["pm2_5", "pm10", "aqi"], S)
+    return out.select(*IDS, *[f"{c}_rolling_24h_mean" for c in ("pm2_5", "pm10", "aqi")])
 
 
 @query("w05_day_rolling_std", select_sql(
     [r(f"coalesce(stddev_samp(pm2_5) {frame(24)}, 0)") + " AS pm2_5_rolling_24h_std"]))
 def _(spark, sf):
-    std = lambda w: F.round(F.coalesce(win.rolling(w, "pm2_5", 24, "std"), F.lit(0.0)), 6)
-    return over(base(spark, sf, "pm2_5"), lambda w: [std(w).alias("pm2_5_rolling_24h_std")], 24)
+    out = win.with_day_rolling(base(spark, sf, "pm2_5"), ["pm2_5"], S)
+    return out.select(*IDS, F.round("pm2_5_rolling_24h_std", 6).alias("pm2_5_rolling_24h_std"))
 
 
 @query("w06_full_rolling_mean", select_sql([full_mean_sql(c, n) for n in (3, 6) for c in ("aqi", "pm2_5", "no2")]))
@@ -89,23 +94,27 @@ SIZES = [3, 6, 12, 24, 48]
 @query("w07_rolling_mean", select_sql(
     [f"avg({c}) {frame(n)} AS {c}_rolling_mean_{n}h" for n in SIZES for c in ("pm2_5", "aqi")]))
 def _(spark, sf):
-    return over(base(spark, sf, "pm2_5", "aqi"),
-                lambda w: win.advanced_rolling_columns(w, {"pm2_5": ["mean"], "aqi": ["mean"]}, SIZES), 48)
+    return rolled(base(spark, sf, "pm2_5", "aqi"), {"pm2_5": ["mean"], "aqi": ["mean"]})
+
+
+@query("w07_rolling_mean_with_missing_values", select_sql(
+    [f"{h}({c}) {frame(n)} AS {c}_rolling_{k}_{n}h" for n in SIZES for c in ("no2", "so2")
+     for h, k in (("avg", "mean"), ("max", "max"))]))
+def _(spark, sf):
+    return rolled(base(spark, sf, "no2", "so2"), {"no2": ["mean", "max"], "so2": ["mean", "max"]})
 
 
 @query("w08_rolling_std", select_sql(
     [r(f"stddev_samp({c}) {frame(n)}") + f" AS {c}_rolling_std_{n}h" for n in SIZES for c in ("pm2_5", "aqi")]))
 def _(spark, sf):
-    out = over(base(spark, sf, "pm2_5", "aqi"),
-               lambda w: win.advanced_rolling_columns(w, {"pm2_5": ["std"], "aqi": ["std"]}, SIZES), 48)
+    out = rolled(base(spark, sf, "pm2_5", "aqi"), {"pm2_5": ["std"], "aqi": ["std"]})
     return out.select(*IDS, *[F.round(c, 6).alias(c) for c in out.columns if c not in IDS])
 
 
 @query("w09_rolling_extremes", select_sql(
     [f"{h}(pm2_5) {frame(n)} AS pm2_5_rolling_{h}_{n}h" for n in SIZES for h in ("max", "min")]))
 def _(spark, sf):
-    return over(base(spark, sf, "pm2_5"),
-                lambda w: win.advanced_rolling_columns(w, {"pm2_5": ["max", "min"]}, SIZES), 48)
+    return rolled(base(spark, sf, "pm2_5"), {"pm2_5": ["max", "min"]})
 
 
 @query("w10_changes", select_sql([f"pm2_5 - lag(pm2_5, {n}) {OVER} AS pm2_5_change_{n}h" for n in (1, 3, 6)]))
