@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -47,106 +49,157 @@ def full_mean_columns(w: WindowSpec, columns: list[str], sizes: list[int]) -> li
 
 
 # Doubling frames. A frame of 2k rows is the frame of the last k rows merged with
-# the same frame k rows back, so each size costs one lag instead of a pass over
-# its rows. A frame's state is (n, total, q, high, low); q is the sum of squared
-# deviations, merged by the pairwise formula, which is as stable as one pass.
+# the same frame k rows back, so a size costs a few lags instead of a pass over
+# its rows: 3 from the values, 6 and 12 from 3, 24 and 48 from 12. A frame's
+# state is up to five plain columns: n, total, q (the sum of squared deviations,
+# merged by the pairwise formula, which is as stable as one pass), high and low;
+# only those that the wanted statistics need are kept.
 
 DOUBLING = [3, 6, 12, 24, 48]
+STATE_PARTS = {"mean": ["n", "total"], "std": ["n", "total", "q"], "max": ["high"], "min": ["low"]}
+
+
+def _needed(hows: list[str]) -> list[str]:
+    return [p for p in ("n", "total", "q", "high", "low") if any(p in STATE_PARTS[h] for h in hows)]
 
 
-def _state(column: str, n: int) -> str:
-    return f"_{column}_last_{n}"
+def _zero(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0.0))
 
 
-def _first_state(values: list[Column]) -> Column:
+def _first_state(values: list[Column]) -> dict[str, Column]:
     """State of the few given values, any of them may be missing."""
     values = [v.cast("double") for v in values]
     n = sum((v.isNotNull().cast("double") for v in values), F.lit(0.0))
-    total = sum((F.coalesce(v, F.lit(0.0)) for v in values), F.lit(0.0))
+    total = sum((_zero(v) for v in values), F.lit(0.0))
     mean = F.try_divide(total, n)
-    q = sum((F.coalesce((v - mean) * (v - mean), F.lit(0.0)) for v in values), F.lit(0.0))
-    return F.struct(n.alias("n"), total.alias("total"), q.alias("q"),
-                    F.greatest(*values).alias("high"), F.least(*values).alias("low"))
-
-
-def _merged(a: str, b: str) -> Column:
-    """State of two adjoining frames; ``b`` is NULL before the first row."""
-    part = lambda side, name: F.col(f"{side}.{name}")
-    na, nb = part(a, "n"), F.coalesce(part(b, "n"), F.lit(0.0))
-    apart = F.try_divide(part(b, "total"), nb) - F.try_divide(part(a, "total"), na)
-    between = F.coalesce(apart * apart * F.try_divide(na * nb, na + nb), F.lit(0.0))
-    return F.struct(
-        (na + nb).alias("n"),
-        (part(a, "total") + F.coalesce(part(b, "total"), F.lit(0.0))).alias("total"),
-        (part(a, "q") + F.coalesce(part(b, "q"), F.lit(0.0)) + between).alias("q"),
-        F.greatest(part(a, "high"), part(b, "high")).alias("high"),
-        F.least(part(a, "low"), part(b, "low")).alias("low"))
-
-
-def with_frame_states(df: DataFrame, w: WindowSpec, columns: list[str], upto: int = DOUBLING[-1],
-                      last: list[Column] | None = None) -> DataFrame:
-    """Add the state of the last 3, 6, ... ``upto`` rows for each column.
-
-    The window columns ``last`` ride along with the final lag, so that the rows
-    stay narrow until then.
-    """
-    recent = [F.lag(c, k).over(w).alias(f"_{c}_{k}_back") for c in columns for k in (1, 2)]
-    df = df.select("*", *recent)
-    df = df.withColumns({
-        _state(c, 3): _first_state([F.col(c), F.col(f"_{c}_1_back"), F.col(f"_{c}_2_back")]) for c in columns
-    }).drop(*[f"_{c}_{k}_back" for c in columns for k in (1, 2)])
-    for n in DOUBLING:
-        if n == upto:
-            break
-        earlier = [F.lag(_state(c, n), n).over(w).alias(f"_{c}_earlier") for c in columns]
-        df = df.select("*", *earlier, *(last or [] if 2 * n == upto else []))
-        df = df.withColumns({_state(c, 2 * n): _merged(_state(c, n), f"_{c}_earlier") for c in columns})
-        df = df.drop(*[f"_{c}_earlier" for c in columns])
-    return df
+    return {
+        "n": n, "total": total, "q": sum((_zero((v - mean) * (v - mean)) for v in values), F.lit(0.0)),
+        "high": F.greatest(*values), "low": F.least(*values),
+    }
+
+
+def _merged(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """State of two adjoining frames; a frame before the first row is NULL."""
+    out = {}
+    if "n" in a:
+        out |= {p: _zero(a[p]) + _zero(b[p]) for p in ("n", "total")}
+    if "q" in a:
+        apart = F.try_divide(b["total"], b["n"]) - F.try_divide(a["total"], a["n"])
+        between = apart * apart * F.try_divide(a["n"] * b["n"], a["n"] + b["n"])
+        out["q"] = _zero(a["q"]) + _zero(b["q"]) + _zero(between)
+    if "high" in a:
+        out["high"] = F.greatest(a["high"], b["high"])
+    if "low" in a:
+        out["low"] = F.least(a["low"], b["low"])
+    return out
 
 
 def from_state(column: str, n: int, how: str) -> Column:
     """A statistic of the last ``n`` rows; partial frames at the start count as they are."""
-    part = lambda name: F.col(f"{_state(column, n)}.{name}")
+    part = lambda name: F.col(f"_{column}_last_{n}_{name}")
     if how == "std":
         return F.when(part("n") > 1, F.sqrt(part("q") / (part("n") - 1)))
-    return {"mean": F.try_divide(part("total"), part("n")), "max": part("high"), "min": part("low")}[how]
+    if how == "mean":
+        return F.try_divide(part("total"), part("n"))
+    return part("high" if how == "max" else "low")
 
 
-def drop_states(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_") and "_last_" in c])
+Label = Callable[[str, str, int], str]
 
 
-def rolling_columns(parts: dict[str, list[str]], sizes: list[int]) -> list[Column]:
-    return [
-        from_state(c, n, how).alias(f"{c}_rolling_{how}_{n}h")
-        for n in sizes for c, hows in parts.items() for how in hows
-    ]
+def rolling_name(column: str, how: str, n: int) -> str:
+    return f"{column}_rolling_{how}_{n}h"
 
 
-def day_rolling_columns(columns: list[str]) -> list[Column]:
-    """24-row means, and the deviation of pm2_5 (0 where a single value has none)."""
-    out = []
-    for c in columns:
-        out.append(from_state(c, 24, "mean").alias(f"{c}_rolling_24h_mean"))
-        if c == "pm2_5":
-            out.append(F.coalesce(from_state(c, 24, "std"), F.lit(0.0)).alias(f"{c}_rolling_24h_std"))
-    return out
+def day_rolling_name(column: str, how: str, n: int) -> str:
+    return f"{column}_rolling_{n}h_{how}"
+
+
+def with_frame_columns(df: DataFrame, w: WindowSpec, wanted: dict[str, list[str]], sizes: list[int],
+                       label: Label = rolling_name, own: list[Column] | None = None,
+                       last: list[Column] | None = None) -> DataFrame:
+    """Add statistics of the last 3, 6, 12, 24 or 48 rows.
+
+    ``wanted`` maps columns to statistics. The per-row columns ``own`` are added
+    after the first lags and the window columns ``last`` ride along with the
+    last ones: this spreads the work over the steps, so that the generated code
+    of each stays small enough to be compiled, and keeps the rows narrow.
+    """
+    parts = {c: _needed(hows) for c, hows in wanted.items()}
+    upto = max(sizes)
+
+    def lagged(df: DataFrame, lags: dict[str, tuple[str, int]], final: bool) -> DataFrame:
+        ride = last if final and last else []
+        return df.select("*", *[F.lag(c, k).over(w).alias(name) for name, (c, k) in lags.items()], *ride)
+
+    def of(c: str, prefix: str) -> dict[str, Column]:
+        return {p: F.col(f"{prefix}_{p}") for p in parts[c]}
+
+    def named(states: dict[str, tuple[str, dict[str, Column]]]) -> dict[str, Column]:
+        return {f"{prefix}_{p}": state[p] for c, (prefix, state) in states.items() for p in parts[c]}
+
+    def finished(df: DataFrame, ready: list[int], keep: int | None) -> DataFrame:
+        """Turn the states of ``ready`` into statistics; only the state of ``keep`` rows stays."""
+        stats = {
+            label(c, how, n): from_state(c, n, how)
+            for n in ready if n in sizes for c, hows in wanted.items() for how in hows
+        }
+        done = [f"_{c}_last_{n}_{p}" for n in ready if n != keep for c in parts for p in parts[c]]
+        return df.withColumns(stats).drop(*done) if stats else df.drop(*done)
+
+    recent = {f"_{c}_{k}_back": (c, k) for c in parts for k in (1, 2)}
+    df = lagged(df, recent, upto == 3)
+    df = df.withColumns(named({
+        c: (f"_{c}_last_3", _first_state([F.col(c), F.col(f"_{c}_1_back"), F.col(f"_{c}_2_back")]))
+        for c in parts
+    })).drop(*recent).select("*", *(own or []))
+    if upto == 3:
+        return finished(df, [3], None)
+    for base in (3, 12):
+        reach = [n for n in (2 * base, 4 * base) if n <= upto]
+        earlier = {
+            f"_{c}_earlier_{k}_{p}": (f"_{c}_last_{base}_{p}", base * k)
+            for c in parts for k in range(1, max(reach) // base) for p in parts[c]
+        }
+        df = lagged(df, earlier, max(reach) == upto)
+        df = df.withColumns(named({
+            c: (f"_{c}_last_{2 * base}", _merged(of(c, f"_{c}_last_{base}"), of(c, f"_{c}_earlier_1")))
+            for c in parts}))
+        if 4 * base in reach:
+            df = df.withColumns(named({
+                c: (f"_{c}_pair", _merged(of(c, f"_{c}_earlier_2"), of(c, f"_{c}_earlier_3"))) for c in parts}))
+            df = df.withColumns(named({
+                c: (f"_{c}_last_{4 * base}", _merged(of(c, f"_{c}_last_{2 * base}"), of(c, f"_{c}_pair")))
+                for c in parts}))
+        df = df.drop(*earlier, *[f"_{c}_pair_{p}" for c in parts for p in parts[c]])
+        if max(reach) == upto:
+            return finished(df, [base, *reach], None)
+        df = finished(df, [3, 6], keep=12)
+    return df
+
+
+def day_rolling_parts(columns: list[str]) -> dict[str, list[str]]:
+    return {c: ["mean", "std"] if c == "pm2_5" else ["mean"] for c in columns}
+
+
+def zero_deviation(df: DataFrame) -> DataFrame:
+    """A single value has no deviation; the 24-row column shows 0 for it."""
+    name = day_rolling_name("pm2_5", "std", 24)
+    return df.withColumn(name, _zero(F.col(name))) if name in df.columns else df
 
 
 def with_rolling(df: DataFrame, parts: dict[str, list[str]], sizes: list[int] = DOUBLING,
                  s: Series = Series()) -> DataFrame:
-    """Rolling statistics of the last 3, 6, 12, 24 or 48 rows."""
-    def steps(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        rows = with_frame_states(rows, w, list(parts), max(sizes))
-        return drop_states(rows.select("*", *rolling_columns(parts, sizes)))
-
-    return with_window_steps(df, steps, s, back=max(sizes))
+    """Rolling statistics of the last 3, 6, 12, 24 or 48 rows, partial frames allowed."""
+    return with_window_steps(
+        df, lambda rows, w: with_frame_columns(rows, w, parts, sizes), s, back=max(sizes))
 
 
 def with_day_rolling(df: DataFrame, columns: list[str], s: Series = Series()) -> DataFrame:
+    """24-row means, and the deviation of pm2_5."""
     def steps(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        return drop_states(with_frame_states(rows, w, columns, 24).select("*", *day_rolling_columns(columns)))
+        return zero_deviation(with_frame_columns(rows, w, day_rolling_parts(columns), [24], day_rolling_name))
 
     return with_window_steps(df, steps, s, back=24)
 

@@ -13,8 +13,8 @@ from breezeway.operators.quality import data_quality
 from breezeway.operators.series import Series, with_window_steps, with_windows
 from breezeway.operators.shape import drop_missing, ensure_columns
 from breezeway.operators.windows import (
-    DOUBLING, LAG_SETS, change_columns, day_rolling_columns, drop_states, full_mean_columns, lag_columns,
-    rolling_columns, weather_change_columns, with_frame_states,
+    DOUBLING, LAG_SETS, change_columns, day_rolling_name, day_rolling_parts, full_mean_columns, lag_columns,
+    weather_change_columns, with_frame_columns, zero_deviation,
 )
 
 FULL_CALENDAR = ["hour", "day_of_week", "day_of_month", "month", "is_weekend",
@@ -49,9 +49,9 @@ def full_features(df: DataFrame, horizons: list[str] | None = None, s: Series =
 
     def steps(rows: DataFrame, w: WindowSpec) -> DataFrame:
         ordered = [*lag_columns(w, tracked, LAG_SETS["full"][1]), *lead_columns(w, targets)]
-        rows = with_frame_states(rows, w, tracked, 24, ordered)
-        own = [*calendar_columns(F.col(s.ts), FULL_CALENDAR), *day_rolling_columns(tracked), *products]
-        return drop_states(rows.select("*", *own))
+        own = [*calendar_columns(F.col(s.ts), FULL_CALENDAR), *products]
+        return zero_deviation(with_frame_columns(
+            rows, w, day_rolling_parts(tracked), [24], day_rolling_name, own, ordered))
 
     return with_window_steps(df, steps, s, back=24, ahead=max(targets.values(), default=0))
 
@@ -120,13 +120,8 @@ def advanced_features(df: DataFrame, s: Series = Series(), targets: dict[str, in
             *lag_columns(w, columns, lags), *change_columns(w), *weather_change_columns(w),
             *lead_columns(w, targets or {}),
         ]
-        rows = with_frame_states(rows, w, list(ADVANCED_ROLLING), max(ADVANCED_SIZES), ordered)
-        own = [
-            *calendar_columns(F.col(s.ts), ADVANCED_CALENDAR),
-            *rolling_columns(ADVANCED_ROLLING, ADVANCED_SIZES),
-            *pollution_products(),
-        ]
-        return drop_states(rows.select("*", *own))
+        own = [*calendar_columns(F.col(s.ts), ADVANCED_CALENDAR), *pollution_products()]
+        return with_frame_columns(rows, w, ADVANCED_ROLLING, ADVANCED_SIZES, own=own, last=ordered)
 
     ahead = max((targets or {}).values(), default=0)
     return with_window_steps(df, steps, s, back=ADVANCED_BACK, ahead=ahead)
