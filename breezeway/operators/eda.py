@@ -128,33 +128,62 @@ def box_plot(df: DataFrame, column: str = "aqi", s: Series = Series()) -> DataFr
         F.count_if(~inside).alias("outliers"))
 
 
-def pearson(x: str, y: str) -> Column:
-    """Pearson's r over rows that know both values; NULL if either is constant."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    a, b = F.when(both, F.col(x)).cast("double"), F.when(both, F.col(y)).cast("double")
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pearson's r of each pair over the rows that know both: (x, y, n, r).
+
+    Rows are grouped by which columns they miss. Within such a group every sum
+    is shared by all pairs, so one product per pair is enough; the few group
+    rows are then added up per pair. Values are centred on their means first.
+    r is NULL where either column is constant.
+    """
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("means")).scalar()
+    centred = df.select(*columns).withColumn("_m", means).select(
+        *[(F.col(c).cast("double") - F.col("_m")[c]).alias(c) for c in columns])
+    missing = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
+    at = {c: i for i, c in enumerate(columns)}
+    groups = centred.groupBy(missing.alias("_missing")).agg(
+        _rows().alias("n"),
+        F.array(*[F.sum(c) for c in columns]).alias("sums"),
+        F.array(*[F.sum(F.col(c) * F.col(c)) for c in columns]).alias("squares"),
+        F.array(*[F.min(c) for c in columns]).alias("lows"),
+        F.array(*[F.max(c) for c in columns]).alias("highs"),
+        F.array(*[F.sum(F.col(x) * F.col(y)) for x, y in pairs]).alias("products"))
+    names = F.array(*[F.lit(c) for c in columns])
+    places = {s: F.array(*[F.lit(at[p[i]]) for p in pairs]) for i, s in enumerate("xy")}
+    parts = groups.select("*", F.posexplode("products").alias("_pair", "xy")).withColumns(
+        {f"_{s}": F.get(places[s], F.col("_pair")) for s in "xy"})
+    known = lambda c: F.when(F.col("xy").isNotNull(), c)
+    pick = lambda array, s: known(F.get(F.col(array), F.col(f"_{s}")))
+    out = parts.groupBy(*[F.get(names, F.col(f"_{s}")).alias(s) for s in "xy"]).agg(
+        F.sum(known(F.col("n"))).alias("n"), F.sum("xy").alias("xy"),
+        *[f(pick(array, s)).alias(f"{s}_{name}") for s in "xy" for name, array, f in (
+            ("sum", "sums", F.sum), ("square", "squares", F.sum), ("min", "lows", F.min), ("max", "highs", F.max))])
+    col = F.col
+    spread = lambda s: col(f"{s}_square") - col(f"{s}_sum") * col(f"{s}_sum") / col("n")
+    together = col("xy") - col("x_sum") * col("y_sum") / col("n")
+    r = F.try_divide(together, F.sqrt(spread("x") * spread("y")))
+    varies = (col("x_min") < col("x_max")) & (col("y_min") < col("y_max"))
+    return out.select("x", "y", F.coalesce("n", F.lit(0)).alias("n"),
+                      F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
 
 
 def correlation_with(df: DataFrame, target: str = "aqi", columns: list[str] | None = None,
                      top: int | None = None) -> DataFrame:
     """Correlation of each numeric column with ``target``, highest first."""
     columns = columns or numeric_columns(df)
-    wide = df.agg(*[pearson(c, target).alias(c) for c in columns])
-    out = unpivot_row(wide, [{"column": F.lit(c), "r": F.col(c)} for c in columns])
+    out = pair_correlations(df, [(c, target) for c in columns]).select(F.col("x").alias("column"), "r")
     out = out.orderBy(F.desc_nulls_last("r"), "column")
     return out if top is None else out.limit(top)
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] = V.CORRELATION_FEATURES) -> DataFrame:
-    """All pairs (x, y, r) of the given columns that exist; one aggregate, symmetric."""
+    """All pairs (x, y, r) of the given columns that exist; each pair is computed once."""
     columns = [c for c in columns if c in df.columns]
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
-    wide = df.agg(*[pearson(x, y).alias(f"{x}__{y}") for x, y in pairs])
-    records = []
-    for x, y in pairs:
-        for a, b in {(x, y), (y, x)}:
-            records.append({"x": F.lit(a), "y": F.lit(b), "r": F.col(f"{x}__{y}")})
-    return unpivot_row(wide, records)
+    sides = F.when(F.col("x") == F.col("y"), F.array(F.struct("x", "y"))).otherwise(
+        F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
+    return pair_correlations(df, pairs).select(F.explode(sides).alias("p"), "r").select("p.x", "p.y", "r")
 
 
 def pollutant_ranges(df: DataFrame, columns: list[str] = V.POLLUTANTS) -> DataFrame:

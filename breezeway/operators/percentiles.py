@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breezeway.operators.series import Series, running_count
 from breezeway.session import plan_bytes
 
+# Above this estimated input size, ``percentile`` could meet too many distinct values.
+FEW_VALUES_BYTES = 8 << 20
+
 
 def percentile_name(column: str, p: float) -> str:
     return f"{column}_p{p * 100:g}".replace(".", "_")
@@ -27,16 +28,17 @@ def exact_percentiles(
     """
     by = by or []
     names = [(c, p, percentile_name(c, p)) for c in columns for p in probs]
-    if plan_bytes(df) <= s.small_bytes:
+    if plan_bytes(df) <= min(s.small_bytes, FEW_VALUES_BYTES):
         return df.groupBy(*by).agg(
             *[F.percentile(F.col(c).cast("double"), F.lit(p)).alias(n) for c, p, n in names])
-    counted = [
-        df.filter(F.col(c).isNotNull())
-        .groupBy(*by, F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value"))
+    values = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns]))
+    counts = (
+        df.select(*by, values.alias("_v")).select(*by, "_v.*")
+        .filter(F.col("_value").isNotNull())
+        .groupBy(*by, "_column", "_value")
         .agg(F.count(F.lit(1)).alias("_n"))
-        for c in columns
-    ]
-    counts = reduce(DataFrame.unionByName, counted)
+    )
     ranked = running_count(counts, [*by, "_column"], "_value", "_n", s)
 
     def at_rank(column: str, rank: Column) -> Column:

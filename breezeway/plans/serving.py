@@ -121,4 +121,4 @@ def forecast(rows: DataFrame, scorers: dict[str, Scorer], models: DataFrame | No
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out if models is None else out.join(F.broadcast(models.limit(len(V.HORIZONS))), "horizon")
+    return out if models is None else out.join(models, "horizon")

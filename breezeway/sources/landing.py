@@ -16,19 +16,28 @@ _WEATHER_FIELDS = {
 }
 
 
+def _parsed(landed: DataFrame, schema: str, *keep: str) -> DataFrame:
+    """Payloads as struct ``p``.
+
+    The one-element explode is a barrier: without it later filters on single
+    fields would be pushed below this step and parse the text once per field.
+    """
+    return landed.select(*keep, F.explode(F.array(F.from_json("payload", schema))).alias("p"))
+
+
 def parse_air(landed: DataFrame) -> DataFrame:
     """First list entry of each air payload."""
-    entry = F.try_element_at(F.from_json("payload", AIR_PAYLOAD)["list"], F.lit(1))
-    parts = landed.select("location", "fetch_id", "fetched_at", entry.alias("e"))
+    parts = _parsed(landed, AIR_PAYLOAD, "location", "fetch_id", "fetched_at")
+    entry = F.try_element_at(F.col("p")["list"], F.lit(1))
     gases = ["pm2_5", "pm10", "co", "no", "no2", "o3", "so2"]
     return parts.select(
-        "location", "fetch_id", "fetched_at", F.col("e.main.aqi").alias("aqi"),
-        *[F.col(f"e.components.{g}").alias(g) for g in gases])
+        "location", "fetch_id", "fetched_at", entry["main"]["aqi"].alias("aqi"),
+        *[entry["components"][g].alias(g) for g in gases])
 
 
 def parse_weather(landed: DataFrame) -> DataFrame:
     """Flat weather fields; a missing wind direction is 0."""
-    parts = landed.select("location", "fetch_id", F.from_json("payload", WEATHER_PAYLOAD).alias("p"))
+    parts = _parsed(landed, WEATHER_PAYLOAD, "location", "fetch_id")
     first = F.try_element_at(F.col("p.weather"), F.lit(1))
     out = parts.select(
         "location", "fetch_id",
