@@ -63,46 +63,44 @@ def _needed(hows: list[str]) -> list[str]:
     return [p for p in ("n", "total", "q", "high", "low") if any(p in STATE_PARTS[h] for h in hows)]
 
 
-def _zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))
+# The state arithmetic is SQL text: one call per column instead of dozens.
 
+def _zero(name: str) -> str:
+    return f"coalesce({name}, 0D)"
 
-def _first_state(values: list[Column]) -> dict[str, Column]:
+
+def _first_state(values: list[str]) -> dict[str, str]:
     """State of the few given values, any of them may be missing."""
-    values = [v.cast("double") for v in values]
-    n = sum((v.isNotNull().cast("double") for v in values), F.lit(0.0))
-    total = sum((_zero(v) for v in values), F.lit(0.0))
-    mean = F.try_divide(total, n)
+    values = [f"cast(`{v}` as double)" for v in values]
+    n = " + ".join(f"if({v} is null, 0D, 1D)" for v in values)
+    total = " + ".join(_zero(v) for v in values)
+    mean = f"try_divide({total}, {n})"
     return {
-        "n": n, "total": total, "q": sum((_zero((v - mean) * (v - mean)) for v in values), F.lit(0.0)),
-        "high": F.greatest(*values), "low": F.least(*values),
+        "n": n, "total": total,
+        "q": " + ".join(_zero(f"({v} - {mean}) * ({v} - {mean})") for v in values),
+        "high": f"greatest({', '.join(values)})", "low": f"least({', '.join(values)})",
     }
 
 
-def _merged(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
-    """State of two adjoining frames; a frame before the first row is NULL."""
-    out = {}
-    if "n" in a:
-        out |= {p: _zero(a[p]) + _zero(b[p]) for p in ("n", "total")}
-    if "q" in a:
-        apart = F.try_divide(b["total"], b["n"]) - F.try_divide(a["total"], a["n"])
-        between = apart * apart * F.try_divide(a["n"] * b["n"], a["n"] + b["n"])
-        out["q"] = _zero(a["q"]) + _zero(b["q"]) + _zero(between)
-    if "high" in a:
-        out["high"] = F.greatest(a["high"], b["high"])
-    if "low" in a:
-        out["low"] = F.least(a["low"], b["low"])
-    return out
+def _merged(a: str, b: str) -> dict[str, str]:
+    """State of two adjoining frames, given by name prefix; one before the first row is NULL."""
+    apart = f"(try_divide(`{b}_total`, `{b}_n`) - try_divide(`{a}_total`, `{a}_n`))"
+    between = f"{apart} * {apart} * try_divide(`{a}_n` * `{b}_n`, `{a}_n` + `{b}_n`)"
+    added = {p: f"{_zero(f'`{a}_{p}`')} + {_zero(f'`{b}_{p}`')}" for p in ("n", "total", "q")}
+    return added | {
+        "q": f"{added['q']} + {_zero(between)}",
+        "high": f"greatest(`{a}_high`, `{b}_high`)", "low": f"least(`{a}_low`, `{b}_low`)",
+    }
 
 
 def from_state(column: str, n: int, how: str) -> Column:
     """A statistic of the last ``n`` rows; partial frames at the start count as they are."""
-    part = lambda name: F.col(f"_{column}_last_{n}_{name}")
-    if how == "std":
-        return F.when(part("n") > 1, F.sqrt(part("q") / (part("n") - 1)))
-    if how == "mean":
-        return F.try_divide(part("total"), part("n"))
-    return part("high" if how == "max" else "low")
+    s = f"_{column}_last_{n}"
+    return F.expr({
+        "mean": f"try_divide(`{s}_total`, `{s}_n`)",
+        "std": f"if(`{s}_n` > 1D, sqrt(`{s}_q` / (`{s}_n` - 1D)), null)",
+        "max": f"`{s}_high`", "min": f"`{s}_low`",
+    }[how])
 
 
 Label = Callable[[str, str, int], str]
@@ -133,11 +131,8 @@ def with_frame_columns(df: DataFrame, w: WindowSpec, wanted: dict[str, list[str]
         ride = last if final and last else []
         return df.select("*", *[F.lag(c, k).over(w).alias(name) for name, (c, k) in lags.items()], *ride)
 
-    def of(c: str, prefix: str) -> dict[str, Column]:
-        return {p: F.col(f"{prefix}_{p}") for p in parts[c]}
-
-    def named(states: dict[str, tuple[str, dict[str, Column]]]) -> dict[str, Column]:
-        return {f"{prefix}_{p}": state[p] for c, (prefix, state) in states.items() for p in parts[c]}
+    def named(states: dict[str, tuple[str, dict[str, str]]]) -> dict[str, Column]:
+        return {f"{prefix}_{p}": F.expr(state[p]) for c, (prefix, state) in states.items() for p in parts[c]}
 
     def finished(df: DataFrame, ready: list[int], keep: int | None) -> DataFrame:
         """Turn the states of ``ready`` into statistics; only the state of ``keep`` rows stays."""
@@ -151,7 +146,7 @@ def with_frame_columns(df: DataFrame, w: WindowSpec, wanted: dict[str, list[str]
     recent = {f"_{c}_{k}_back": (c, k) for c in parts for k in (1, 2)}
     df = lagged(df, recent, upto == 3)
     df = df.withColumns(named({
-        c: (f"_{c}_last_3", _first_state([F.col(c), F.col(f"_{c}_1_back"), F.col(f"_{c}_2_back")]))
+        c: (f"_{c}_last_3", _first_state([c, f"_{c}_1_back", f"_{c}_2_back"]))
         for c in parts
     })).drop(*recent).select("*", *(own or []))
     if upto == 3:
@@ -164,13 +159,13 @@ def with_frame_columns(df: DataFrame, w: WindowSpec, wanted: dict[str, list[str]
         }
         df = lagged(df, earlier, max(reach) == upto)
         df = df.withColumns(named({
-            c: (f"_{c}_last_{2 * base}", _merged(of(c, f"_{c}_last_{base}"), of(c, f"_{c}_earlier_1")))
+            c: (f"_{c}_last_{2 * base}", _merged(f"_{c}_last_{base}", f"_{c}_earlier_1"))
             for c in parts}))
         if 4 * base in reach:
             df = df.withColumns(named({
-                c: (f"_{c}_pair", _merged(of(c, f"_{c}_earlier_2"), of(c, f"_{c}_earlier_3"))) for c in parts}))
+                c: (f"_{c}_pair", _merged(f"_{c}_earlier_2", f"_{c}_earlier_3")) for c in parts}))
             df = df.withColumns(named({
-                c: (f"_{c}_last_{4 * base}", _merged(of(c, f"_{c}_last_{2 * base}"), of(c, f"_{c}_pair")))
+                c: (f"_{c}_last_{4 * base}", _merged(f"_{c}_last_{2 * base}", f"_{c}_pair"))
                 for c in parts}))
         df = df.drop(*earlier, *[f"_{c}_pair_{p}" for c in parts for p in parts[c]])
         if max(reach) == upto:
@@ -186,7 +181,7 @@ def day_rolling_parts(columns: list[str]) -> dict[str, list[str]]:
 def zero_deviation(df: DataFrame) -> DataFrame:
     """A single value has no deviation; the 24-row column shows 0 for it."""
     name = day_rolling_name("pm2_5", "std", 24)
-    return df.withColumn(name, _zero(F.col(name))) if name in df.columns else df
+    return df.withColumn(name, F.coalesce(F.col(name), F.lit(0.0))) if name in df.columns else df
 
 
 def with_rolling(df: DataFrame, parts: dict[str, list[str]], sizes: list[int] = DOUBLING,
