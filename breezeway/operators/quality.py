@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breezeway.functions import fixed_values as V
@@ -150,7 +150,7 @@ def large_gaps(df: DataFrame, s: Series = Series(), hours: int = V.LARGE_GAP_HOU
     key = list(s.key)
     gaps = with_gap(df.select(*key, *s.order), s)
     large = gaps.filter(F.col("gap_micros") > hours * 60 * MICROS_PER_MINUTE)
-    first = large.withColumn("rank", F.row_number().over(s.window())).filter(F.col("rank") <= show)
+    first = large.withColumn("rank", F.row_number().over(s.window()).cast("long")).filter(F.col("rank") <= show)
     counts = large.groupBy(*key).agg(_rows().alias("large_gaps"))
     return first.join(counts, key).select(*key, s.ts, "gap_micros", "rank", "large_gaps")
 

@@ -44,7 +44,7 @@ class Series:
     key: tuple[str, ...] = ("location",)
     ts: str = "timestamp"
     seq: str = "seq"
-    max_rows: int = 2_000_000
+    max_rows: int = 1_000_000
     small_bytes: int = 64 << 20
 
     @property

@@ -49,7 +49,7 @@ def _(spark, sf):
 
 
 @query("a14_type_histogram", "WITH $readings SELECT type, columns, (SELECT count(*) FROM readings) AS rows "
-       "FROM (VALUES ('string', 2), ('timestamp', 1), ('int', 1), ('double', 2)) t(type, columns)")
+       "FROM (VALUES ('string', 2::BIGINT), ('timestamp', 1), ('int', 1), ('double', 2)) t(type, columns)")
 def _(spark, sf):
     return eda.type_histogram(fx.readings(spark, sf), list(PROFILED))
 

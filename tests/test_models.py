@@ -4,7 +4,6 @@ import datetime
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from breezeway.operators import metrics
 from breezeway.plans import registry as reg
