@@ -183,11 +183,11 @@ def data_quality(df: DataFrame, s: Series = Series()) -> DataFrame:
     })
 
 
+def coverage_status(records: Column) -> Column:
+    return F.when(records >= 20, "good").when(records >= 10, "partial").otherwise("poor")
+
+
 def daily_coverage(df: DataFrame, s: Series = Series()) -> DataFrame:
     """Rows per day that has any, with a status."""
-    n = F.col("records")
-    return (
-        df.groupBy(*s.key, F.to_date(s.ts).alias("date"))
-        .agg(_rows().alias("records"))
-        .withColumn("status", F.when(n >= 20, "good").when(n >= 10, "partial").otherwise("poor"))
-    )
+    days = df.groupBy(*s.key, F.to_date(s.ts).alias("date")).agg(_rows().alias("records"))
+    return days.withColumn("status", coverage_status(F.col("records")))

@@ -10,12 +10,13 @@ from breezeway.functions.derived import (
     pollution_products, present, weather_products, weather_products_with_defaults,
 )
 from breezeway.operators.quality import data_quality
-from breezeway.operators.series import Series, with_window_steps, with_windows
+from breezeway.operators.series import Series, attach, with_window_steps, with_windows
 from breezeway.operators.shape import drop_missing, ensure_columns
 from breezeway.operators.windows import (
     DOUBLING, LAG_SETS, change_columns, day_rolling_name, day_rolling_parts, full_mean_columns, lag_columns,
     weather_change_columns, with_frame_columns, zero_deviation,
 )
+from breezeway.session import materialise
 
 FULL_CALENDAR = ["hour", "day_of_week", "day_of_month", "month", "is_weekend",
                  "hour_sin", "hour_cos", "month_sin", "month_cos"]
@@ -94,21 +95,29 @@ def adaptive_features(df: DataFrame, use_lags: bool = False, s: Series = Series(
     return with_windows(df, build, s, back=6, ahead=max((targets or {}).values(), default=0))
 
 
-def adaptive_targets(df: DataFrame, horizons: list[str], s: Series = Series()) -> DataFrame:
-    """Per entity: the future index where the entity has a long enough run, else the current one.
+def adaptive_leads(horizons: list[str]) -> dict[str, int]:
+    return {f"_lead_{h}": hours_of(h) for h in horizons}
+
 
-    Adds ``target_aqi_<h>`` for each horizon, ``model_type`` and the quality columns.
+def pick_adaptive_targets(df: DataFrame, quality: DataFrame, horizons: list[str], s: Series = Series()) -> DataFrame:
+    """Per entity: the future index where it has a long enough run, else the current one.
+
+    Needs the lead columns of ``adaptive_leads``; adds ``target_aqi_<h>`` for
+    each horizon, ``model_type`` and the quality columns.
     """
-    leads = {f"_lead_{h}": hours_of(h) for h in horizons}
-    ahead = with_windows(df, lambda w: lead_columns(w, leads), s, ahead=max(leads.values()))
-    quality = data_quality(df, s)
-    out = ahead.join(quality, list(s.key), "left")
+    out = attach(df, quality, list(s.key), quality.count())
     picked = {
         f"target_aqi_{h}": F.when(F.col("can_forecast"), F.col(f"_lead_{h}")).otherwise(F.col("aqi"))
         for h in horizons
     }
     kind = F.when(F.col("can_forecast"), "Forecasting").otherwise("Nowcasting")
-    return out.withColumns(picked).withColumn("model_type", kind).drop(*leads)
+    return out.withColumns(picked).withColumn("model_type", kind).drop(*adaptive_leads(horizons))
+
+
+def adaptive_targets(df: DataFrame, horizons: list[str], s: Series = Series()) -> DataFrame:
+    leads = adaptive_leads(horizons)
+    ahead = with_windows(df, lambda w: lead_columns(w, leads), s, ahead=max(leads.values()))
+    return pick_adaptive_targets(ahead, materialise(data_quality(df, s), "quality"), horizons, s)
 
 
 def advanced_features(df: DataFrame, s: Series = Series(), targets: dict[str, int] | None = None) -> DataFrame:

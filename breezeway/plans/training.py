@@ -23,13 +23,13 @@ from breezeway.functions import fixed_values as V
 from breezeway.functions.bands import clip_index
 from breezeway.functions.calendar import version_stamp
 from breezeway.operators.metrics import best_by_mae, best_by_r2, error_metrics
-from breezeway.operators.quality import data_quality
+from breezeway.operators.quality import SAMPLE_GATES, data_quality
 from breezeway.operators.series import Series
 from breezeway.operators.shape import drop_missing, feature_names, fill_missing
 from breezeway.operators.windows import with_split
 from breezeway.plans.features import (
-    adaptive_features, adaptive_targets, advanced_feature_names, advanced_features, full_features, hours_of,
-    simple_features,
+    adaptive_features, adaptive_leads, advanced_feature_names, advanced_features, full_features, hours_of,
+    pick_adaptive_targets, simple_features,
 )
 from breezeway.plans.registry import register, registry_row
 from breezeway.session import materialise
@@ -189,10 +189,10 @@ def adaptive_frames(readings: DataFrame, horizons: list[str] = V.HORIZONS,
 
     Lags are used when every entity's longest run allows them.
     """
-    quality = data_quality(readings, s)
+    quality = materialise(data_quality(readings, s), "quality")
     use_lags = bool(quality.agg(F.bool_and("can_use_lags").alias("ok")).first()["ok"])
-    targeted = adaptive_targets(readings, horizons, s)
-    frame = adaptive_features(targeted, use_lags, s)
+    frame = adaptive_features(readings, use_lags, s, adaptive_leads(horizons))
+    frame = pick_adaptive_targets(frame, quality, horizons, s)
     extra = [f"target_aqi_{h}" for h in horizons]
     quality_columns = ["total_records", "max_consecutive", "can_use_lags", "can_forecast", "model_type"]
     features = feature_names(frame, [*V.NOT_FEATURES_ADAPTIVE, *extra, *quality_columns], numeric_only=True)
@@ -201,6 +201,8 @@ def adaptive_frames(readings: DataFrame, horizons: list[str] = V.HORIZONS,
 
 def train_adaptive(readings: DataFrame, horizons: list[str] = V.HORIZONS,
                    candidates: Candidates = ADAPTIVE_CANDIDATES, s: Series = Series()) -> dict[str, Trained]:
+    if not _has_rows(readings, SAMPLE_GATES["adaptive"][0]):
+        return {}
     frame, features = adaptive_frames(readings, horizons, s)
     frame = materialise(frame, "features")
 
@@ -208,11 +210,14 @@ def train_adaptive(readings: DataFrame, horizons: list[str] = V.HORIZONS,
         target = f"target_aqi_{h}"
         return with_split(drop_missing(frame, [*features, target]), s), features, target
 
-    return _each_horizon(horizons, rows, candidates, "mae", 20)
+    return _each_horizon(horizons, rows, candidates, "mae", SAMPLE_GATES["adaptive"][1])
 
 
 def train_simple(readings: DataFrame, horizons: list[str] = V.HORIZONS,
                  candidates: Candidates = SIMPLE_CANDIDATES, s: Series = Series()) -> dict[str, Trained]:
+    if not _has_rows(readings, SAMPLE_GATES["simple"][0]):
+        return {}
+
     def rows(h: str) -> tuple[DataFrame, list[str], str]:
         target = f"target_aqi_{hours_of(h)}h"
         skip = ["timestamp", "location", "_id", target, "aqi"]
@@ -220,7 +225,7 @@ def train_simple(readings: DataFrame, horizons: list[str] = V.HORIZONS,
         features = feature_names(frame, skip, numeric_only=True)
         return with_split(drop_missing(frame, [*features, target]), s), features, target
 
-    return _each_horizon(horizons, rows, candidates, "mae", 10)
+    return _each_horizon(horizons, rows, candidates, "mae", SAMPLE_GATES["simple"][1])
 
 
 def train_full(readings: DataFrame, horizons: list[str] = V.HORIZONS,
@@ -250,6 +255,13 @@ def train_tuned(readings: DataFrame, horizons: list[str] = V.HORIZONS,
     return _each_horizon(horizons, rows, candidates or tuned_candidates(), "r2", 1)
 
 
+def _has_rows(df: DataFrame, least: int) -> bool:
+    enough = len(df.select(F.lit(1)).take(least)) >= least
+    if not enough:
+        log.warning("fewer than %d rows", least)
+    return enough
+
+
 def _each_horizon(horizons: list[str], rows: Callable, candidates: Candidates, choose: str,
                   least: int) -> dict[str, Trained]:
     """Train horizon by horizon; one that fails or has too few rows is skipped and logged."""
@@ -257,8 +269,8 @@ def _each_horizon(horizons: list[str], rows: Callable, candidates: Candidates, c
     for h in horizons:
         try:
             frame, features, target = rows(h)
-            if len(frame.select(F.lit(1)).take(least)) < least:
-                log.warning("horizon %s skipped: fewer than %d rows", h, least)
+            if not _has_rows(frame, least):
+                log.warning("horizon %s skipped", h)
                 continue
             trained[h] = train_one(frame, h, features, target, candidates, choose)
         except Exception:

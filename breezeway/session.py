@@ -59,5 +59,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; costs no job."""
+    """Catalyst's size estimate of ``df``; costs no job. Unknown counts as huge."""
+    if not hasattr(df, "_jdf"):
+        return 1 << 62
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

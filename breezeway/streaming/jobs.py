@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from breezeway.operators.quality import coverage_status
 from breezeway.operators.series import Series
 from breezeway.session import scratch_path
 from breezeway.sources.readings import latest
@@ -39,14 +40,13 @@ def store_gated(stream: DataFrame, path: str, state_path: str, s: Series = Serie
 
 def daily_coverage_stream(stream: DataFrame, s: Series = Series(), delay: str = "2 hours") -> DataFrame:
     """Rows per entity and day; a day is emitted once the watermark has passed it."""
-    n = F.col("records")
     return (
         stream.withColumn(s.ts, F.col(s.ts).cast("timestamp"))
         .withWatermark(s.ts, delay)
         .groupBy(*s.key, F.window(s.ts, "1 day").alias("day"))
         .agg(F.count(F.lit(1)).alias("records"))
         .select(*s.key, F.to_date("day.start").alias("date"), "records")
-        .withColumn("status", F.when(n >= 20, "good").when(n >= 10, "partial").otherwise("poor"))
+        .withColumn("status", coverage_status(F.col("records")))
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from breezeway.operators import windows as win
 from breezeway.operators.series import Series, with_windows
+from breezeway.plans.features import adaptive_targets
 from breezeway.sources.readings import latest_n_each
 from catalog import fixtures as fx
 from catalog import query, r
@@ -154,6 +155,27 @@ def _(spark, sf):
     return win.with_targets(base(spark, sf, "aqi"), [24, 48, 72], S).drop("timestamp", "aqi")
 
 
+BY_DAY = "OVER (PARTITION BY location, day ORDER BY timestamp, seq)"
+
+
+# Per station and day: days with all 24 hours forecast, the others take the current index.
+@query("w14_adaptive_targets", f"""WITH $readings, d AS (
+  SELECT *, CAST(timestamp AS DATE) AS day, epoch_us(timestamp) - epoch_us(lag(timestamp) {BY_DAY.replace('day', 'CAST(timestamp AS DATE)')}) AS gap
+  FROM readings),
+n AS (SELECT *, lead(aqi, 3) {BY_DAY} AS ahead,
+             sum(CASE WHEN gap <= 5400000000 THEN 0 ELSE 1 END) {BY_DAY} AS run FROM d),
+runs AS (SELECT location, day, run, count(*) AS k FROM n GROUP BY location, day, run),
+q AS (SELECT location, day, CAST(sum(k) AS BIGINT) AS total_records, max(k) AS max_consecutive FROM runs GROUP BY location, day)
+SELECT n.seq, n.location, n.day, total_records, max_consecutive,
+       CASE WHEN max_consecutive >= 24 THEN ahead ELSE aqi END AS target_aqi_3h,
+       CASE WHEN max_consecutive >= 24 THEN 'Forecasting' ELSE 'Nowcasting' END AS model_type
+FROM n JOIN q ON n.location = q.location AND n.day = q.day""")
+def _(spark, sf):
+    df = base(spark, sf, "aqi").withColumn("day", F.to_date("timestamp"))
+    out = adaptive_targets(df, ["3h"], Series(key=("location", "day")))
+    return out.drop("timestamp", "aqi", "can_use_lags", "can_forecast")
+
+
 @query("w15_forward_fill", f"""WITH $readings, carried AS (
   SELECT seq, location, timestamp, no2, o3,
          last_value(CASE WHEN no2 IS NOT NULL THEN timestamp END IGNORE NULLS) {OVER} AS t_no2,
