@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breezeway.llm import mixing, quality
+from breezeway.llm import binary_output, mixing, packing, quality
 from breezeway.llm.common import table
 from breezeway.llm.quality_sql import QUALITY_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_pack_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -21,6 +26,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", *names)
 
 
+def op9_binary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed id rows of every document."""
+    return binary_output.pack_rows(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -29,5 +39,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("mixed.copies") * F.col("mixed.size")).alias("taken"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op4_quality_rules, op10_mix_sources)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (
+    op3_pack_in_order, op4_quality_rules, op9_binary_rows, op10_mix_sources,
+)}
 ORACLES: dict[str, str] = {"op4_quality_rules": QUALITY_SQL}
