@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breezeway.llm import binary_output, mixing, packing, quality
+from breezeway.llm import binary_output, mixing, ngram_join, packing, quality
 from breezeway.llm.common import table
 from breezeway.llm.quality_sql import QUALITY_SQL
 
@@ -26,6 +26,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", *names)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under Jaccard 0.9 of 3-word shingles."""
+    return ngram_join.similar(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op9_binary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed id rows of every document."""
     return binary_output.pack_rows(table(spark, sf_dir, "documents"))
@@ -40,6 +45,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op3_pack_in_order, op4_quality_rules, op9_binary_rows, op10_mix_sources,
+    op3_pack_in_order, op4_quality_rules, op7_ngram_jaccard, op9_binary_rows, op10_mix_sources,
 )}
 ORACLES: dict[str, str] = {"op4_quality_rules": QUALITY_SQL}
