@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breezeway.llm import binary_output, mixing, ngram_join, packing, quality
-from breezeway.llm.common import table
+from breezeway.llm import binary_output, langid, lm, mil, mixing, ngram_join, packing, quality
+from breezeway.llm.common import fold, table
 from breezeway.llm.quality_sql import QUALITY_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learned from six folds of seven."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) != 2).alias("training"))
+    return lm.score(docs).select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_pack_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -26,11 +33,29 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", *names)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three folds of four."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold("doc_id", 4) == 2).alias("held_out"))
+    model = langid.fit(docs.where("NOT held_out").select(F.col("doc_id").alias("key"), "text", "lang"))
+    return docs.select("doc_id", "held_out", langid.predict(model, F.col("text")).alias("_p")).select(
+        "doc_id", "held_out", "_p.lang_pred", "_p.score")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under Jaccard 0.9 of 3-word shingles."""
     return ngram_join.similar(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op8_quality_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from four folds of five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = mil.fit(docs.where("NOT held_out").join(labels, "doc_id").select(
+        F.col("doc_id").alias("key"), "text", "label"))
+    scored = docs.select("doc_id", "held_out", mil.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op9_binary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed id rows of every document."""
     return binary_output.pack_rows(table(spark, sf_dir, "documents"))
@@ -45,6 +70,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op3_pack_in_order, op4_quality_rules, op7_ngram_jaccard, op9_binary_rows, op10_mix_sources,
+    op1_recurrent_lm, op3_pack_in_order, op4_quality_rules, op6_language, op7_ngram_jaccard,
+    op8_quality_bags, op9_binary_rows,
+    op10_mix_sources,
 )}
 ORACLES: dict[str, str] = {"op4_quality_rules": QUALITY_SQL}
