@@ -67,6 +67,28 @@ def attach_small(
     return salted.join(copies, same & (F.col("_salt") == F.col("_salt_of")), "left").drop(*drop, "_salt", "_salt_of")
 
 
+def sampled(
+    rows: DataFrame, n: int, by: Sequence[str], stratum: str | None = None, per_stratum: int = 0,
+) -> DataFrame:
+    """At most ``n`` different rows by the hash of the columns ``by``, with ``place`` from 1.
+
+    With ``stratum`` (one of ``by``) they are taken from each of its values in turn, at
+    most ``per_stratum`` of one. Only hashes are ranked; the rows themselves are then
+    picked by a broadcast of the n chosen hashes.
+    """
+    tagged = rows.withColumn("_h", F.xxhash64(*by))
+    group = [stratum] if stratum else []
+    ids = tagged.select(*group, "_h").distinct()
+    order = [F.col("_h")]
+    if stratum:
+        nth = F.row_number().over(Window.partitionBy(stratum).orderBy("_h"))
+        ids = ids.withColumn("_nth", nth).where(F.col("_nth") <= per_stratum)
+        order = [F.col("_nth"), F.col("_h")]
+    chosen = materialise(ids.orderBy(*order).limit(n).select(
+        "_h", F.row_number().over(Window.orderBy(*order)).alias("place")), "sample")
+    return materialise(tagged.join(F.broadcast(chosen), "_h").dropDuplicates(["_h"]).drop("_h"), "sampled")
+
+
 def positions(keys: DataFrame, key: str) -> DataFrame:
     """Distinct keys in ascending order, nulls last, with ``position`` from 0.
 

@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from breezeway.llm.common import sampled
 from breezeway.llm.textarrays import Texts, chunks
-from breezeway.session import materialise
 
 LENGTHS = (1, 2, 3)
 #: n-grams are told apart by a hash of so many bits.
@@ -76,17 +76,13 @@ def fit(
     """Learn from ``labelled`` (key, text, lang), null languages aside.
 
     At most ``train_texts`` whole texts are used, at most ``per_language`` of a language,
-    by the hash of their keys, one of each language in turn. The first ``landmarks`` of them are the
+    by their hash, one of each language in turn. The first ``landmarks`` of them are the
     landmarks, and the ``alphabet`` commonest of their n-grams the alphabet. Without any
     labelled text there is no language.
     """
-    order = F.xxhash64(F.col("key"), F.lit("language"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(order, "text"))
-    sample = materialise(
-        labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("_nth", nth)
-        .where(F.col("_nth") <= per_language).orderBy("_nth", order, "lang").limit(train_texts)
-        .select("text", "lang", F.row_number().over(Window.orderBy("_nth", order, "lang")).alias("place")),
-        "language_sample")
+    sample = sampled(
+        labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("key", "text", "lang"), train_texts,
+        ("key", "text", "lang"), "lang", per_language)
 
     def grams(batches):
         for batch in batches:

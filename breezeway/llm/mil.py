@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from breezeway.llm.common import sampled
 from breezeway.llm.textarrays import Texts, chunks, hash_words, split_words
-from breezeway.session import materialise
 
 #: Words of a passage. A document of more than MOST_PASSAGES passages has longer ones.
 PASSAGE_WORDS, MOST_PASSAGES = 64, 128
@@ -142,13 +142,12 @@ def train(
 def fit(labelled: DataFrame, *, train_documents: int = 3000) -> BagModel:
     """Learn from ``labelled`` (key, text, label 0 or 1); null labels aside.
 
-    At most ``train_documents`` whole documents are used, by the hash of their keys. With
+    At most ``train_documents`` whole documents are used, by their hash. With
     labels of one kind only, every score is that label; without labels it is 0.5.
     """
-    order = F.xxhash64(F.col("key"), F.lit("quality"))
-    sample = materialise(
-        labelled.where("label IN (0, 1)").orderBy(order, "key", "text", "label").limit(train_documents)
-        .select("key", "text", "label"), "quality_sample")
+    sample = sampled(
+        labelled.where("label IN (0, 1)").select("key", "text", F.col("label").cast("int").alias("label")),
+        train_documents, ("key", "text", "label"))
 
     def encode(batches):
         for batch in batches:
@@ -160,7 +159,7 @@ def fit(labelled: DataFrame, *, train_documents: int = 3000) -> BagModel:
                      pa.array(bags, pa.binary())], ["key", "label", "bag"])
 
     kind = sample.schema["key"].dataType.simpleString()
-    rows = sample.select("key", "text", F.col("label").cast("int").alias("label")).mapInArrow(
+    rows = sample.select("key", "text", "label").mapInArrow(
         encode, f"key {kind}, label int, bag binary").collect()
     rows.sort(key=lambda r: (r.key is None, r.key, r.label, bytes(r.bag)))
     y = np.array([r.label for r in rows], dtype=np.float64)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breezeway.llm import binary_output, langid, lm, mil, mixing, ngram_join, packing, quality
+from breezeway.llm import (
+    binary_output, fingerprints, langid, lm, mil, mixing, ngram_join, packing, quality, url_filter, url_sql,
+)
 from breezeway.llm.common import fold, table
 from breezeway.llm.quality_sql import QUALITY_SQL
 
@@ -21,6 +23,15 @@ def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_url_list_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List entries active when each page was fetched."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.select(F.col("page_id").alias("key"), "url", url_sql.fetched(F.col("page_id")).alias("at"))
+    return url_filter.active_entries(captures, url_sql.changes(pages)).select(
+        F.col("key").alias("page_id"), "host", F.col("at").alias("fetched_at"), "blocked", "n_entries", "entry",
+        F.col("since").alias("listed_at"))
+
+
 def op3_pack_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -33,6 +44,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", *names)
 
 
+def op5_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    compared = fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+    return compared.withColumn("edited_sha256", F.sha2("edited", 256)).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three folds of four."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold("doc_id", 4) == 2).alias("held_out"))
@@ -70,8 +88,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op1_recurrent_lm, op3_pack_in_order, op4_quality_rules, op6_language, op7_ngram_jaccard,
+    op1_recurrent_lm, op2_url_list_in_time, op3_pack_in_order, op4_quality_rules,
+    op5_bottom_k, op6_language, op7_ngram_jaccard,
     op8_quality_bags, op9_binary_rows,
     op10_mix_sources,
 )}
-ORACLES: dict[str, str] = {"op4_quality_rules": QUALITY_SQL}
+ORACLES: dict[str, str] = {"op2_url_list_in_time": url_sql.URL_SQL, "op4_quality_rules": QUALITY_SQL}
