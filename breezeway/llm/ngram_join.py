@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from breezeway.llm.components import contract
@@ -30,6 +30,8 @@ from breezeway.session import materialise
 
 #: Class ids are broadcast to filter the documents up to this many (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Larger groups are dealt anew after the pivot's round.
+SMALL_GROUP = 64
 #: Pivots of a group grow by this factor a round.
 MORE_PIVOTS = 8
 
@@ -276,53 +278,85 @@ def deduplicated(
     return stay.withColumn("_nth", first).where("_nth = 1").select("kept.*")
 
 
+def _pivot_order(grams: str, pivot: str, percent: int) -> Column:
+    """First n-grams of a set when those that its pivot lacks come first, each part by hash.
+
+    Similar sets share one of their first |x| - ceil(percent * |x|) + 1 under any order.
+    """
+    ordered = F.concat(F.array_except(grams, pivot), F.array_intersect(grams, pivot))
+    n = F.size(grams)
+    return F.slice(ordered, 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
+
+
 def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, percent: int) -> DataFrame:
-    """Component of each class that links with another: node, root."""
+    """Component of each class that links with another: node, root.
+
+    Pairs of a pivot and the others come first. Groups of at most SMALL_GROUP members then
+    go on with more pivots. Members of larger groups are dealt anew, by their pivot and each
+    of their first n-grams in the pivot's order: copies with many edits of their own start
+    with n-grams that nothing else has, so only likely pairs meet again.
+    """
     weight = shared.groupBy("class").agg(F.count(F.lit(1)).alias("_weight"))
-    in_group = Window.partitionBy("group").orderBy(F.desc("_weight"), "class", "deleted")
+    w = Window.partitionBy("group")
+    in_order = w.orderBy(F.desc("_weight"), "class", "deleted")
     members = materialise(
-        shared.join(weight, "class").withColumn("rank", F.row_number().over(in_group) - 1)
-        .select("group", "class", "size", "larger", "deleted", "rank"), "members")
+        shared.join(weight, "class").withColumn("rank", F.row_number().over(in_order) - 1)
+        .withColumn("members", F.count(F.lit(1)).over(w)).withColumn("pivot", F.first("class").over(in_order))
+        .withColumn("place", F.lit(None).cast("int"))
+        .select("group", "class", "size", "larger", "deleted", "rank", "place", "_weight", "members", "pivot"), "members")
     wanted = members.select("class").distinct().join(rows, "class").groupBy("class").agg(F.min("key").alias("key"))
     sets = materialise(_sets(plain, materialise(wanted, "wanted"), n), "grams")
-    links, roots = None, None
-    first, last = 0, 1
-    while not members.isEmpty():
-        pivots = members.where((F.col("rank") >= first) & (F.col("rank") < last)).select(
-            "group", F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("larger").alias("larger_a"),
-            F.col("deleted").alias("deleted_a"), F.col("rank").alias("rank_a"))
-        if roots is not None:
-            pivots = pivots.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
-            others = members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
-        else:
-            pivots = pivots.withColumn("root_a", F.col("a"))
-            others = members.withColumn("root", F.col("class"))
-        fits = (100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a"))
-        pairs = others.join(pivots, "group").where(
-            (F.col("rank") > F.col("rank_a")) & fits & ~(F.col("larger") & F.col("larger_a"))
-            & ~(F.col("deleted") & F.col("deleted_a"))
-            & (F.coalesce("root", "class") != F.coalesce("root_a", "a"))
-        ).select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
-        grams_a = sets.select(F.col("class").alias("a"), F.col("grams").alias("grams_a"))
-        grams_b = sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b"))
-        both = F.size(F.array_intersect("grams_a", "grams_b"))
-        found = materialise(
-            pairs.join(grams_a, "a").join(grams_b, "b")
-            .where(100 * both >= percent * (F.size("grams_a") + F.size("grams_b") - both)).select("a", "b"), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = materialise(contract(links), "components")
-        # groups with a pivot left, and with two components among what is left and the pivots to come
+    fits = 100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a")
+    allowed = fits & ~(F.col("larger") & F.col("larger_a")) & ~(F.col("deleted") & F.col("deleted_a"))
+    grams_a = sets.select(F.col("class").alias("a"), F.col("grams").alias("grams_a"))
+    grams_b = sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b"))
+    both = F.size(F.array_intersect("grams_a", "grams_b"))
+    linked = 100 * both >= percent * (F.size("grams_a") + F.size("grams_b") - both)
+
+    heads = members.where("rank = 0").select("group", F.col("size").alias("size_a"), F.col("larger").alias("larger_a"),
+                                             F.col("deleted").alias("deleted_a"))
+    stars = members.where("class <> pivot").join(heads, "group").groupBy(
+        F.col("pivot").alias("a"), F.col("class").alias("b")).agg(
+        F.max(allowed).alias("allowed"), F.max(F.col("members") > SMALL_GROUP).alias("large"), F.first("size").alias("size"),
+        F.first("_weight").alias("_weight"))
+    checked = materialise(
+        stars.where("allowed OR large").join(grams_a, "a").join(grams_b, "b").select(
+            "a", "b", linked.alias("linked"), "size", "_weight",
+            F.when(F.col("large"), _pivot_order("grams_b", "grams_a", percent)).alias("firsts")), "stars")
+    links = checked.where("linked").select("a", "b")
+    roots = materialise(contract(links), "components")
+    again = checked.where("firsts IS NOT NULL").select(
+        "a", F.col("b").alias("class"), "size", "_weight", F.posexplode("firsts").alias("place", "gram"))
+    dealt = Window.partitionBy("group").orderBy(F.desc("_weight"), "class")
+    again = again.withColumn("group", F.xxhash64("a", "gram")).select(
+        "group", "class", "size", F.lit(False).alias("larger"), F.lit(False).alias("deleted"),
+        F.row_number().over(dealt).alias("rank"), "place")
+    small = members.where(F.col("members") <= SMALL_GROUP).select(again.columns)
+    members, first, last = small.unionByName(again), 1, 1 + MORE_PIVOTS
+    while True:
         placed = members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn(
-            "_root", F.coalesce("root", "class"))
-        w = Window.partitionBy("group")
+            "root", F.coalesce("root", "class"))
+        # groups with a pivot left, and with two components among what is left and the pivots to come
         members = materialise(
-            placed.where(F.col("rank") >= last).withColumn("_a", F.min("_root").over(w))
-            .withColumn("_b", F.max("_root").over(w)).where("_a <> _b")
-            .select("group", "class", "size", "larger", "deleted", "rank"), "members")
+            placed.where(F.col("rank") >= first).withColumn("_a", F.min("root").over(w))
+            .withColumn("_b", F.max("root").over(w)).where("_a <> _b").drop("_a", "_b"), "members")
+        if members.isEmpty():
+            return roots
+        pivots = members.where(F.col("rank") < last).select(
+            "group", F.col("class").alias("a"), *[F.col(c).alias(f"{c}_a") for c in (
+                "size", "larger", "deleted", "rank", "place", "root")])
+        # with both at their places in the pivot's order, no more than this many n-grams can be common
+        most = F.least(F.col("size") - F.col("place"), F.col("size_a") - F.col("place_a"))
+        enough = F.col("place").isNull() | ((100 + percent) * most >= percent * (F.col("size") + F.col("size_a")))
+        pairs = members.join(pivots, "group").where(
+            (F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & allowed & enough
+        ).select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
+        found = materialise(pairs.join(grams_a, "a").join(grams_b, "b").where(linked).select("a", "b"), "links")
+        members = members.drop("root")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = materialise(contract(links), "components")
         first, last = last, last + (last - first) * MORE_PIVOTS
-    if roots is None:
-        return shared.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
-    return roots
 
 
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
