@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,10 +10,12 @@ def error_metrics(df: DataFrame, actual: str = "y", predicted: str = "prediction
                   by: list[str] | None = None, mape: bool = False) -> DataFrame:
     """MAE, RMSE, R2 (and MAPE in %) per group in one pass.
 
-    R2 of a constant target is 1 if every prediction is exact, else 0.
+    Rows without a target or a prediction count nowhere. R2 of a constant target is 1 if
+    every prediction is exact, else 0.
     """
     by = by or []
-    y, e = F.col(actual).cast("double"), F.col(actual).cast("double") - F.col(predicted)
+    e = F.col(actual).cast("double") - F.col(predicted)
+    y = F.when(e.isNotNull(), F.col(actual).cast("double"))
     columns = [
         F.count(e).alias("n"),
         F.avg(F.abs(e)).alias("mae"),
@@ -39,13 +41,22 @@ def mean_r2(metrics: DataFrame, by: list[str] | None = None, bar: float = 0.65)
     return out.withColumn("passed", F.col("mean_r2") > bar)
 
 
+def _best(metrics: DataFrame, by: list[str], name: str, order: str, metric: str, worth: Column) -> DataFrame:
+    """Name and metric of the row of the largest ``worth``; the earlier candidate wins a tie.
+
+    A missing metric (NULL or NaN) loses to every other; with no other the metric is NULL.
+    """
+    known = F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double"))
+    rank = F.struct(known.cast("int"), F.when(known, worth), -F.col(order))
+    kept = F.max_by(F.struct(F.col(name), F.when(known, F.col(metric)).alias(metric)), rank)
+    return metrics.groupBy(*by).agg(kept.alias("_best")).select(*by, f"_best.{name}", f"_best.{metric}")
+
+
 def best_by_mae(metrics: DataFrame, by: list[str], name: str = "model", order: str = "rank") -> DataFrame:
-    """Lowest MAE wins; the earlier candidate wins a tie."""
-    return metrics.groupBy(*by).agg(
-        F.min_by(name, F.struct("mae", order)).alias(name), F.min("mae").alias("mae"))
+    """Lowest MAE wins."""
+    return _best(metrics, by, name, order, "mae", -F.col("mae"))
 
 
 def best_by_r2(metrics: DataFrame, by: list[str], name: str = "model", order: str = "rank") -> DataFrame:
-    """Highest R2 wins; the earlier candidate wins a tie."""
-    return metrics.groupBy(*by).agg(
-        F.max_by(name, F.struct("r2", -F.col(order))).alias(name), F.max("r2").alias("r2"))
+    """Highest R2 wins."""
+    return _best(metrics, by, name, order, "r2", F.col("r2"))

@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breezeway.operators.series import Series, running_count
-from breezeway.session import plan_bytes
-
-# Above this estimated input size, ``percentile`` could meet too many distinct values.
-FEW_VALUES_BYTES = 8 << 20
 
 
 def percentile_name(column: str, p: float) -> str:
@@ -22,22 +18,22 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row per group with a column ``<column>_p<percent>`` for each pair.
 
-    Small inputs use Spark's ``percentile``, which keeps every distinct value of
-    a group in one task. Larger ones count values first, place the counts in
-    ordered blocks and read the two neighbouring ranks off the running count.
+    Inputs of at most ``s.max_rows`` rows use Spark's ``percentile``, which keeps
+    every distinct value of a group in one task. Larger ones count values first, place
+    the counts in ordered blocks and read the two neighbouring ranks off the running
+    count. Both give the same: a group without a value has NULL percentiles.
     """
     by = by or []
     names = [(c, p, percentile_name(c, p)) for c in columns for p in probs]
-    if plan_bytes(df) <= min(s.small_bytes, FEW_VALUES_BYTES):
+    if df.count() <= s.max_rows:
         return df.groupBy(*by).agg(
             *[F.percentile(F.col(c).cast("double"), F.lit(p)).alias(n) for c, p, n in names])
     values = F.explode(F.array(*[
         F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns]))
     counts = (
         df.select(*by, values.alias("_v")).select(*by, "_v.*")
-        .filter(F.col("_value").isNotNull())
         .groupBy(*by, "_column", "_value")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count("_value").alias("_n"))  # 0 for NULL: it has no rank but keeps its group
     )
     ranked = running_count(counts, [*by, "_column"], "_value", "_n", s)
 

@@ -9,9 +9,10 @@ from breezeway.functions import fixed_values as V
 from breezeway.functions.bands import scale_of_range
 from breezeway.functions.calendar import MICROS_PER_MINUTE, micros
 from breezeway.operators.percentiles import exact_percentiles
-from breezeway.operators.series import Series
+from breezeway.operators.series import Series, same_key
 from breezeway.operators.shape import first_present, unpivot_row, where_present
 from breezeway.operators.windows import with_gap, with_run_id
+from breezeway.session import materialise
 
 def _rows() -> Column:
     return F.count(F.lit(1))
@@ -112,8 +113,8 @@ def sample_gates(raw: DataFrame, clean: DataFrame, key: list[str] = ["location"]
     """Which uses each entity has enough rows for."""
     raw_n = raw.groupBy(*key).agg(_rows().alias("raw_rows"))
     clean_n = clean.groupBy(*key).agg(_rows().alias("clean_rows"))
-    counts = raw_n.join(clean_n, key, "left").withColumn(
-        "clean_rows", F.coalesce(F.col("clean_rows"), F.lit(0)))
+    counts = raw_n.join(clean_n, same_key(raw_n, clean_n, key), "left").select(
+        *[raw_n[k] for k in key], "raw_rows", F.coalesce("clean_rows", F.lit(0)).alias("clean_rows"))
     gates = {}
     for name, (least_raw, least_clean) in SAMPLE_GATES.items():
         ok = F.col("raw_rows") >= least_raw
@@ -124,7 +125,7 @@ def sample_gates(raw: DataFrame, clean: DataFrame, key: list[str] = ["location"]
 def with_enough_rows(df: DataFrame, least: int, s: Series = Series()) -> DataFrame:
     """Rows of the entities that have at least ``least`` rows."""
     enough = df.groupBy(*s.key).agg(_rows().alias("_n")).filter(F.col("_n") >= least).drop("_n")
-    return df.join(enough, list(s.key), "left_semi").select(*df.columns)
+    return df.join(enough, same_key(df, enough, list(s.key)), "left_semi")
 
 
 def time_span(df: DataFrame, s: Series = Series()) -> DataFrame:
@@ -135,24 +136,31 @@ def time_span(df: DataFrame, s: Series = Series()) -> DataFrame:
 
 
 def gap_stats(df: DataFrame, s: Series = Series()) -> DataFrame:
-    """Smallest, largest, mean and median gap of each entity in microseconds."""
+    """Smallest, largest, mean and median gap of each entity in microseconds.
+
+    The gaps are written once; both aggregates read them.
+    """
     key = list(s.key)
-    gaps = with_gap(df.select(*key, *s.order), s).filter("gap_micros is not null")
+    gaps = materialise(with_gap(df.select(*key, *s.order), s).filter("gap_micros is not null").select(
+        *key, "gap_micros"), "gaps")
     basic = gaps.groupBy(*key).agg(
         F.min("gap_micros").alias("min_gap"), F.max("gap_micros").alias("max_gap"),
         F.avg("gap_micros").alias("mean_gap"))
     median = exact_percentiles(gaps, ["gap_micros"], [0.5], key, s)
-    return basic.join(median.withColumnRenamed("gap_micros_p50", "median_gap"), key)
+    median = median.withColumnRenamed("gap_micros_p50", "median_gap")
+    return basic.join(median, same_key(basic, median, key)).select(*[basic[k] for k in key], *basic.columns[len(key):],
+                                                                   "median_gap")
 
 
 def large_gaps(df: DataFrame, s: Series = Series(), hours: int = V.LARGE_GAP_HOURS, show: int = 10) -> DataFrame:
     """The first ``show`` gaps over ``hours`` of each entity in time order, and their number."""
     key = list(s.key)
     gaps = with_gap(df.select(*key, *s.order), s)
-    large = gaps.filter(F.col("gap_micros") > hours * 60 * MICROS_PER_MINUTE)
+    large = materialise(gaps.filter(F.col("gap_micros") > hours * 60 * MICROS_PER_MINUTE), "large-gaps")
     first = large.withColumn("rank", F.row_number().over(s.window()).cast("long")).filter(F.col("rank") <= show)
     counts = large.groupBy(*key).agg(_rows().alias("large_gaps"))
-    return first.join(counts, key).select(*key, s.ts, "gap_micros", "rank", "large_gaps")
+    return first.join(counts, same_key(first, counts, key)).select(
+        *[first[k] for k in key], s.ts, "gap_micros", "rank", "large_gaps")
 
 
 def runs(df: DataFrame, s: Series = Series(), minutes: int = V.RUN_GAP_MINUTES) -> DataFrame:

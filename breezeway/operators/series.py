@@ -21,13 +21,14 @@ per chunk.
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from breezeway.session import materialise, plan_bytes
+from breezeway.session import materialise, plan_name
 
 # A summary or key table is broadcast only below this many rows.
 BROADCAST_ROWS = 500_000
@@ -37,15 +38,13 @@ BROADCAST_ROWS = 500_000
 class Series:
     """Which columns name the entity, its time and its tie-breaker.
 
-    ``max_rows`` bounds the rows of one entity in one window task. Inputs that
-    Catalyst estimates below ``small_bytes`` are not counted first.
+    ``max_rows`` bounds the rows of one entity in one window task.
     """
 
     key: tuple[str, ...] = ("location",)
     ts: str = "timestamp"
     seq: str = "seq"
     max_rows: int = 1_000_000
-    small_bytes: int = 64 << 20
 
     @property
     def order(self) -> list[str]:
@@ -88,22 +87,49 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataF
     return joined.drop(*[f"_r_{c}" for c in on])
 
 
+@dataclass(frozen=True)
+class Heavy:
+    """Entities with more than ``max_rows`` rows: how many, their rows, and their keys if any."""
+
+    entities: int
+    rows: int
+    keys: DataFrame | None = None
+
+
+# What is known of frames that were counted. Chained operators only add columns, so the
+# key column alone has the same optimized plan for all of them and is counted once.
+_counted: OrderedDict[tuple, Heavy] = OrderedDict()
+COUNTED_FRAMES = 64
+
+
+def heavy_entities(df: DataFrame, s: Series) -> Heavy:
+    """Count rows per entity; one partial aggregate over the key columns."""
+    keys = df.select(*s.key)
+    name = (df.sparkSession.sparkContext.applicationId, *plan_name(keys), s.key, s.max_rows)
+    if name not in _counted:
+        counts = keys.groupBy(*s.key).agg(F.count(F.lit(1)).alias("_rows"))
+        heavy = counts.filter(F.col("_rows") > s.max_rows)
+        found = heavy.agg(F.count(F.lit(1)).alias("n"), F.sum("_rows").alias("rows")).first()
+        _counted[name] = Heavy(
+            found["n"], found["rows"] or 0,
+            materialise(heavy.drop("_rows"), "heavy-entities") if found["n"] else None)
+        if len(_counted) > COUNTED_FRAMES:
+            _counted.popitem(last=False)
+    return _counted[name]
+
+
 def split_by_size(df: DataFrame, s: Series) -> Split:
     """Separate the entities whose rows exceed ``s.max_rows``."""
-    if plan_bytes(df) <= s.small_bytes:
-        return Split(df)
-    counts = df.groupBy(*s.key).agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = materialise(counts.filter(F.col("_rows") > s.max_rows), "heavy-entities")
-    bound = heavy.agg(F.count(F.lit(1)).alias("n"), F.sum("_rows").alias("rows")).first()
-    if bound["n"] == 0:
+    heavy = heavy_entities(df, s)
+    if not heavy.entities:
         return Split(df)
-    keys = bounded(heavy.drop("_rows"), bound["n"])
+    keys = bounded(heavy.keys, heavy.entities)
     match = same_key(df, keys, list(s.key))
     return Split(
         cold=df.join(keys, match, "left_anti"),
         hot=df.join(keys, match, "left_semi"),
-        hot_rows=bound["rows"],
-        hot_entities=bound["n"],
+        hot_rows=heavy.rows,
+        hot_entities=heavy.entities,
     )
 
 

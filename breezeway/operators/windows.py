@@ -186,9 +186,20 @@ def zero_deviation(df: DataFrame) -> DataFrame:
 
 def with_rolling(df: DataFrame, parts: dict[str, list[str]], sizes: list[int] = DOUBLING,
                  s: Series = Series()) -> DataFrame:
-    """Rolling statistics of the last 3, 6, 12, 24 or 48 rows, partial frames allowed."""
-    return with_window_steps(
-        df, lambda rows, w: with_frame_columns(rows, w, parts, sizes), s, back=max(sizes))
+    """Rolling statistics of the last so many rows, partial frames allowed.
+
+    3, 6, 12, 24 and 48 rows are merged from smaller frames; other sizes take a plain frame.
+    """
+    doubling = [n for n in sizes if n in DOUBLING]
+    others = [n for n in sizes if n not in DOUBLING]
+
+    def steps(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = with_frame_columns(rows, w, parts, doubling) if doubling else rows
+        plain = [rolling(w, c, n, how).alias(rolling_name(c, how, n))
+                 for n in others for c, hows in parts.items() for how in hows]
+        return rows.select("*", *plain)
+
+    return with_window_steps(df, steps, s, back=max(sizes))
 
 
 def with_day_rolling(df: DataFrame, columns: list[str], s: Series = Series()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from breezeway.operators.series import Series, with_positions
 from breezeway.schemas import REGISTRY, TRAINING_METADATA
+from breezeway.sources.commits import read_version, versions, write_version
 
 
 def active(registry: DataFrame) -> DataFrame:
@@ -37,15 +38,16 @@ def production_models(registry: DataFrame, name: str | None = None) -> DataFrame
     return newest_models(registry, stage="production", name=name)
 
 
-def promote(registry: DataFrame, wanted: DataFrame, at: Column | None = None) -> DataFrame:
+def promote(registry: DataFrame, wanted: DataFrame, at: Column | None = None, order: str = "version") -> DataFrame:
     """The registry after promoting each wanted (model_name, version).
 
     The name's active production versions are archived and the wanted one takes
-    their place. A name whose wanted version is not active stays untouched.
+    their place. A name whose wanted version is not active stays untouched. Of several
+    wanted versions of a name the last by the column ``order`` of ``wanted`` wins.
     """
     at = F.current_timestamp() if at is None else at
-    found = promotion_result(registry, wanted).filter("found").select(
-        "model_name", F.col("version").alias("_wanted"))
+    there = wanted.join(active(registry).select("model_name", "version").distinct(), ["model_name", "version"], "left_semi")
+    found = there.groupBy("model_name").agg(F.max_by("version", F.col(order)).alias("_wanted"))
     is_active = F.col("status") == "active"
     chosen = is_active & (F.col("version") == F.col("_wanted"))
     retired = is_active & F.col("_wanted").isNotNull() & (F.col("stage") == "production")
@@ -104,12 +106,26 @@ def registry_row(spark, model_name: str, version: str, file_path: str, metrics:
     return spark.createDataFrame([row], REGISTRY)
 
 
+def _store(registry: DataFrame, path: str) -> None:
+    spark = registry.sparkSession
+    write_version(registry, path, "registry", max(versions(spark, path, "registry"), default=0) + 1)
+
+
 def register(registry_path: str, row: DataFrame) -> None:
-    row.coalesce(1).write.mode("append").parquet(registry_path)
+    """Add rows to the stored registry: a new committed version of it."""
+    before = read_registry(row.sparkSession, registry_path)
+    _store(before.unionByName(row.select(*before.columns)), registry_path)
+
+
+def promote_stored(spark, registry_path: str, wanted: DataFrame, at: Column | None = None,
+                   order: str = "version") -> None:
+    """Promote in the stored registry; lookups from now on see the new stages."""
+    _store(promote(read_registry(spark, registry_path), wanted, at, order), registry_path)
 
 
 def read_registry(spark, registry_path: str) -> DataFrame:
-    return spark.read.schema(REGISTRY).parquet(registry_path)
+    """The newest committed version of the registry."""
+    return read_version(spark, registry_path, "registry", REGISTRY)
 
 
 def training_metadata(models: DataFrame, quality: DataFrame, key: list[str] = ["location"]) -> DataFrame:

@@ -16,6 +16,7 @@ from breezeway.operators.quality import with_enough_rows
 from breezeway.operators.series import Series
 from breezeway.operators.shape import fill_missing
 from breezeway.plans.features import advanced_feature_names, advanced_features, hours_of
+from breezeway.session import materialise
 from breezeway.sources.readings import latest, latest_n_each, since_days
 
 
@@ -72,10 +73,9 @@ def serving_rows(df: DataFrame, s: Series = Series(), history_rows: int = 100, l
 
     Entities with fewer than ``least`` rows are not served. Missing features become 0.
     """
-    recent = with_enough_rows(latest_n_each(df, history_rows, s), least, s)
-    # at most history_rows rows per entity remain, so the plain window is safe
-    small = Series(s.key, s.ts, s.seq, s.max_rows, small_bytes=1 << 62)
-    newest = latest_n_each(advanced_features(recent, small), 1, s)
+    # one frame of at most history_rows rows an entity, which the count and the features read
+    recent = materialise(latest_n_each(df, history_rows, s), "recent")
+    newest = latest_n_each(advanced_features(with_enough_rows(recent, least, s), s), 1, s)
     return fill_missing(newest, advanced_feature_names())
 
 

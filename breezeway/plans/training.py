@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -44,10 +44,6 @@ def shuffled_split(df: DataFrame, seq: str = "seq", share: float = 0.8, seed: in
     return df.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), seq), F.lit(1000)) < int(share * 1000))
 
 
-def random_split(df: DataFrame, share: float = 0.8, seed: int = SEED) -> list[DataFrame]:
-    return df.randomSplit([share, 1 - share], seed)
-
-
 def assemble(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Features as one vector plus the label; both must be free of NULLs."""
     vectors = VectorAssembler(inputCols=features, outputCol="features")
@@ -148,6 +144,8 @@ class Trained:
     training_samples: int
     test_samples: int
     all_metrics: dict[str, dict[str, float]] = field(default_factory=dict)
+    #: what the trainer knew: model_type, data_quality, uses_lags, optimization
+    details: dict[str, str] = field(default_factory=dict)
 
 
 def predict(model, rows: DataFrame) -> DataFrame:
@@ -166,9 +164,11 @@ def evaluate(models: dict[str, object], test: DataFrame) -> DataFrame:
 
 
 def train_one(frame: DataFrame, horizon: str, features: list[str], target: str,
-              candidates: Candidates, choose: str = "mae") -> Trained:
+              candidates: Candidates, choose: str = "mae", least: int = 1) -> Trained:
     """Fit all candidates on the rows marked ``is_train`` and keep the best on the others."""
     ready = materialise(assemble(frame.select("is_train", target, *features), features, target), "training")
+    if not _has_rows(ready, least):
+        raise TooFewRows(f"fewer than {least} rows")
     train, test = ready.filter("is_train"), ready.filter(~F.col("is_train"))
     fitted = {name: build(train).fit(train) for name, build in candidates.items()}
     scores = materialise(evaluate(fitted, test), "scores")
@@ -210,7 +210,16 @@ def train_adaptive(readings: DataFrame, horizons: list[str] = V.HORIZONS,
         target = f"target_aqi_{h}"
         return with_split(drop_missing(frame, [*features, target]), s), features, target
 
-    return _each_horizon(horizons, rows, candidates, "mae", SAMPLE_GATES["adaptive"][1])
+    found = _each_horizon(horizons, rows, candidates, "mae", SAMPLE_GATES["adaptive"][1])
+    # one row per model type, at most three
+    kinds = frame.groupBy("model_type").agg(
+        F.max("max_consecutive").alias("longest")).collect()
+    details = {
+        "model_type": ",".join(sorted(str(k["model_type"]) for k in kinds)),
+        "uses_lags": str(any("_lag_" in f for f in features)).lower(),
+        "data_quality": f"longest run {max((k['longest'] or 0 for k in kinds), default=0)}",
+    }
+    return {h: replace(t, details=details) for h, t in found.items()}
 
 
 def train_simple(readings: DataFrame, horizons: list[str] = V.HORIZONS,
@@ -240,9 +249,14 @@ def train_full(readings: DataFrame, horizons: list[str] = V.HORIZONS,
     return _each_horizon(horizons, rows, candidates, "mae", 1)
 
 
-def train_tuned(readings: DataFrame, horizons: list[str] = V.HORIZONS,
-                candidates: Candidates | None = None, s: Series = Series()) -> dict[str, Trained]:
-    """The tuned trainer: advanced features, missing values as 0, shuffled split, best R2."""
+def train_tuned(readings: DataFrame, horizons: list[str] = V.HORIZONS, candidates: Candidates | None = None,
+                s: Series = Series(), source: str | None = None) -> dict[str, Trained]:
+    """The tuned trainer: advanced features, missing values as 0, shuffled split, best R2.
+
+    ``source`` takes the readings of one source only.
+    """
+    if source is not None:
+        readings = readings.filter(F.col("source") == source)
     targets = {f"target_aqi_{h}": hours_of(h) for h in horizons}
     frame = materialise(advanced_features(readings, s, targets), "features")
     features = advanced_feature_names()
@@ -252,7 +266,9 @@ def train_tuned(readings: DataFrame, horizons: list[str] = V.HORIZONS,
         clean = fill_missing(drop_missing(frame, [target]), features)
         return shuffled_split(clean, s.seq), features, target
 
-    return _each_horizon(horizons, rows, candidates or tuned_candidates(), "r2", 1)
+    found = _each_horizon(horizons, rows, candidates or tuned_candidates(), "r2", 1)
+    details = {"optimization": "grid search" if candidates is None else "given candidates", "uses_lags": "true"}
+    return {h: replace(t, details=details) for h, t in found.items()}
 
 
 def _has_rows(df: DataFrame, least: int) -> bool:
@@ -262,22 +278,28 @@ def _has_rows(df: DataFrame, least: int) -> bool:
     return enough
 
 
+class TooFewRows(Exception):
+    """A horizon has fewer rows than its trainer asks for."""
+
+
 def _each_horizon(horizons: list[str], rows: Callable, candidates: Candidates, choose: str,
                   least: int) -> dict[str, Trained]:
-    """Train horizon by horizon; one that fails or has too few rows is skipped and logged."""
+    """Train horizon by horizon; one with too few rows is skipped and logged, other errors are raised."""
     trained = {}
     for h in horizons:
+        frame, features, target = rows(h)
         try:
-            frame, features, target = rows(h)
-            if not _has_rows(frame, least):
-                log.warning("horizon %s skipped", h)
-                continue
-            trained[h] = train_one(frame, h, features, target, candidates, choose)
-        except Exception:
-            log.exception("horizon %s failed", h)
+            trained[h] = train_one(frame, h, features, target, candidates, choose, least)
+        except TooFewRows as e:
+            log.warning("horizon %s skipped: %s", h, e)
     return trained
 
 
+def horizon_status(horizons: list[str], trained: dict[str, Trained]) -> dict[str, str]:
+    """``trained`` or ``too few rows`` for each asked horizon."""
+    return {h: "trained" if h in trained else "too few rows" for h in horizons}
+
+
 def save_and_register(spark, trained: Trained, model_root: str, registry_path: str, at,
                       stage: str = "staging") -> str:
     """Save the model, append its registry row, and return its version."""
@@ -288,7 +310,7 @@ def save_and_register(spark, trained: Trained, model_root: str, registry_path: s
     metadata = {
         "algorithm": trained.name, "features": str(len(trained.features)),
         "training_samples": str(trained.training_samples), "test_samples": str(trained.test_samples),
-        "horizon": trained.horizon,
+        "horizon": trained.horizon, **trained.details,
     }
     register(registry_path, registry_row(
         spark, name, stamp, path, trained.metrics, trained.features, at, metadata, stage))

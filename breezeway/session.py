@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "8", app: str = "breezeway") -> SparkSession:
-    """A local session for tests and the bench; clusters bring their own."""
+def local_session(cores: str = "8", app: str = "breezeway", folder: str = "/tmp/breezeway-shared") -> SparkSession:
+    """A local session for tests and the bench, which names ``folder`` as shared; clusters bring their own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -18,6 +17,7 @@ def local_session(cores: str = "8", app: str = "breezeway") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", folder)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -26,17 +26,20 @@ def local_session(cores: str = "8", app: str = "breezeway") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names for checkpoints.
+    """The folder the session names for checkpoints, which all executors must share.
 
-    Only a local master may fall back to a temporary folder of its machine.
+    A session without one takes a folder inside its warehouse, which is shared as well;
+    it is removed when the application ends.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="breezeway-")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    folder = f"{warehouse}/scratch-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -58,8 +61,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; costs no job. Unknown counts as huge."""
+def plan_name(df: DataFrame) -> tuple:
+    """Equal for frames of the same optimized plan over the same inputs.
+
+    A frame that shows no plan (a remote session's) is equal to itself only.
+    """
     if not hasattr(df, "_jdf"):
-        return 1 << 62
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return (id(df),)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return plan.semanticHash(), plan.canonicalized().treeString()

@@ -1,7 +1,7 @@
 """Readings stored as parquet snapshots.
 
 ``root/snapshot=<n>/date=<d>/*.parquet``: appends add files to the newest
-snapshot, deletes write the next one. Rows are clustered by date and sorted by
+snapshot, deletes write the next one. A snapshot counts once it is committed. Rows are clustered by date and sorted by
 entity and time inside a file, so a time filter skips directories and an entity
 filter skips row groups; entities do not become directories, their number is
 not bounded.
@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from breezeway.operators.series import Series
 from breezeway.session import materialise
+from breezeway.sources.commits import commit, versions
 
 
 def cluster_for_write(df: DataFrame, columns: list[str], sort: list[str]) -> DataFrame:
@@ -32,21 +33,17 @@ class ReadingStore:
     series: Series = Series()
 
     def _snapshots(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [f.getPath().getName() for f in fs.listStatus(path)]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("snapshot="))
+        return versions(self.spark, self.root, "snapshot")
 
     def _path(self, snapshot: int) -> str:
         return f"{self.root}/snapshot={snapshot}"
 
-    def _write(self, df: DataFrame, snapshot: int) -> None:
+    def _write(self, df: DataFrame, snapshot: int, mode: str) -> None:
         s = self.series
         dated = df.select(*self.schema.names).withColumn("date", F.to_date(s.ts))
         dated = cluster_for_write(dated, ["date"], [*s.key, *s.order])
-        dated.write.mode("append").partitionBy("date").parquet(self._path(snapshot))
+        dated.write.mode(mode).partitionBy("date").parquet(self._path(snapshot))
+        commit(self.spark, self._path(snapshot))
 
     def read(self) -> DataFrame:
         """The newest snapshot, with its ``date`` column."""
@@ -58,21 +55,28 @@ class ReadingStore:
 
     def append(self, df: DataFrame) -> None:
         snapshots = self._snapshots()
-        self._write(df, snapshots[-1] if snapshots else 1)
+        if snapshots:
+            self._write(df, snapshots[-1], "append")
+        else:
+            self._write(df, 1, "overwrite")
 
     def append_stamped(self, df: DataFrame, batch: int, at: Column | None = None,
                        order: list[str] | None = None) -> DataFrame:
         """Append with the write time and fresh ids; returns the ids.
 
-        Ids are unique without a global sort: batch number, then partition and row
-        (up to 2**16 partitions of 2**28 rows, and 2**19 batches).
+        An id is the batch number and the exact place of the row in the batch (up to 2**44
+        rows, 2**19 batches): rows are written once, counted per partition, and a
+        partition starts after the rows of those before it.
         """
         at = F.current_timestamp() if at is None else at
-        local = F.monotonically_increasing_id()
-        folded = F.shiftleft(F.shiftright(local, 33), 28) + local.bitwiseAND((1 << 28) - 1)
-        stamped = (
-            df.sortWithinPartitions(*order) if order else df
-        ).withColumn(self.series.ts, at).withColumn(self.series.seq, F.lit(batch << 44) + folded)
+        placed = (df.sortWithinPartitions(*order) if order else df).withColumn("_at", F.monotonically_increasing_id())
+        placed = materialise(placed, "unstamped").withColumn("_part", F.shiftright("_at", 33))
+        parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+        earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = parts.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+        place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+        stamped = placed.join(F.broadcast(starts), "_part").withColumn(self.series.ts, at).withColumn(
+            self.series.seq, F.lit(batch << 44) + place)
         stamped = materialise(stamped.select(*self.schema.names), "stamped")
         self.append(stamped)
         return stamped.select(self.series.seq)
@@ -80,11 +84,4 @@ class ReadingStore:
     def replace(self, df: DataFrame) -> None:
         """Make ``df`` the next snapshot; readers of the old one are not disturbed."""
         snapshots = self._snapshots()
-        following = snapshots[-1] + 1 if snapshots else 1
-        self._write(df, following)
-        if following not in self._snapshots():
-            self._make_empty(following)
-
-    def _make_empty(self, snapshot: int) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(snapshot))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(path)
+        self._write(df, snapshots[-1] + 1 if snapshots else 1, "overwrite")

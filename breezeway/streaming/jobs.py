@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from breezeway.operators.quality import coverage_status
 from breezeway.operators.series import Series
 from breezeway.session import scratch_path
+from breezeway.sources.commits import drop_versions, read_version, versions, write_version
 from breezeway.sources.readings import latest
 from breezeway.streaming.gate import gate_stream
 
@@ -39,7 +40,10 @@ def store_gated(stream: DataFrame, path: str, state_path: str, s: Series = Serie
 
 
 def daily_coverage_stream(stream: DataFrame, s: Series = Series(), delay: str = "2 hours") -> DataFrame:
-    """Rows per entity and day; a day is emitted once the watermark has passed it."""
+    """Rows per entity and day; a day is emitted once the watermark has passed it.
+
+    For days that are still open run it with ``outputMode("update")`` and an upsert.
+    """
     return (
         stream.withColumn(s.ts, F.col(s.ts).cast("timestamp"))
         .withWatermark(s.ts, delay)
@@ -53,30 +57,21 @@ def daily_coverage_stream(stream: DataFrame, s: Series = Series(), delay: str =
 def upsert_latest(root: str, s: Series = Series()) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` handler that keeps the newest row of each entity.
 
-    Batch ``n`` is written to ``root/batch=n`` from the newest earlier batch, so
-    a repeated batch writes the same table again.
+    Batch ``n`` is written to ``root/batch=n`` from the newest earlier batch and then
+    committed, so a repeated batch writes the same table again and a half-written one is
+    never read. Tables older than the one before are removed.
     """
     def handle(batch: DataFrame, n: int) -> None:
-        rows = batch
-        before = _batches(batch.sparkSession, root, n)
+        spark, rows = batch.sparkSession, batch
+        before = [b for b in versions(spark, root, "batch") if b < n]
         if before:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{root}/batch={before[-1]}")
-            rows = batch.unionByName(old)
-        latest(rows, s).write.mode("overwrite").parquet(f"{root}/batch={n}")
+            rows = batch.unionByName(read_version(spark, root, "batch", batch.schema, before[-1]))
+            drop_versions(spark, root, "batch", before[-1])
+        write_version(latest(rows, s), root, "batch", n)
 
     return handle
 
 
-def _batches(spark: SparkSession, root: str, below: int | None = None) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(path)]
-    found = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
-    return [n for n in found if below is None or n < below]
-
-
 def keep_latest(stream: DataFrame, root: str, state_path: str, s: Series = Series()) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(upsert_latest(root, s))
@@ -87,10 +82,7 @@ def keep_latest(stream: DataFrame, root: str, state_path: str, s: Series = Serie
 
 
 def read_latest(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    batches = _batches(spark, root)
-    if not batches:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/batch={batches[-1]}")
+    return read_version(spark, root, "batch", schema)
 
 
 def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:

@@ -112,12 +112,12 @@ def fit_and_predict(spark, sf, build):
 
 @query("m03_random_forest")
 def _(spark, sf):
-    return fit_and_predict(spark, sf, lambda _: training.random_forest(20, 10))
+    return fit_and_predict(spark, sf, lambda _: training.random_forest(100, 10))
 
 
 @query("m04_gradient_boosting")
 def _(spark, sf):
-    return fit_and_predict(spark, sf, lambda _: training.gradient_boosting(10, 5))
+    return fit_and_predict(spark, sf, lambda _: training.gradient_boosting(50, 5))
 
 
 @query("m05_ridge")
@@ -160,7 +160,8 @@ def _(spark, sf):
     return searched(spark, sf, training.random_forest(10, 5), {"featureSubsetStrategy": ["sqrt", "log2"]})
 
 
-SMALL = {"RandomForest": lambda _: training.random_forest(10, 5), "Ridge": training.ridge}
+SMALL = {"RandomForest": lambda _: training.random_forest(10, 5),
+         "GradientBoosting": lambda _: training.gradient_boosting(5, 5), "Ridge": training.ridge}
 
 
 @query("m10_candidate_metrics")
@@ -191,11 +192,27 @@ def _(spark, sf):
                                        "mae double, rmse double, r2 double")
 
 
+def outcomes(spark, models):
+    rows = [(m.horizon, m.name, len(m.features), m.training_samples, m.test_samples, m.metrics["mae"]) for m in models.values()]
+    return spark.createDataFrame(
+        rows, "horizon string, model string, features int, training_samples long, test_samples long, mae double")
+
+
+@query("m13_train_simple")
+def _(spark, sf):
+    return outcomes(spark, training.train_simple(fx.readings(spark, sf), candidates=SMALL, s=S))
+
+
+@query("m13_train_full")
+def _(spark, sf):
+    return outcomes(spark, training.train_full(fx.readings(spark, sf), candidates=SMALL, s=S))
+
+
 @query("m14_forecast_of_trained_model")
 def _(spark, sf):
     """Train on the readings, register, look the models up again and forecast."""
     candidates = {"Ridge": training.ridge}
-    models = training.train_tuned(fx.readings(spark, sf), ["24h", "72h"], candidates, S)
+    models = training.train_tuned(fx.readings(spark, sf), ["24h", "48h", "72h"], candidates, S)
     root = scratch_path(spark, "models")
     for model in models.values():
         training.save_and_register(spark, model, root, f"{root}/registry", AT, stage="production")
@@ -276,8 +293,10 @@ SELECT r.model_name, r.version, r.status,
   CASE WHEN r.status = 'active' AND r.version = f.version THEN TIMESTAMP '2025-01-01' END AS promoted_at
 FROM registry r LEFT JOIN found f ON r.model_name = f.model_name""")
 def _(spark, sf):
-    registry = fx.registry(spark, sf)
-    out = reg.promote(registry, wanted(registry), F.lit("2025-01-01").cast("timestamp"))
+    path, registry = scratch_path(spark, "registry"), fx.registry(spark, sf)
+    reg.register(path, registry)
+    reg.promote_stored(spark, path, wanted(registry), F.lit("2025-01-01").cast("timestamp"))
+    out = reg.read_registry(spark, path)
     return out.select("model_name", "version", "status", "stage", "archived_at", "promoted_at")
 
 

@@ -42,7 +42,7 @@ def _(spark, sf):
 @query("t1_ingest_gate_in_chunks", STORED)
 def _(spark, sf):
     """The way huge stations take, forced by a low row limit."""
-    return gate.accepted(fx.polls(spark, sf), Series(max_rows=1000, small_bytes=0))
+    return gate.accepted(fx.polls(spark, sf), Series(max_rows=1000))
 
 
 @query("t3_gate_reasons", GATE_SQL + "SELECT seq, location, reason FROM walk")

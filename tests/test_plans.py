@@ -80,7 +80,7 @@ def test_no_nested_loop_joins(table):
 
 
 def test_huge_entities_are_cut(table):
-    text = plan(features.advanced_features(table, Series(max_rows=50, small_bytes=0)))
+    text = plan(features.advanced_features(table, Series(max_rows=50)))
     assert "_chunk" in text and "Union" in text
     assert "BroadcastHashJoin" in text
 

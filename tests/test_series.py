@@ -12,7 +12,7 @@ from tests.helpers import random_readings, rows_of
 
 PLAIN = Series()
 # Entities above 90 rows are huge; a, and by chance others, are cut in several chunks.
-CUT = Series(max_rows=90, small_bytes=0)
+CUT = Series(max_rows=90)
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def test_split_finds_only_huge_entities(readings):
     assert {r["location"] for r in split.hot.select("location").distinct().collect()} == hot
     assert split.hot_rows == sum(counts[k] for k in hot)
     assert split.cold.count() + split.hot.count() == readings.count()
-    assert split_by_size(readings, Series(max_rows=10**6, small_bytes=0)).hot is None
+    assert split_by_size(readings, Series(max_rows=10**6)).hot is None
 
 
 def test_positions(readings):
@@ -40,7 +40,7 @@ def test_null_entity_is_kept(readings):
     assert with_positions(readings, CUT).filter("location is null").count() == n
 
 
-@pytest.mark.parametrize("s", [CUT, Series(max_rows=1, small_bytes=0)])
+@pytest.mark.parametrize("s", [CUT, Series(max_rows=1)])
 def test_advanced_features_with_targets(readings, s):
     targets = {"t24": 24, "t72": 72}
     a = features.advanced_features(readings, PLAIN, targets)
@@ -75,7 +75,7 @@ def test_carried_value_crosses_empty_chunks(spark):
         F.col("id").alias("seq"), F.lit("a").alias("location"),
         F.timestamp_seconds(F.col("id")).alias("timestamp"),
         F.when(F.col("id") == 3, 7.0).alias("v"))
-    out = windows.forward_fill(rows, ["v"], Series(max_rows=40, small_bytes=0))
+    out = windows.forward_fill(rows, ["v"], Series(max_rows=40))
     assert out.filter("v = 7.0").count() == 497
 
 
@@ -87,14 +87,14 @@ def test_time_split(readings):
 def test_exact_percentiles(readings, by):
     columns, probs = ["pm2_5", "no2"], [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
     a = exact_percentiles(readings, columns, probs, by, PLAIN)
-    b = exact_percentiles(readings, columns, probs, by, Series(max_rows=30, small_bytes=0))
+    b = exact_percentiles(readings, columns, probs, by, Series(max_rows=30))
     assert a.columns == b.columns
     assert rows_of(a) == rows_of(b)
 
 
 def test_percentiles_with_one_dominant_value(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 900, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
-    s = Series(max_rows=10, small_bytes=0)
+    s = Series(max_rows=10)
     assert rows_of(exact_percentiles(df, ["v"], [0.5, 0.95], None, s)) == rows_of(
         exact_percentiles(df, ["v"], [0.5, 0.95]))
 
@@ -118,7 +118,7 @@ def test_gate(readings, max_rows):
     df = polls(readings)
     a = rows_of(gate.gate_reasons(df, PLAIN))
     assert len({r[0] for r in a}) == 4
-    assert rows_of(gate.gate_reasons(df, Series(max_rows=max_rows, small_bytes=0))) == a
+    assert rows_of(gate.gate_reasons(df, Series(max_rows=max_rows))) == a
 
 
 def test_gate_of_constant_series_needs_many_rounds(spark):
@@ -127,7 +127,7 @@ def test_gate_of_constant_series_needs_many_rounds(spark):
         F.col("id").alias("seq"), F.lit("a").alias("location"),
         F.timestamp_seconds(F.col("id") * 600).alias("timestamp"),
         F.lit(1).alias("aqi"), F.lit(1.0).alias("pm2_5"), F.lit(1.0).alias("temperature"))
-    s = Series(max_rows=13, small_bytes=0)
+    s = Series(max_rows=13)
     kept = sorted(r["seq"] for r in gate.accepted(df, s).collect())
     assert kept == list(range(0, 100, 5))
 
@@ -141,9 +141,44 @@ def test_compare_models_of_a_huge_name(spark, sf):
 
     a = rows_of(reg.compare_models(registry).select("version", "place", "metric_value"))
     original = module.Series
-    module.Series = lambda *names: original(*names, max_rows=50, small_bytes=0)
+    module.Series = lambda *names: original(*names, max_rows=50)
     try:
         b = rows_of(reg.compare_models(registry).select("version", "place", "metric_value"))
     finally:
         module.Series = original
     assert a == b
+
+
+def test_size_is_counted_not_estimated(spark, tmp_path):
+    """Many rows in a tiny file: the hot entity is still found, and the count is shared."""
+    from breezeway.operators import series as module
+
+    path = str(tmp_path / "flat")
+    spark.range(200_000).selectExpr("'a' location", "timestamp_seconds(id) timestamp", "id seq").coalesce(1).write.parquet(path)
+    df, s = spark.read.parquet(path), Series(max_rows=50_000)
+    split = split_by_size(df, s)
+    assert split.hot_entities == 1 and split.hot_rows == 200_000
+    assert split_by_size(windows.with_gap(df, s), s).hot_rows == 200_000
+    large = Series(max_rows=300_000)
+    assert split_by_size(df, large).hot is None
+    known = len(module._counted)
+    assert split_by_size(windows.with_gap(df, large), large).hot is None
+    assert len(module._counted) == known
+
+
+def test_percentile_ways_agree_on_null_groups_single_rows_and_nothing(spark):
+    rows = [("a", 1.0), ("a", 4.0), ("a", None), ("b", None), ("b", None), ("c", 2.0)]
+    for data in (rows, []):
+        df = spark.createDataFrame(data, "g string, v double")
+        for by in (["g"], []):
+            ways = [sorted(map(tuple, exact_percentiles(df, ["v"], [0.0, 0.25, 0.5, 1.0], by, Series(max_rows=m)).collect()),
+                           key=str) for m in (1000, 1)]
+            assert ways[0] == ways[1]
+
+
+def test_other_rolling_sizes_take_plain_frames(spark):
+    df = spark.createDataFrame([("a", i, i, float(i * i % 7)) for i in range(20)], "location string, timestamp long, seq long, v double")
+    out = windows.with_rolling(df, {"v": ["mean", "max"]}, [5, 12]).orderBy("seq").collect()
+    assert out[9].v_rolling_mean_5h == pytest.approx(sum(i * i % 7 for i in range(5, 10)) / 5)
+    assert out[9].v_rolling_max_12h == max(i * i % 7 for i in range(10))
+    assert "v_rolling_mean_7h" in windows.with_rolling(df, {"v": ["mean"]}, [7]).columns

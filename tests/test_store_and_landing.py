@@ -118,3 +118,67 @@ def test_nan_becomes_null(spark, tmp_path):
     out = scans.read_table(spark, path)
     assert sorted((r["i"], r["v"]) for r in out.collect() if r["v"] is not None) == [(2, 1.0)]
     assert out.filter("v is null").count() == 2
+
+
+def test_interrupted_replace_leaves_the_old_table(spark, sf):
+    from catalog.fixtures import readings
+    from breezeway.schemas import READINGS
+    from breezeway.session import scratch_path
+    from breezeway.sources.store import ReadingStore
+
+    store = ReadingStore(spark, scratch_path(spark, "readings"), READINGS)
+    rows = readings(spark, sf)
+    store.append(rows)
+    n = store.read().count()
+    spark.range(3).write.parquet(f"{store.root}/snapshot=2/_temporary/0")  # what a killed writer leaves
+    assert store.read().count() == n > 0
+    store.replace(rows.limit(5))
+    assert store.read().count() == 5
+
+
+def test_stamped_ids_are_dense_and_unique(spark, sf):
+    from catalog.fixtures import readings
+    from breezeway.schemas import READINGS
+    from breezeway.session import scratch_path
+    from breezeway.sources.store import ReadingStore
+
+    store = ReadingStore(spark, scratch_path(spark, "readings"), READINGS)
+    rows = readings(spark, sf).repartition(7)
+    ids = sorted(r.seq for r in store.append_stamped(rows, batch=3).collect())
+    assert ids == [(3 << 44) + i for i in range(rows.count())]
+
+
+def test_registry_promotion_is_stored_and_last_wanted_version_wins(spark):
+    import datetime
+
+    from breezeway.plans import registry as reg
+    from breezeway.session import scratch_path
+
+    path, at = scratch_path(spark, "registry"), datetime.datetime(2024, 1, 1)
+    for version in ("v1", "v2", "v3"):
+        reg.register(path, reg.registry_row(spark, "m", version, "f", {"mae": 1.0}, ["x"], at))
+    wanted = spark.createDataFrame([("m", "v2", 2), ("m", "v1", 1), ("m", "none", 3)], "model_name string, version string, place int")
+    reg.promote_stored(spark, path, wanted, order="place")
+    assert {(r.version, r.stage) for r in reg.read_registry(spark, path).collect()} == {
+        ("v1", "staging"), ("v2", "production"), ("v3", "staging")}
+    reg.promote_stored(spark, path, spark.createDataFrame([("m", "v3")], "model_name string, version string"))
+    assert [r.version for r in reg.production_models(reg.read_registry(spark, path)).collect()] == ["v3"]
+
+
+def test_edges_of_metrics_gates_and_gaps(spark):
+    import datetime
+
+    from breezeway.operators import metrics, quality
+
+    scored = spark.createDataFrame([(1.0, 1.0), (2.0, 2.5), (3.0, 3.0), (100.0, None)], "y double, prediction double")
+    assert metrics.error_metrics(scored).first()["r2"] == 0.875
+    rows = spark.createDataFrame([("a", None, None, 0), ("b", 2.0, float("nan"), 1), ("c", 1.0, 0.5, 2)],
+                                 "model string, mae double, r2 double, rank int")
+    assert tuple(metrics.best_by_mae(rows, []).first()) == ("c", 1.0)
+    assert tuple(metrics.best_by_r2(rows, []).first()) == ("c", 0.5)
+    at = [datetime.datetime(2024, 1, 1, h) for h in (0, 1, 9)]
+    df = spark.createDataFrame([(None, t, i) for i, t in enumerate(at)], "location string, timestamp timestamp, seq long")
+    assert quality.gap_stats(df).first()["max_gap"] == 8 * 3600 * 10**6
+    assert quality.large_gaps(df).count() == 1
+    assert quality.sample_gates(df, df).first()["clean_rows"] == 3
+    assert quality.with_enough_rows(df, 3).count() == 3
