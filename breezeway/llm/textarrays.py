@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; one longer text is worked on whole.
 CHUNK_BYTES = 1 << 20
+#: Texts that are worked on at once, however short they are.
+CHUNK_TEXTS = 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -74,6 +76,7 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES, raw: bool = False) -> Iter
     begin = 0
     while begin < n:
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + size, side="right")) - 1)
+        end = min(end, begin + CHUNK_TEXTS)
         part = data[offsets[begin]:offsets[end]]
         yield begin, Texts(part if raw else _LOWER[part], offsets[begin:end + 1] - offsets[begin])
         begin = end
