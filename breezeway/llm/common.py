@@ -63,7 +63,7 @@ def attach_small(
     if n_small <= BROADCAST_ROWS:
         return rows.join(F.broadcast(named), same, "left").drop(*drop)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    copies = named.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    copies = named.withColumn("_salt_of", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
     return salted.join(copies, same & (F.col("_salt") == F.col("_salt_of")), "left").drop(*drop, "_salt", "_salt_of")
 
 

@@ -82,7 +82,7 @@ def active_entries(captures: DataFrame, changes: DataFrame) -> DataFrame:
         hits = asked.join(F.broadcast(cut), same & within)
     else:
         salted = asked.withColumn("_salt", F.pmod("row", F.lit(SALTS)))
-        copies = cut.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        copies = cut.withColumn("_of", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
         hits = salted.join(copies, same & (F.col("_salt") == F.col("_of")) & within)
     best = F.min_by(F.struct("pattern", "since"), "_nth")
     found = hits.groupBy("row").agg(F.count(F.lit(1)).alias("n_entries"), best.alias("_best"))
