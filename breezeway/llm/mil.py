@@ -139,15 +139,17 @@ def train(
     return model
 
 
-def fit(labelled: DataFrame, *, train_documents: int = 3000) -> BagModel:
-    """Learn from ``labelled`` (key, text, label 0 or 1); null labels aside.
+def fit(docs: DataFrame, labels: DataFrame, *, train_documents: int = 3000) -> BagModel:
+    """Learn from ``docs`` (key, text) and their ``labels`` (key, label 0 or 1), null labels aside.
 
-    At most ``train_documents`` whole documents are used, by their hash. With
-    labels of one kind only, every score is that label; without labels it is 0.5.
+    At most ``train_documents`` labels and as many whole documents are used, by their hash;
+    labels are picked first, so that no other text is moved. With labels of one kind only,
+    every score is that label; without labels it is 0.5.
     """
-    sample = sampled(
-        labelled.where("label IN (0, 1)").select("key", "text", F.col("label").cast("int").alias("label")),
-        train_documents, ("key", "text", "label"))
+    known = labels.where("label IN (0, 1) AND key IS NOT NULL").select("key", F.col("label").cast("int").alias("label"))
+    known = known.join(docs.select("key").distinct(), "key", "left_semi")
+    picked = sampled(known, train_documents, ("key", "label")).select("key", "label")
+    sample = sampled(docs.select("key", "text").join(F.broadcast(picked), "key"), train_documents, ("key", "text", "label"))
 
     def encode(batches):
         for batch in batches:

@@ -67,9 +67,8 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from four folds of five."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = mil.fit(docs.where("NOT held_out").join(labels, "doc_id").select(
-        F.col("doc_id").alias("key"), "text", "label"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("label"))
+    model = mil.fit(docs.where("NOT held_out").select(F.col("doc_id").alias("key"), "text"), labels)
     scored = docs.select("doc_id", "held_out", mil.score(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
