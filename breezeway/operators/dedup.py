@@ -36,9 +36,8 @@ def flag_duplicates(df: DataFrame, key: list[str] = ["location"], seq: str = "se
 def drop_duplicates(df: DataFrame, key: list[str] = ["location"], seq: str = "seq",
                     parts: list[Column] | None = None) -> DataFrame:
     """Keep the first row of each (key, parts) in insertion order."""
-    parts = parts or reading_key()
-    row = F.min_by(F.struct(*df.columns), seq).alias("_row")
-    return df.groupBy(*key, *[p.alias(f"_k{i}") for i, p in enumerate(parts)]).agg(row).select("_row.*")
+    first = first_seen_ids(df, key, parts or reading_key(), seq)
+    return df.join(first, seq, "left_semi").select(*df.columns)
 
 
 def duplicate_totals(df: DataFrame, key: list[str] = ["location"],

@@ -51,16 +51,18 @@ def describe(df: DataFrame, columns: list[str] | None = None, s: Series = Series
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Type, rows, known values and distinct values of each column."""
     columns = columns or df.columns
-    wide = df.agg(
-        _rows().alias("_rows"),
-        *[F.count(c).alias(f"{c}_n") for c in columns],
-        *[F.countDistinct(c).alias(f"{c}_d") for c in columns])
-    records = [
-        {"column": F.lit(c), "type": F.lit(df.schema[c].dataType.simpleString()),
-         "rows": F.col("_rows"), "non_null": F.col(f"{c}_n"), "distinct_values": F.col(f"{c}_d")}
-        for c in columns
-    ]
-    return unpivot_row(wide, records)
+    values = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    # counts of each value are folded on the map side; no row is copied whole for a column
+    per_value = df.select(values.alias("_v")).groupBy("_v.column", "_v.value").agg(_rows().alias("_n"))
+    known = F.col("value").isNotNull()
+    profile = per_value.groupBy("column").agg(
+        F.sum("_n").alias("rows"), F.sum(F.when(known, F.col("_n")).otherwise(0)).alias("non_null"),
+        F.count_if(known).alias("distinct_values"))
+    types = {c: df.schema[c].dataType.simpleString() for c in columns}
+    empty = df.sparkSession.createDataFrame([(c, t) for c, t in types.items()], "column string, type string")
+    return empty.join(profile, "column", "left").select(
+        "column", "type", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("rows", "non_null", "distinct_values")])
 
 
 def type_histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from breezeway.operators.series import Series, with_positions
 from breezeway.schemas import REGISTRY, TRAINING_METADATA
+from breezeway.sources.readings import latest
 from breezeway.sources.commits import read_version, versions, write_version
 
 
@@ -30,8 +31,7 @@ def newest_models(registry: DataFrame, version: str | None = None, stage: str |
                   name: str | None = None) -> DataFrame:
     """The newest active version of each name that passes the filters."""
     rows = _chosen(active(registry), name, version, stage)
-    row = F.max_by(F.struct(*registry.columns), F.struct("registered_at", "version")).alias("_row")
-    return rows.groupBy("model_name").agg(row).select("_row.*")
+    return latest(rows, Series(("model_name",), "registered_at", "version"))
 
 
 def production_models(registry: DataFrame, name: str | None = None) -> DataFrame:

@@ -52,14 +52,19 @@ def since_days(df: DataFrame, days: int, as_of: Column | None = None, ts: str =
 
 
 def latest(df: DataFrame, s: Series = Series(), by: Sequence[str] | None = None) -> DataFrame:
-    """The newest row of each entity; a partial aggregate, so no entity is gathered."""
-    order = F.struct(*(by or s.order))
-    row = F.max_by(F.struct(*df.columns), order).alias("_row")
-    return df.groupBy(*s.key).agg(row).select("_row.*")
+    """The newest row of each entity.
 
-
-def latest_overall(df: DataFrame, order: list[str]) -> DataFrame:
-    return df.orderBy(*[F.desc_nulls_last(c) for c in order]).limit(1)
+    A hash aggregate finds the largest first order column of each entity; only rows that
+    have it are ranked by the other columns.
+    """
+    first, *rest = by or s.order
+    newest = df.groupBy(*s.key).agg(F.max(first).alias("_newest")).withColumnsRenamed({k: f"_of_{k}" for k in s.key})
+    same = F.col(first).eqNullSafe(F.col("_newest"))
+    for k in s.key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    last = df.join(newest, same).select(*df.columns)
+    place = F.row_number().over(Window.partitionBy(*s.key).orderBy(*[F.desc_nulls_last(c) for c in rest or [first]]))
+    return last.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
 def latest_n(df: DataFrame, n: int, s: Series = Series()) -> DataFrame:

@@ -65,7 +65,10 @@ def test_top_rows_are_limited_before_the_shuffle(table):
 
 
 def test_aggregates_fold_before_the_shuffle(table):
-    for df in (scans.latest(table), dedup.drop_duplicates(table), dedup.duplicate_totals(table),
+    for df in (scans.latest(table), scans.latest(table, by=["seq"]), dedup.drop_duplicates(table)):
+        text = plan(df)
+        assert "partial_" in text and "SortAggregate" not in text
+    for df in (dedup.duplicate_totals(table),
                quality.daily_coverage(table), serving.weekly_figures(table, 7, F.lit("2024-01-20").cast("timestamp"))):
         text = plan(df)
         assert "partial_" in text and "Window" not in text
