@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from breezeway.operators.series import Series
 from breezeway.functions import fixed_values as V
 from breezeway.plans import features as plans
 from breezeway.plans import serving
@@ -115,8 +116,8 @@ ADVANCED_SQL = ", ".join([
 ])
 
 
-def advanced(df):
-    return rounded(plans.advanced_features(df.select(*ADVANCED_RAW.split(", ")), S))
+def advanced(df, s=S):
+    return rounded(plans.advanced_features(df.select(*ADVANCED_RAW.split(", ")), s))
 
 
 @query("v4_advanced_features", f"WITH $readings SELECT {ADVANCED_SQL} FROM readings")
@@ -129,6 +130,11 @@ def _(spark, sf):
     return advanced(fx.sensor_rows(spark, sf))
 
 
+@query("v4_advanced_features_of_user_rows", f"WITH $user_rows SELECT {ADVANCED_SQL} FROM user_rows")
+def _(spark, sf):
+    return advanced(fx.user_rows(spark, sf), Series(max_rows=fx.FEW_ROWS))
+
+
 ZERO_LAGS = ", ".join(f"0e0 AS {c}_lag_{n}h" for c in ("pm2_5", "pm10", "aqi") for n in (1, 3, 6, 12, 24))
 DEFAULT_PRODUCTS = ", ".join([
     "coalesce(temperature, 0) * coalesce(humidity, 0) AS temp_humidity_interaction",

@@ -137,6 +137,22 @@ _SENSOR_SQL = f"""sensor_rows AS (
 )"""
 
 
+#: Rows of one entity in a window task in the queries over user rows: their hot entity is split.
+FEW_ROWS = 500
+
+
+def user_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Sensor rows of one entity a user, but a third of them all of one entity."""
+    users = events(spark, sf).select(F.col("event_id").alias("seq"), "user_id")
+    key = F.when(F.col("seq") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    return sensor_rows(spark, sf).join(users, "seq").withColumn("location", key).drop("user_id")
+
+
+_USER_SQL = _SENSOR_SQL.replace("sensor_rows AS", "user_rows AS").replace(
+    "'st' || (user_id % 4) AS location",
+    "CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE 'u' || user_id END AS location")
+
+
 def polls(spark: SparkSession, sf: str) -> DataFrame:
     """Polls for the ingest gate, one per event, with coarse values that repeat."""
     return events(spark, sf).select(
@@ -257,6 +273,7 @@ _R = _READINGS_SQL
 CTES = {
     "predictions": f"{_R}, {_PREDICTIONS_SQL}",
     "sensor_rows": _SENSOR_SQL,
+    "user_rows": _USER_SQL,
     "readings": _R,
     "polls": _POLLS_SQL,
     "registry": _REGISTRY_SQL,

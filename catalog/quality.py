@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from breezeway.operators.series import Series
 from breezeway.functions.bands import scale_of_value
 from breezeway.functions.fixed_values import TARGET_CANDIDATES
 from breezeway.operators import dedup, quality
@@ -171,6 +172,15 @@ def _(spark, sf):
     return out.withColumns({c: F.round(c, 3) for c in ("mean_gap", "median_gap")})
 
 
+@query("a26_gap_stats_of_user_rows", f"""WITH $user_rows, {GAPS.format('user_rows')}
+SELECT location, min(gap) AS min_gap, max(gap) AS max_gap, {r('avg(gap)', 3)} AS mean_gap,
+       {r('quantile_cont(CAST(gap AS DOUBLE), 0.5)', 3)} AS median_gap
+FROM gaps WHERE gap IS NOT NULL GROUP BY location""")
+def _(spark, sf):
+    out = quality.gap_stats(fx.user_rows(spark, sf), Series(max_rows=fx.FEW_ROWS))
+    return out.withColumns({c: F.round(c, 3) for c in ("mean_gap", "median_gap")})
+
+
 @query("a27_large_gaps", f"""WITH $readings, {GAPS.format('readings')}, large AS (
   SELECT location, timestamp, gap AS gap_micros, row_number() {OVER} AS rank,
          count(*) OVER (PARTITION BY location) AS large_gaps FROM gaps WHERE gap > 7200000000)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from breezeway.operators.series import Series
 from breezeway.functions.bands import five_step_category
 from breezeway.functions.fixed_values import CORRELATION_FEATURES, POLLUTANTS
 from breezeway.operators import eda
@@ -92,17 +93,26 @@ def _(spark, sf):
     return rounded(eda.histogram(fx.events(spark, sf), "value", 50), "low", "high")
 
 
-@query("a18_box_plot", f"""WITH q AS (
+BOX_SQL = f"""WITH q AS (
   SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS q3 FROM events)
 SELECT {r('max(q1)')} AS q1, {r('max(m)')} AS median, {r('max(q3)')} AS q3,
   min(value) FILTER (WHERE value >= q1 - 1.5 * (q3 - q1)) AS whisker_low,
   max(value) FILTER (WHERE value <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
   count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outliers
-FROM events, q""")
+FROM events, q"""
+
+
+@query("a18_box_plot", BOX_SQL)
 def _(spark, sf):
     return rounded(eda.box_plot(fx.events(spark, sf), "value"), "q1", "median", "q3")
 
 
+@query("a18_box_plot_in_blocks", BOX_SQL)
+def _(spark, sf):
+    """The way of large inputs."""
+    return rounded(eda.box_plot(fx.events(spark, sf), "value", Series(max_rows=fx.FEW_ROWS)), "q1", "median", "q3")
+
+
 NUMERIC = ["seq", "aqi", "pm2_5", "pm10", "co", "no", "no2", "o3", "so2", "temperature", "feels_like", "temp_min",
            "temp_max", "humidity", "pressure", "wind_speed", "wind_direction", "wind_gust", "clouds", "visibility"]
 

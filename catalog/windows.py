@@ -201,6 +201,45 @@ def _(spark, sf):
     return win.with_split(base(spark, sf), S).drop("timestamp")
 
 
+# The same operators with many entities and a hot one that is split.
+
+FEW = Series(max_rows=fx.FEW_ROWS)
+
+
+def users(spark, sf, *columns):
+    return fx.user_rows(spark, sf).select("seq", "location", "timestamp", *columns)
+
+
+def of_users(sql: str) -> str:
+    return sql.replace("readings", "user_rows")
+
+
+query("w03_long_lags_of_user_rows", select_sql(lag_sql(*win.LAG_SETS["advanced"]), "user_rows"))(
+    lambda spark, sf: win.with_lags(users(spark, sf, "pm2_5", "pm10", "aqi"), "advanced", FEW).drop(
+        "timestamp", "pm2_5", "pm10", "aqi"))
+
+
+@query("w13_run_ids_of_user_rows", of_users(f"WITH $readings, {RUNS_SQL} SELECT seq, location, run_id FROM numbered"))
+def _(spark, sf):
+    return win.with_run_id(users(spark, sf), FEW).drop("timestamp")
+
+
+@query("w15_forward_fill_of_user_rows", f"""WITH $user_rows, holed AS (
+  SELECT seq, location, timestamp, CASE WHEN seq % 5 <> 0 THEN pm10 END AS pm10 FROM user_rows),
+carried AS (SELECT *, last_value(CASE WHEN pm10 IS NOT NULL THEN timestamp END IGNORE NULLS) {OVER} AS t,
+  last_value(pm10 IGNORE NULLS) {OVER} AS v FROM holed)
+SELECT seq, location, CASE WHEN timestamp - t < INTERVAL 3 HOURS THEN v END AS pm10 FROM carried""")
+def _(spark, sf):
+    holed = users(spark, sf, F.when(F.col("seq") % 5 != 0, F.col("pm10")).alias("pm10"))
+    return win.forward_fill(holed, ["pm10"], FEW).drop("timestamp")
+
+
+@query("w16_time_split_of_user_rows", of_users(
+    f"WITH $readings, {SPLIT_SQL} SELECT seq, location, k <= floor(n * 0.8e0) AS is_train FROM ranked"))
+def _(spark, sf):
+    return win.with_split(users(spark, sf), FEW).drop("timestamp")
+
+
 @query("w17_last_feature_row", f"""WITH $readings, recent AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY location ORDER BY timestamp DESC, seq DESC) AS back
                  FROM readings) t WHERE back <= 100),
