@@ -78,7 +78,6 @@ NOT_FEATURES_ADAPTIVE = [
     "weather_main", "weather_description", "co", "no", "no2", "o3", "so2",
     "feels_like", "temp_min", "temp_max", "wind_direction", "wind_gust", "visibility",
 ]
-NOT_FEATURES_TUNED = [*NOT_FEATURES_ADAPTIVE, "nh3", "wind_deg"]
 NOT_FEATURES_FULL = [
     "_id", "timestamp", "location", "source", "weather_main", "weather_description",
     "aqi_24h_ahead", "aqi_48h_ahead", "aqi_72h_ahead",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from breezeway.functions import fixed_values as V
 from breezeway.operators import dedup
 from breezeway.plans import registry as models
 from breezeway.schemas import READINGS
@@ -107,6 +108,11 @@ def _(spark, sf):
     return scans.read_table(spark, f"{sf}/events.parquet").select("value")
 
 
+@query("s11_sample_report", "WITH $readings SELECT timestamp, aqi, pm2_5 FROM readings ORDER BY seq LIMIT 10")
+def _(spark, sf):
+    return scans.sample_report(rows(spark, sf), V.REPORT_TIME_CANDIDATES)
+
+
 @query("s11_first_rows", "SELECT event_id, ts, value FROM events ORDER BY event_id LIMIT 100")
 def _(spark, sf):
     return scans.first_rows(fx.events(spark, sf), 100, "event_id").select("event_id", "ts", "value")
