@@ -1,8 +1,8 @@
 """A gated recurrent language model in numpy.
 
 A token is a head word, or one of the tail classes that the other words fall into by
-their ending. The output is factored by class: P(class | h) over the head classes and the
-tail classes, then P(word | class, h) inside a head class. Documents lie one after another
+their ending. The output is factored by class: P(class | h), then P(token | class, h);
+the last classes hold the tail. Documents lie one after another
 on lanes; the state starts at zero with each document and is carried from window to
 window, so whole documents are scored, and gradients are cut at window borders.
 """
@@ -16,10 +16,10 @@ import numpy as np
 
 HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES = 32, 64, 128
 HEAD = HEAD_CLASSES * CLASS_WORDS
+CLASSES = HEAD_CLASSES + TAIL_CLASSES // CLASS_WORDS
 #: The end of a document is the first head word; it also stands before the first word.
 END = 0
 INPUTS = HEAD + TAIL_CLASSES
-CLASSES = HEAD_CLASSES + TAIL_CLASSES
 #: Rows whose class scores are held at once, to stay in the processor's cache.
 STRIP = 1024
 #: Output weights are kept within this, so that no exponential overflows.
@@ -27,7 +27,7 @@ MOST_WEIGHT = 4.0
 EMBED, HIDDEN = 16, 16
 SHAPES = {
     "emb": (INPUTS, EMBED), "Wx": (EMBED, 3 * HIDDEN), "bx": (3 * HIDDEN,), "Uh": (HIDDEN, 3 * HIDDEN),
-    "C": (HIDDEN, CLASSES), "bc": (CLASSES,), "O": (HEAD_CLASSES, HIDDEN, CLASS_WORDS), "bo": (HEAD_CLASSES, CLASS_WORDS),
+    "C": (HIDDEN, CLASSES), "bc": (CLASSES,), "O": (CLASSES, HIDDEN, CLASS_WORDS), "bo": (CLASSES, CLASS_WORDS),
 }
 
 
@@ -39,10 +39,9 @@ def initial(head_counts: np.ndarray, tail_counts: np.ndarray, seed: int = 11) ->
     p["Wx"][:] = r.normal(0, 1 / np.sqrt(EMBED), SHAPES["Wx"])
     p["Uh"][:] = r.normal(0, 1 / np.sqrt(HIDDEN), SHAPES["Uh"])
     p["bx"][:HIDDEN] = 1.0  # keep the state at first
-    words = np.log(head_counts.reshape(HEAD_CLASSES, CLASS_WORDS) + 1.0)
-    p["bo"][:] = words - np.log(np.exp(words).sum(axis=1, keepdims=True))
-    p["bc"][:] = np.log(np.concatenate([head_counts.reshape(HEAD_CLASSES, -1).sum(axis=1), tail_counts]) + 1.0)
-    p["bc"] -= np.log(np.exp(p["bc"].astype(np.float64)).sum())
+    counts = np.concatenate([head_counts, tail_counts]).reshape(CLASSES, CLASS_WORDS) + 1.0
+    p["bo"][:] = np.log(counts / counts.sum(axis=1, keepdims=True))
+    p["bc"][:] = np.log(counts.sum(axis=1) / counts.sum())
     return p
 
 
@@ -85,9 +84,8 @@ def lay(tokens: np.ndarray, first: np.ndarray, n_lanes: int) -> Lanes:
     shape = (int(length.max()), len(lanes))
     into, target, doc = (np.full(shape, -1, dtype=np.int32) for _ in range(3))
     fresh = np.zeros(shape, dtype=bool)
-    before = np.empty_like(tokens)
+    before = np.full_like(tokens, END)  # every document ends with END
     before[1:] = tokens[:-1]
-    before[first[:-1]] = END
     for i, docs in enumerate(lanes):
         at = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
         n = len(at)
@@ -145,63 +143,63 @@ def _steps(p: dict, table: np.ndarray, lanes: Lanes, t0: int, t1: int, h: np.nda
 
 
 def _outputs(p: dict, s: np.ndarray, target: np.ndarray, gradient: bool):
-    """Natural log-probability of each target (a tail token's is its class's), and gradients."""
-    head = target < HEAD
-    cls = np.where(head, target // CLASS_WORDS, target - HEAD + HEAD_CLASSES)
+    """Natural log-probability of each target, and gradients."""
+    cls, word = target // CLASS_WORDS, target % CLASS_WORDS
     logp = np.empty(len(s), dtype=np.float32)
     g, ds = {}, None
     if gradient:
         ds = np.empty_like(s)
         g = {k: np.zeros_like(p[k]) for k in ("C", "bc", "O", "bo")}
-    for a in range(0, len(s), STRIP):
-        part, own = s[a:a + STRIP], cls[a:a + STRIP]
-        at = np.arange(len(part))
-        e = part @ p["C"]
-        e += p["bc"]
+
+    def softmax(rows, own: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        """Adds the log-probability of ``own`` to rows; gives the score gradient."""
+        e = rows @ weights
+        e += bias
+        at = np.arange(len(e))
         picked = e[at, own]
         np.exp(e, out=e)
-        total = e @ np.ones(CLASSES, dtype=np.float32)
-        logp[a:a + STRIP] = picked - np.log(total)
+        total = e @ np.ones(e.shape[1], dtype=np.float32)
         if gradient:
             e *= (1 / total)[:, None]
             e[at, own] -= 1
-            ds[a:a + STRIP] = e @ p["C"].T
-            g["C"] += part.T @ e
-            g["bc"] += np.ones(len(part), dtype=np.float32) @ e
-    group = np.minimum(cls, HEAD_CLASSES).astype(np.int16)
-    order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(HEAD_CLASSES + 1))
-    for k in range(HEAD_CLASSES):
+        return picked - np.log(total), e
+
+    for a in range(0, len(s), STRIP):
+        strip = slice(a, a + STRIP)
+        logp[strip], e = softmax(s[strip], cls[strip], p["C"], p["bc"])
+        if gradient:
+            ds[strip] = e @ p["C"].T
+            g["C"] += s[strip].T @ e
+            g["bc"] += np.ones(len(e), dtype=np.float32) @ e
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    for k in range(CLASSES):
         rows = order[bounds[k]:bounds[k + 1]]
         if not len(rows):
             continue
-        sk = s[rows]
-        w = sk @ p["O"][k]
-        w += p["bo"][k]
-        word, i = target[rows] % CLASS_WORDS, np.arange(len(rows))
-        picked = w[i, word]
-        np.exp(w, out=w)
-        total = w @ np.ones(CLASS_WORDS, dtype=np.float32)
-        logp[rows] += picked - np.log(total)
+        part = s[rows]
+        more, e = softmax(part, word[rows], p["O"][k], p["bo"][k])
+        logp[rows] += more
         if gradient:
-            w *= (1 / total)[:, None]
-            w[i, word] -= 1
-            ds[rows] += w @ p["O"][k].T
-            g["O"][k], g["bo"][k] = sk.T @ w, w.sum(axis=0)
+            ds[rows] += e @ p["O"][k].T
+            g["O"][k], g["bo"][k] = part.T @ e, np.ones(len(e), dtype=np.float32) @ e
     return logp, g, ds
 
 
 def train(
-    p: dict, tokens: np.ndarray, first: np.ndarray, adam: Adam, *, window: int = 16, updates: int = 200,
-    least_lanes: int = 16, most_lanes: int = 512,
+    p: dict, tokens: np.ndarray, first: np.ndarray, adam: Adam, *, window: int = 16, updates: int = 120,
+    least_lanes: int = 16, most_lanes: int = 512, stretch: int = 1024,
 ) -> None:
     """One pass of truncated backpropagation over all tokens; changes ``p``.
 
     The number of lanes follows the tokens, so that a pass makes about ``updates`` updates
-    or more at any size.
+    or more at any size. Documents are laid in stretches of at most ``stretch`` tokens,
+    each with a zero state at its start, so that one long document doesn't run on alone.
     """
     n_lanes = int(np.clip(len(tokens) // (window * updates), least_lanes, most_lanes))
-    lanes = lay(tokens, first, n_lanes)
+    pieces = -(-np.diff(first) // stretch)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    lanes = lay(tokens, np.append(np.repeat(first[:-1], pieces) + nth * stretch, first[-1]), n_lanes)
     h = np.zeros((lanes.into.shape[1], HIDDEN), dtype=np.float32)
     for t0 in range(0, len(lanes.into), window):
         t1 = min(t0 + window, len(lanes.into))

@@ -25,7 +25,9 @@ from breezeway.session import materialise
 #: The commonest words, whose counts every task holds. Counts of all others are joined.
 LEXICON = 1 << 17
 #: Tokens that a task lays on lanes at once.
-TASK_TOKENS = 1 << 21
+TASK_TOKENS = 1 << 20
+#: Longer documents of a batch are scored together, after the others.
+LONG_TOKENS = 2048
 #: Share of the training documents in each round, in percent, and its learning rate.
 ROUNDS = ((8, 0.01), (25, 0.01), (67, 0.005))
 
@@ -37,8 +39,9 @@ def tail_class(texts: Texts, words: Words) -> np.ndarray:
     end = words.end - mark
     one = texts.data[end - 1].astype(np.uint64)
     two = np.where(end - words.begin > 1, texts.data[np.maximum(end - 2, 0)], 0).astype(np.uint64)
-    ending = mix(one + (two << np.uint64(8))) % np.uint64(gru.TAIL_CLASSES // 2)
-    return (2 * ending.astype(np.int32) + mark).astype(np.int32)
+    endings = gru.TAIL_CLASSES // 2  # those with a final mark are an output class of their own
+    ending = mix(one + (two << np.uint64(8))) % np.uint64(endings)
+    return (ending.astype(np.int32) + endings * mark).astype(np.int32)
 
 
 @dataclass
@@ -144,6 +147,11 @@ def _joined(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([s[1] for s in group]), np.concatenate(first)
 
 
+def _log10(params: dict, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 probability of documents of the given sizes, one after another."""
+    return gru.score(params, tokens, np.concatenate([[0], np.cumsum(sizes)])) / np.log(10)
+
+
 def train(docs: DataFrame, lex: Lexicon, rounds: tuple = ROUNDS) -> dict[str, np.ndarray]:
     """Parameters after all rounds over ``docs`` (key, text)."""
     values = gru.flat(gru.initial(lex.head_counts, lex.tail_counts))
@@ -195,15 +203,20 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            n = batch.num_rows
+            sizes, known = np.zeros(n, dtype=np.int64), np.full(n, int(lex.ends > 0), dtype=np.int64)
+            base, model = np.full(n, np.log10(lex.ends + 1)), np.zeros(n)
+            missed, long = [], []
             for group in _gathered(_tokens(lex, batch.column(3)), TASK_TOKENS):
                 tokens, first = _joined(group)
-                row0, n = group[0][0], len(first) - 1
-                model = gru.score(params, tokens, first) / np.log(10)
-                base, known, at = np.zeros(n), np.zeros(n, dtype=np.int64), 0
-                base += np.log10(lex.ends + 1)
-                known += lex.ends > 0
-                missed = []
-                for _, _, begin, doc, h, place, cls, in_head in group:
+                rows = group[0][0] + np.arange(len(first) - 1)
+                sizes[rows] = np.diff(first)
+                short = sizes[rows] <= LONG_TOKENS
+                long += [(i, tokens[a:b]) for i, a, b in zip(rows[~short], first[:-1][~short], first[1:][~short])]
+                if short.any():
+                    kept = tokens[np.repeat(short, sizes[rows])]
+                    model[rows[short]] += _log10(params, kept, sizes[rows][short])
+                for at, _, begin, doc, h, place, cls, in_head in group:
                     c = np.where(place >= 0, lex.counts[place] if len(lex.counts) else 0, 0)
                     seen, size = np.log10(c + 1.0), len(begin) - 1
                     part = slice(at, at + size)
@@ -212,26 +225,24 @@ def score(
                     model[part] += np.bincount(
                         doc, weights=np.where(in_head, 0.0, seen - log_class[cls]), minlength=size)
                     out = place < 0
-                    missed.append((doc[out] + at, h[out]))
-                    at += size
-                where = batch.column(0).slice(row0, n)
-                sizes = np.diff(first)
-                yield pa.RecordBatch.from_arrays([
-                    where, batch.column(1).slice(row0, n), batch.column(2).slice(row0, n),
-                    pa.array(sizes), pa.array(known), pa.array(base - sizes * unit), pa.array(model),
-                    pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], NAMES)
-                pair = np.stack([np.concatenate([m[0] for m in missed]), np.concatenate([m[1] for m in missed])], axis=1)
-                order = np.lexsort((pair[:, 1], pair[:, 0]))
-                pair = pair[order]
-                new = np.ones(len(pair), dtype=bool)
-                new[1:] = (pair[1:] != pair[:-1]).any(axis=1)
-                places = np.flatnonzero(new)
-                times = np.diff(np.append(places, len(pair)))
-                m = len(places)
-                yield pa.RecordBatch.from_arrays([
-                    where.take(pa.array(pair[places, 0])), pa.nulls(m, batch.column(1).type), pa.nulls(m, pa.bool_()),
-                    pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()),
-                    pa.nulls(m, pa.float64()), pa.array(pair[places, 1]), pa.array(times)], NAMES)
+                    missed.append(np.stack([doc[out] + at, h[out]], axis=1))
+            if long:
+                model[[i for i, _ in long]] += _log10(
+                    params, np.concatenate([t for _, t in long]), np.array([len(t) for _, t in long]))
+            none = [pa.nulls(n, pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([
+                *batch.columns[:3], pa.array(sizes), pa.array(known), pa.array(base - sizes * unit), pa.array(model), *none],
+                NAMES)
+            pair = np.concatenate(missed) if missed else np.zeros((0, 2), dtype=np.int64)
+            pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
+            new = np.ones(len(pair), dtype=bool)
+            new[1:] = (pair[1:] != pair[:-1]).any(axis=1)
+            places = np.flatnonzero(new)
+            m, times = len(places), np.diff(np.append(places, len(pair)))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(pair[places, 0])), pa.nulls(m, batch.column(1).type), pa.nulls(m, pa.bool_()),
+                pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()),
+                pa.nulls(m, pa.float64()), pa.array(pair[places, 1]), pa.array(times)], NAMES)
 
     kind = plain.schema["key"].dataType.simpleString()
     numbered = plain.select(F.monotonically_increasing_id().alias("row"), "key", "training", "text")
