@@ -24,7 +24,7 @@ from breezeway.functions.bands import clip_index
 from breezeway.functions.calendar import version_stamp
 from breezeway.operators.metrics import best_by_mae, best_by_r2, error_metrics
 from breezeway.operators.quality import SAMPLE_GATES, data_quality
-from breezeway.operators.series import Series
+from breezeway.operators.series import Series, same_key
 from breezeway.operators.shape import drop_missing, feature_names, fill_missing
 from breezeway.operators.windows import with_split
 from breezeway.plans.features import (
@@ -222,6 +222,24 @@ def train_adaptive(readings: DataFrame, horizons: list[str] = V.HORIZONS,
     return {h: replace(t, details=details) for h, t in found.items()}
 
 
+def train_adaptive_by_type(readings: DataFrame, horizons: list[str] = V.HORIZONS,
+                           candidates: Candidates = ADAPTIVE_CANDIDATES,
+                           s: Series = Series()) -> dict[str, dict[str, Trained]]:
+    """Models per model type: entities with long enough runs forecast, the others nowcast.
+
+    Each type has its own frame, so a label is either the future index or the current one,
+    and entities with short runs take no lags from those with long ones.
+    """
+    quality = materialise(data_quality(readings, s), "quality")
+    out = {}
+    for name, can in (("Forecasting", True), ("Nowcasting", False)):
+        own = quality.filter(F.col("can_forecast") == can).select(*s.key)
+        found = train_adaptive(readings.join(own, same_key(readings, own, list(s.key)), "left_semi"), horizons, candidates, s)
+        if found:
+            out[name] = found
+    return out
+
+
 def train_simple(readings: DataFrame, horizons: list[str] = V.HORIZONS,
                  candidates: Candidates = SIMPLE_CANDIDATES, s: Series = Series()) -> dict[str, Trained]:
     if not _has_rows(readings, SAMPLE_GATES["simple"][0]):

@@ -4,6 +4,7 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from breezeway.operators import metrics
 from breezeway.plans import registry as reg
@@ -150,3 +151,12 @@ def test_compare_puts_missing_metrics_last(spark):
     assert order("mae") == ["v2", "v1"]
     assert [r["version"] for r in reg.model_history(registry, "m").collect()] == ["v3", "v2", "v1"]
     assert [r["version"] for r in reg.list_models(registry, "m").collect()] == ["v2", "v1"]
+
+
+def test_each_model_type_trains_on_its_own_entities(spark):
+    rows = fx.readings(spark, "/root/testdata/sf0.01")
+    scattered = rows.filter("location = 'st1'").withColumn("location", F.lit("scattered")).withColumn(
+        "timestamp", F.expr("timestamp_seconds(unix_timestamp(timestamp) * 3)"))
+    models = training.train_adaptive_by_type(rows.unionByName(scattered), ["24h"], {"Ridge": training.ridge})
+    assert set(models) == {"Forecasting", "Nowcasting"}
+    assert all(m["24h"].details["model_type"] == t for t, m in models.items())
