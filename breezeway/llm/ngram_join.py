@@ -2,9 +2,12 @@
 
 A set's n-gram hashes are dealt by a hash into the segments of a size band. Two sets of a
 band (or of it and the next) that are similar enough differ in at most H n-grams, so of
-H + 1 segments one at least is equal in both. An allocation gives each segment 0 (not
+H + 1 segments one at least is equal in both. A few spare segments more make up for empty
+ones, which many sets share: with E of them, E + 1 segments are equal, so one that is not
+empty is, unless both sets have more than E empty segments. Only such rare sets, then,
+have signatures of empty segments. An allocation gives each segment 0 (not
 used), 1 (found when equal) or 2 (found when one n-gram is missing on one side, by all
-one-deletion subsets); as long as it sums to H + 1 no pair is lost. It starts at 1
+one-deletion subsets); as long as it keeps its sum no pair is lost. It starts at 1
 everywhere. Where the measured work of a segment is larger than that of the cheapest one
 with its deletions, the first goes to 0 and the second to 2.
 
@@ -37,8 +40,8 @@ MORE_PIVOTS = 8
 
 
 @lru_cache(maxsize=8)
-def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest set size of each band, and the number of segments of its scheme.
+def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest set size of each band, the segments of its scheme, and how many of them are spare.
 
     Sets of band j are compared in scheme j with those of bands j and j + 1.
     """
@@ -47,8 +50,13 @@ def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
         low.append(low[-1] * 100 // percent + 1)
     low = np.array(low, dtype=np.int64)
     most = np.append(low[1:] - 1, low[-1] * 100 // percent)
-    differ = (most + most * 100 // percent) * (100 - percent) // (100 + percent)
-    return low, differ + 1
+    need = (most + most * 100 // percent) * (100 - percent) // (100 + percent) + 1
+    spare = np.zeros_like(need)
+    for _ in range(12):  # the more segments, the more of them are empty
+        empty = (need + spare) * np.exp(-low / (need + spare))
+        spare = np.where(need > 1, np.ceil(empty + 2 * np.sqrt(empty)), 0).astype(np.int64)
+    spare = np.where(spare <= need / 2, spare, 0)  # else there is no end to it: small sets go without
+    return low, need + spare, spare
 
 
 def ngram_sets(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +113,7 @@ def signatures(
     ``changed``: scheme -> segment -> allocation of the segments that are not at 1.
     """
     sizes = np.diff(starts)
-    low_size, segments = bands(percent, 1 << max(int(sizes.max(initial=1)).bit_length(), 4))
+    low_size, segments, spare = bands(percent, 1 << max(int(sizes.max(initial=1)).bit_length(), 4))
     own = np.searchsorted(low_size, sizes, side="right") - 1
     rows = []
     for larger in (False, True):
@@ -130,7 +138,11 @@ def signatures(
             inside = scheme[of] == j
             for i, a in parts.items():
                 use[inside & (part == i)] = a
-        keep = use > 0
+        void = np.bincount(slot, minlength=total) == 0
+        enough = np.add.reduceat(void, base) <= spare[scheme] if len(sets) else np.zeros(0, bool)
+        for j in changed or {}:  # an empty segment may stand beside one of a single n-gram there
+            enough[scheme == j] = False
+        keep = (use > 0) & ~(void & enough[of])
         rows.append((_keys(scheme[of], part, low, high)[keep], sets[of][keep], np.zeros(int(keep.sum()), bool),
                      scheme[of][keep], part[keep], np.full(int(keep.sum()), larger)))
         twice = use[slot] == 2
@@ -173,6 +185,9 @@ def _signature_rows(docs: DataFrame, n: int, percent: int, changed: dict | None)
                 sizes = np.diff(starts)[new]
                 at = np.repeat(starts[:-1][new] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
                 rows = signatures(grams[at], np.concatenate([[0], np.cumsum(sizes)]), percent, changed)
+                if changed is not None:  # all other schemes stay as they are
+                    again = np.isin(rows["scheme"], list(changed))
+                    rows = {k: v[again] for k, v in rows.items()}
                 of = rows["set"]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(rows["group"]), pa.array(ids[new][of]), pa.array(sizes[of].astype(np.int32)),
@@ -210,7 +225,7 @@ def allocation(shared: DataFrame, percent: int) -> dict[int, dict[int, int]]:
         "work > 1000 + 8 * usual").orderBy("scheme", F.desc("work"))
     out: dict[int, dict[int, int]] = {}
     for row in table.toLocalIterator():
-        _, segments = bands(percent, 1 << max(int(row.size).bit_length() + 1, 4))
+        _, segments, _ = bands(percent, 1 << max(int(row.size).bit_length() + 1, 4))
         m = int(segments[row.scheme]) if row.scheme < len(segments) else 0
         parts = out.setdefault(row.scheme, {})
         if row.segment in parts:  # raised for another one
@@ -256,7 +271,9 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int
     rows = materialise(sizes_and_classes(plain, n), "sets")
     shared = materialise(_shared(_signature_rows(plain, n, percent, None)), "shared")
     if changed := allocation(shared, percent):
-        shared = materialise(_shared(_signature_rows(plain, n, percent, changed)), "shared")
+        anew = _shared(_signature_rows(plain, n, percent, changed))
+        kept = shared.where(~F.col("scheme").isin(list(changed)))
+        shared = materialise(kept.unionByName(anew.select(*kept.columns)), "shared")
     roots = _components(plain, rows, shared, n, percent)
     return _labelled(rows, roots).withColumnRenamed("key", key)
 

@@ -11,6 +11,28 @@ from breezeway.llm import ngram_join as nj
 SCHEMA = "doc_id long, text string, group string, size int"
 
 
+def test_spare_segments_make_up_for_empty_ones():
+    """Pairs as different as the bound allows share a signature, whatever segments are empty."""
+    rng = np.random.default_rng(8)
+    found = with_empty = 0
+    for percent in (80, 90):
+        for size in (5, 9, 23, 60, 150):
+            low, segments, spare = nj.bands(percent, 1 << 10)
+            for _ in range(60):
+                a = rng.integers(0, 1 << 63, size).astype(np.uint64)
+                changed = rng.integers(0, size // 2 + 1)
+                b = np.concatenate([a[changed:], rng.integers(0, 1 << 63, rng.integers(0, changed + 1)).astype(np.uint64)])
+                common = size - changed
+                if not len(b) or 100 * common < percent * (size + len(b) - common):
+                    continue
+                rows = nj.signatures(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, size, size + len(b)]), percent)
+                own = [{int(g) for g, s in zip(rows["group"], rows["set"]) if s == i} for i in (0, 1)]
+                assert own[0] & own[1]
+                found += 1
+                with_empty += len(own[0]) < 2 * segments.max()
+    assert found > 100 and with_empty
+
+
 def brute(rows, n=3, percent=90):
     """Component and set size of each row, by comparing all pairs."""
     def grams(text):
@@ -55,12 +77,12 @@ def corpus(seed=3):
     return [(i, t, "clash", i) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("small_group", [64, 4])
-def test_components_equal_brute_force(spark, monkeypatch, small_group):
+@pytest.mark.parametrize("small_group,n,percent", [(64, 3, 90), (4, 3, 90), (16, 5, 80)])
+def test_components_equal_brute_force(spark, monkeypatch, small_group, n, percent):
     monkeypatch.setattr(nj, "SMALL_GROUP", small_group)
     rows = corpus()
-    got = nj.similar(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
-    assert sorted(tuple(r) for r in got) == brute(rows)
+    got = nj.similar(spark.createDataFrame(rows, SCHEMA).repartition(3), n=n, percent=percent).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, n, percent)
 
 
 def test_one_document_of_each_group_stays_with_its_columns(spark):
@@ -81,7 +103,7 @@ def test_allocation_of_any_kind_keeps_all_pairs():
     """Two sets that differ in at most H n-grams share a signature, with segments at 0 and 2 too."""
     rng = np.random.default_rng(5)
     for size in (12, 60, 200):
-        low, segments = nj.bands(90, 1 << 10)
+        low, segments, _ = nj.bands(90, 1 << 10)
         band = int(np.searchsorted(low, size, side="right") - 1)
         for trial in range(40):
             a = rng.integers(0, 1 << 63, size).astype(np.uint64)
