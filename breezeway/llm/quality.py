@@ -73,17 +73,18 @@ def counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     word_parts = let(hashes, lambda h: F.struct(
         F.size(h).alias("n"), _repeat_words(h).alias("repeats"),
         F.when(F.size(h) > 1, same(h)).otherwise(0).alias("same")))
-    return docs.withColumn("_words", word_parts).withColumn("_lines", n_lines).withColumn("counts", F.struct(
-        F.col("_words.n").cast("long").alias("n_words"),
+    # bound once: as columns they would be inlined and computed again for each field
+    return docs.withColumn("counts", let(word_parts, lambda w: let(n_lines, lambda x: F.struct(
+        w["n"].cast("long").alias("n_words"),
         (F.length(whole) - F.regexp_count(whole, F.lit(BLANK))).cast("long").alias("word_chars"),
         many("[#*$%&|<>]").alias("n_symbols"),
-        F.col("_lines.dup").cast("long").alias("n_dup_lines"),
-        F.col("_words.repeats").alias("n_repeat_words"),
-        F.col("_lines.n").cast("long").alias("n_lines"),
-        F.col("_words.same").cast("long").alias("n_same_words"),
+        x["dup"].cast("long").alias("n_dup_lines"),
+        w["repeats"].alias("n_repeat_words"),
+        x["n"].cast("long").alias("n_lines"),
+        w["same"].cast("long").alias("n_same_words"),
         many(r"\p{Lu}").alias("n_capitals"),
         many("[!?]").alias("n_marks"),
-    )).drop("_words", "_lines")
+    ))))
 
 
 def base_failed(c: Column, *, least_words: int = 20, most_repeat_percent: int = 30) -> Column:
@@ -201,9 +202,9 @@ def filtered(
     """
     plain = docs.select(F.struct(*docs.columns).alias("kept"), F.col(text).alias("text"),
                         F.col(lang).alias("lang"), F.col(source).alias("source"))
-    measured = counts(plain).select(
-        "kept", "lang", "source", base_failed(F.col("counts")).alias("base_failed"),
-        measures(F.col("counts")).alias("measures"))
+    verdict = let(F.col("counts"), lambda c: F.struct(base_failed(c).alias("base_failed"), measures(c).alias("measures")))
+    # a generator of one row: what is asked of its columns isn't moved below it and computed twice
+    measured = counts(plain).select("kept", "lang", "source", F.inline(F.array(verdict)))
     table = materialise(thresholds(
         measured.where(~F.col("base_failed")).select("lang", "source", "measures"),
         least_docs=least_docs, reach=reach), "fences")
