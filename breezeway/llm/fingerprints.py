@@ -91,6 +91,11 @@ def text_of(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.lower(F.hex(h)), HASH_BITS // 4, "0")), "")
 
 
+def _name(column: str) -> Column:
+    """A key as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
+
+
 def _askers(docs: DataFrame) -> DataFrame:
     """key, asker, half: each key is the next one, in descending order, of its asker.
 
@@ -117,17 +122,20 @@ def compare_with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     equal fingerprints; a null key counts as larger than all. An empty table gives an empty one.
     """
     plain = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    links = materialise(_askers(plain), "askers")
-    dealt = plain.repartition("key")  # read by both sides: one exchange
-    first = dealt.groupBy("key").agg(F.min("text").alias("text"))
-    links = links.select(F.col("key").alias("_key"), "asker", "half")
-    following = first.join(links, F.col("key").eqNullSafe(F.col("_key"))).select(
+    links = materialise(_askers(plain).select(_name("key").alias("name"), _name("asker").alias("asker"), "half"), "askers")
+    # Both sides read the same exchange: it has the same two columns for both, and plain
+    # equality on the name keeps its partitioning.
+    dealt = plain.select(_name("key").alias("name"), "text").repartition("name")
+    kind = plain.schema["key"].dataType
+    first = dealt.groupBy("name").agg(F.min("text").alias("text"))
+    following = first.join(links, "name").select(
         "asker", F.substring("text", F.lit(1), F.col("half").cast("int")).alias("head"), sketch(F.col("text"), k).alias("next"))
-    joined = dealt.join(following, F.col("key").eqNullSafe(F.col("asker")))
+    joined = dealt.join(following, F.col("name") == F.col("asker"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("head", F.lit(1), half))
-    rows = joined.select("key", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next")
+    own = F.when(F.col("name") != "null", F.substring("name", 2, 1 << 30)).cast(kind).alias("key")
+    rows = joined.select(own, "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next")
     both = F.struct(sketch(F.col("text"), k).alias("own"), sketch(F.col("edited"), k).alias("edited"),
                     F.col("next").alias("next"))
     marks = let(both, lambda s: F.struct(
