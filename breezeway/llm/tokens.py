@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -14,6 +15,12 @@ import pyarrow as pa
 END = 0
 #: Tokens that a task packs at once; a block ends at the first document end after so many.
 BLOCK_TOKENS = 1 << 20
+#: White space in a row beyond so many characters is cut from its text: the splitting pattern
+#: keeps one step back for each, and fails at a million.
+LONGEST_BLANK = 100_000
+#: What the splitting pattern takes for white space; ``re`` has four control characters more.
+_WHITE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_BLANK = re.compile(f"{_WHITE}{{{LONGEST_BLANK},}}")
 
 
 @lru_cache(maxsize=2)
@@ -33,6 +40,25 @@ def encoder(name: str):
     return encoding, {i: t for t, i in ranks.items()}
 
 
+def encode(encoding, text: str) -> list[int]:
+    """Ids of a text, however long its runs of white space are.
+
+    The pattern takes a run but for its last character as one piece, or the whole run at the
+    end of the text. No other piece reaches into that piece, and none looks behind itself, so
+    a long one is merged by itself and the stretches around it are encoded as texts.
+    """
+    if len(text) < LONGEST_BLANK:
+        return encoding.encode_ordinary(text)
+    ids, done = [], 0
+    for run in _LONG_BLANK.finditer(text):
+        begin, end = run.span()
+        end -= end < len(text)
+        ids += encoding.encode_ordinary(text[done:begin])
+        ids += encoding._encode_single_piece(text[begin:end])
+        done = end
+    return ids + encoding.encode_ordinary(text[done:])
+
+
 @lru_cache(maxsize=2)
 def sentence_enders(name: str) -> np.ndarray:
     """For each id, whether a sentence or line may end after it."""
@@ -64,7 +90,7 @@ def blocks(batches: Iterator[pa.RecordBatch], name: str, block_tokens: int = BLO
     for batch in batches:
         done = 0
         for row, text in enumerate(batch.column(1)):
-            ids = encoding.encode_ordinary(text.as_py() or "")
+            ids = encode(encoding, text.as_py() or "")
             ids.append(END)
             parts.append(np.array(ids, dtype=np.uint32))
             total += len(ids)
