@@ -6,6 +6,10 @@ numbers, over an alphabet: the n-grams that the landmark texts have. With Nystr
 approximation a text is its kernel values with the landmarks; one ridge regression per
 language against the rest gives the margins. Texts are scored in batches, by one product
 of presence matrices and one of kernel values.
+
+The best language of a text need not be its own. Whether it is known is told by two kinds of
+evidence, with bounds from labelled texts that were held out: the margin over the runner-up,
+and the share of the text's 3-grams that lie in the alphabet.
 """
 
 from __future__ import annotations
@@ -24,6 +28,15 @@ LENGTHS = (1, 2, 3)
 #: n-grams are told apart by a hash of so many bits.
 HASH_BITS = 18
 UNKNOWN = "und"
+#: Held-out texts are dealt into so many folds.
+FOLDS = 4
+#: The evidence that a language asks for: this quantile over its held-out texts, times a slack
+#: for the margin over the runner-up and one for the share of 3-grams. From the quantile CLEAR
+#: on, the margin suffices alone: signs between words lower the share of a text, but not it.
+LOW, MARGIN_SLACK, SHARE_SLACK, CLEAR = 0.01, 0.75, 0.9, 0.05
+#: Held-out texts that a language's own bound needs; one with fewer takes that of all languages,
+#: which needs LEAST_OF_ALL.
+LEAST_HELD_OUT, LEAST_OF_ALL = 100, 20
 
 
 def _codes(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,14 +67,47 @@ def presence(texts: Texts, column: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(len(texts), width)
 
 
+def alphabet_share(texts: Texts, column: np.ndarray) -> np.ndarray:
+    """Share of the 3-grams of each text, counted as often as they occur, that the alphabet has."""
+    code, inside = _codes(texts, 3)
+    known = inside & (column[code] >= 0)
+
+    def of_text(flags: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(flags)])[np.minimum(texts.starts, len(flags))])
+
+    return of_text(known) / np.maximum(of_text(inside), 1)
+
+
+def lead(margin: np.ndarray) -> np.ndarray:
+    """Margin of the best language over the runner-up; 0 with one language."""
+    if margin.shape[1] < 2:
+        return np.zeros(len(margin))
+    two = np.partition(margin, -2, axis=1)
+    return two[:, -1] - two[:, -2]
+
+
 @dataclass
 class LanguageModel:
-    """Alphabet columns by hash, landmark presence (scaled), weights and languages."""
+    """Alphabet columns by hash, landmark presence (scaled), weights and languages.
+
+    A text is known to be of a language with ``least_lead`` and ``least_share`` at least, or
+    with ``clear_lead``.
+    """
 
     column: np.ndarray
     landmarks: np.ndarray  # alphabet x landmarks, each landmark over the root of its number of n-grams
     weights: np.ndarray  # landmarks x languages
     languages: list[str]
+    least_lead: np.ndarray | None = None
+    least_share: np.ndarray | None = None
+    clear_lead: np.ndarray | None = None
+
+    def known(self, margin: np.ndarray, texts: Texts) -> np.ndarray:
+        """Whether there is evidence enough that each text is of its best language."""
+        best, ahead = margin.argmax(axis=1), lead(margin)
+        share = alphabet_share(texts, self.column)
+        return (ahead >= self.clear_lead[best]) | (
+            (ahead >= self.least_lead[best]) & (share >= self.least_share[best]))
 
     def kernel(self, texts: Texts) -> np.ndarray:
         """Kernel values of texts with the landmarks."""
@@ -118,40 +164,76 @@ def fit(
         for batch in batches:
             for first, texts in chunks(batch.column(0)):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(first, len(texts)),
-                     pa.array(list(model.kernel(texts)), pa.list_(pa.float32()))], ["lang", "kernel"])
+                    [batch.column(1).slice(first, len(texts)), batch.column(2).slice(first, len(texts)).cast(pa.int64()),
+                     pa.array(list(model.kernel(texts)), pa.list_(pa.float32())),
+                     pa.array(alphabet_share(texts, column))], ["lang", "place", "kernel", "share"])
 
-    rows = sample.select("text", "lang").mapInArrow(kernels, "lang string, kernel array<float>").collect()
+    rows = sample.select("text", "lang", "place").mapInArrow(
+        kernels, "lang string, place long, kernel array<float>, share double").collect()
     model.languages = sorted({r.lang for r in rows})
     k = np.array([r.kernel for r in rows], dtype=np.float64)
     y = np.where(np.array([r.lang for r in rows])[:, None] == np.array(model.languages)[None], 1.0, -1.0)
-    # every language weighs the same, and the two sides of each against-the-rest task as well
-    share = np.array([1 / np.sum(y[:, j] > 0) for j in range(y.shape[1])])
-    weight = (y > 0) @ share
-    weight *= len(weight) / weight.sum()
     among = z.T.astype(np.float64) @ z
-    left = k.T @ (k * weight[:, None]) + ridge * len(k) * among + 1e-8 * np.eye(len(marks))
-    model.weights = np.linalg.solve(left, k.T @ (y * weight[:, None]))
+
+    def solved(some: np.ndarray) -> np.ndarray:
+        # every language weighs the same, and the two sides of each against-the-rest task as well
+        own_k, own_y = k[some], y[some]
+        share = np.array([1 / max(np.sum(own_y[:, j] > 0), 1) for j in range(y.shape[1])])
+        weight = (own_y > 0) @ share
+        weight *= len(weight) / weight.sum()
+        left = own_k.T @ (own_k * weight[:, None]) + ridge * len(own_k) * among + 1e-8 * np.eye(len(marks))
+        return np.linalg.solve(left, own_k.T @ (own_y * weight[:, None]))
+
+    model.weights = solved(np.ones(len(k), dtype=bool))
+    place = np.array([r.place for r in rows])
+    margin = np.full(y.shape, -np.inf)
+    for i in range(FOLDS):
+        out = place % FOLDS == i
+        if out.any() and not out.all():
+            margin[out] = k[out] @ solved(~out)
+    best = margin.argmax(axis=1)
+    right = (y[np.arange(len(y)), best] > 0) & np.isfinite(margin).all(axis=1)
+    # the alphabet is that of the landmarks, so only the other texts are held out from it
+    free = right & (place > landmarks)
+
+    def bounds(values: np.ndarray, held: np.ndarray, q: float, slack: float, none: float) -> np.ndarray:
+        low = lambda some: slack * np.quantile(values[some], q)
+        whole = low(held) if held.sum() >= LEAST_OF_ALL else none
+        own = [held & (best == j) for j in range(y.shape[1])]
+        return np.array([low(some) if some.sum() >= LEAST_HELD_OUT else whole for some in own])
+
+    model.least_share = bounds(np.array([r.share for r in rows]), free, LOW, SHARE_SLACK, -np.inf)
+    if y.shape[1] > 1:
+        model.least_lead = bounds(lead(margin), right, LOW, MARGIN_SLACK, -np.inf)
+        model.clear_lead = bounds(lead(margin), right, CLEAR, 1.0, np.inf)
+    else:
+        model.least_lead, model.clear_lead = np.full(1, -np.inf), np.full(1, np.inf)
     return model
 
 
-def predict(model: LanguageModel, text: Column) -> Column:
-    """Struct lang_pred, score of a text.
+def predict(model: LanguageModel, text: Column, *, with_known: bool = False) -> Column:
+    """Struct lang_pred, score of a text, and with ``with_known`` whether the evidence suffices.
 
     score is (1 + margin) / 2 of the best language, cut to 0 … 1. A null text, one without
-    a letter, and every text under a model without languages is ``und`` with score 0.
+    a letter, and every text under a model without languages is ``und`` with score 0 and not known.
+    A model learned from fewer than LEAST_OF_ALL texts has no bounds for the evidence.
     """
     def run(column: pa.Array) -> pa.Array:
         best, score = np.zeros(len(column), dtype=np.int64), np.zeros(len(column))
+        known = np.zeros(len(column), dtype=bool)
         for first, texts in chunks(column):
             margin = model.kernel(texts) @ model.weights
             best[first:first + len(texts)] = margin.argmax(axis=1)
             score[first:first + len(texts)] = np.clip((1 + margin.max(axis=1)) / 2, 0, 1)
+            if with_known:
+                known[first:first + len(texts)] = model.known(margin, texts)
         names = pa.array(model.languages, pa.string()).take(pa.array(best))
-        return pa.StructArray.from_arrays([names, pa.array(score)], ["lang_pred", "score"])
+        fields = [names, pa.array(score), *([pa.array(known)] if with_known else [])]
+        return pa.StructArray.from_arrays(fields, ["lang_pred", "score", *(["known"] if with_known else [])])
 
-    none = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    none = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
+                    *([F.lit(False).alias("known")] if with_known else []))
     if not model.languages:
         return none
-    apply = F.arrow_udf(run, "struct<lang_pred: string, score: double>")
+    apply = F.arrow_udf(run, f"struct<lang_pred: string, score: double{', known: boolean' if with_known else ''}>")
     return F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), apply(text)).otherwise(none)
