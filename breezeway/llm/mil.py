@@ -9,6 +9,7 @@ scored. Encoder, attention and scorer are learned together from document labels:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,27 +18,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breezeway.llm.common import sampled
-from breezeway.llm.textarrays import Texts, chunks, hash_words, split_words
+from breezeway.llm.textarrays import CHUNK_BYTES, Texts, chunks, hash_words, split_words
 
-#: Words of a passage. A document of more than MOST_PASSAGES passages has longer ones.
-PASSAGE_WORDS, MOST_PASSAGES = 64, 128
+#: Words of a passage.
+PASSAGE_WORDS = 64
 SHAPES = 64
 FEATURES = 256 + SHAPES + 4
 HIDDEN, GATES = 24, 16
 
 
-def passages(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+def strips(texts: Texts, size: int = CHUNK_BYTES) -> Iterator[tuple[Texts, np.ndarray | None]]:
+    """One text in stretches of whole passages, of about ``size`` bytes, each with the word before it.
+
+    A stretch is longer only where ``size`` bytes don't hold the words of a passage.
+    """
+    data, at, reach, before = texts.data, 0, size, None
+    while True:
+        end = min(at + reach, len(data))
+        words = split_words(Texts(data[at:end], np.array([0, end - at])))
+        n = len(words)
+        if end < len(data):
+            if not n:
+                at = end
+                continue
+            n = (n - int(words.end[-1] == end - at)) // PASSAGE_WORDS * PASSAGE_WORDS
+            if not n:
+                reach *= 2
+                continue
+        elif not n and before is not None:
+            return
+        cut = int(words.end[n - 1]) if n else 0
+        yield Texts(data[at:at + cut], np.array([0, cut])), before
+        if end == len(data):
+            return
+        before = data[at + words.begin[n - 1]:at + cut]
+        at, reach = at + cut, size
+
+
+def passages(texts: Texts, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows of all passages, and the first passage of each text.
 
-    Bytes keep their case. A text without words is one passage of zeros.
+    Bytes keep their case. A text without words is one passage of zeros. ``before`` is the
+    word that the first text goes on from, where it is a stretch of a longer one.
     """
     words = split_words(texts)
     count = np.diff(words.first)
-    length = np.maximum(PASSAGE_WORDS, -(-count // MOST_PASSAGES))
-    n = np.maximum(-(-count // length), 1)
+    n = np.maximum(-(-count // PASSAGE_WORDS), 1)
     first = np.concatenate([[0], np.cumsum(n)])
     nth = np.arange(len(words)) - words.first[words.text]
-    place = first[words.text] + nth // length[words.text]
+    place = first[words.text] + nth // PASSAGE_WORDS
     total = int(first[-1])
     out = np.zeros((total, FEATURES), dtype=np.float32)
     if len(words):
@@ -49,6 +78,9 @@ def passages(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         h = hash_words(texts, words)
         again = np.zeros(len(words), dtype=bool)
         again[1:] = (h[1:] == h[:-1]) & (words.text[1:] == words.text[:-1])
+        if before is not None:
+            one = Texts(before, np.array([0, len(before)]))
+            again[0] = h[0] == hash_words(one, split_words(one))[0]
         head, tail = texts.data[words.begin].astype(np.int64), texts.data[words.end - 1].astype(np.int64)
         kind = np.searchsorted([48, 58, 65, 91, 97, 123, 128], np.arange(256), side="right")
         shape = kind[head] * 8 + kind[tail]
@@ -91,6 +123,17 @@ class BagModel:
         score = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["b"], -30, 30)))
         return {"bag": bag, "h": h, "v": v, "u": u, "a": a, "z": z, "score": score}
 
+    def of_strips(self, parts: Iterator[np.ndarray]) -> float:
+        """The score of one bag that comes in parts: attention relative to the largest so far."""
+        p, top, total, z = self.p, -np.inf, 0.0, np.zeros(HIDDEN)
+        for x in parts:
+            h = np.tanh(x @ p["E"] + p["e"])
+            logit = (np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]
+            higher = max(top, float(logit.max()))
+            raw, kept = np.exp(logit - higher, dtype=np.float64), np.exp(top - higher)
+            total, z, top = total * kept + raw.sum(), z * kept + raw @ h, higher
+        return float(1 / (1 + np.exp(-np.clip(z / total @ p["c"] + p["b"], -30, 30))))
+
 
 def _gradients(m: BagModel, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     p, s = m.p, m.forward(x, first)
@@ -128,7 +171,7 @@ def train(
         for at in range(0, len(y), batch):
             docs = order[at:at + batch]
             rows = np.concatenate([np.arange(first[i], first[i + 1]) for i in docs])
-            g = _gradients(model, x[rows], np.concatenate([[0], np.cumsum(n[docs])]), y[docs])
+            g = _gradients(model, x[rows].astype(np.float64), np.concatenate([[0], np.cumsum(n[docs])]), y[docs])
             step += 1
             for k, v in g.items():
                 v = v + decay * model.p[k]
@@ -154,8 +197,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_documents: int = 3000) -> B
     def encode(batches):
         for batch in batches:
             for at, texts in chunks(batch.column(1), raw=True):
-                x, first = passages(texts)
-                bags = [x[a:b].astype(np.float32).tobytes() for a, b in zip(first, first[1:])]
+                if len(texts) == 1:
+                    bags = [b"".join(passages(*part)[0].tobytes() for part in strips(texts))]
+                else:
+                    x, first = passages(texts)
+                    bags = [x[a:b].tobytes() for a, b in zip(first, first[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)),
                      pa.array(bags, pa.binary())], ["key", "label", "bag"])
@@ -168,11 +214,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_documents: int = 3000) -> B
     if len(set(y.tolist())) < 2:
         return BagModel({}, prior=float(y[0]) if len(y) else 0.5)
     bags = [np.frombuffer(r.bag, dtype=np.float32).reshape(-1, FEATURES) for r in rows]
-    return train(np.concatenate(bags).astype(np.float64), np.cumsum([0, *map(len, bags)]), y)
+    return train(np.concatenate(bags), np.cumsum([0, *map(len, bags)]), y)
 
 
 def score(model: BagModel, text: Column) -> Column:
-    """Score 0 … 1 of a text; a null text is scored as an empty one."""
+    """Score 0 … 1 of a text; a null text is scored as an empty one.
+
+    However long a text is, its passages are encoded a stretch at a time.
+    """
     if model.prior is not None:
         return F.lit(model.prior)
     small = BagModel({k: v.astype(np.float32) for k, v in model.p.items()})
@@ -180,6 +229,9 @@ def score(model: BagModel, text: Column) -> Column:
     def run(column: pa.Array) -> pa.Array:
         out = np.zeros(len(column))
         for at, texts in chunks(column, raw=True):
+            if len(texts) == 1:
+                out[at] = small.of_strips(passages(*part)[0] for part in strips(texts))
+                continue
             x, first = passages(texts)
             out[at:at + len(texts)] = small.forward(x, first)["score"]
         return pa.array(out)
