@@ -186,9 +186,14 @@ def fit(
 
     model.weights = solved(np.ones(len(k), dtype=bool))
     place = np.array([r.place for r in rows])
+    # places go round the languages, so folds are dealt within each
+    nth = np.zeros(len(y), dtype=np.int64)
+    for j in range(y.shape[1]):
+        own = np.flatnonzero(y[:, j] > 0)
+        nth[own[np.argsort(place[own], kind="stable")]] = np.arange(len(own))
     margin = np.full(y.shape, -np.inf)
     for i in range(FOLDS):
-        out = place % FOLDS == i
+        out = nth % FOLDS == i
         if out.any() and not out.all():
             margin[out] = k[out] @ solved(~out)
     best = margin.argmax(axis=1)

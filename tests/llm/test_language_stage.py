@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from breezeway.llm import langid
 from breezeway.llm.common import table
 
 OTHER = {
@@ -45,3 +46,10 @@ def test_a_whole_language_that_was_not_learned(spark):
         left = {r.was: r["count"] for r in out.where("n_chars >= 200").groupBy("was").count().collect()}
         assert left.get(lang, 0) <= 0.05 * n[lang], lang
         assert all(left[k] >= 0.98 * n[k] for k in n if k not in (lang, None)), lang
+
+
+def test_bounds_come_from_texts_of_every_language(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents").where("n_chars >= 200")
+    model = langid.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
+    assert len(model.languages) == 4 and (model.clear_lead > 0.9).all() and (model.least_lead > 0.4).all()
