@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breezeway.llm import (
-    binary_output, fingerprints, langid, lm, mil, mixing, ngram_join, packing, quality, url_filter, url_sql,
+    binary_output, fingerprints, langid, lm, merkle, mil, mixing, ngram_join, packing, quality, url_filter, url_sql,
 )
 from breezeway.llm.common import fold, table
+from breezeway.llm.merkle_sql import MERKLE_SQL
 from breezeway.llm.quality_sql import QUALITY_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,10 +87,26 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("mixed.copies") * F.col("mixed.size")).alias("taken"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, checked against a tampered text for each third one."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select("doc_id", "lang", merkle.leaf(*fields, F.col("text")).alias("leaf"),
+                       F.when(tampered, merkle.leaf(*fields, lowered)).alias("altered"))
+    tree = merkle.manifest(rows, group="lang", order="doc_id", node="leaf", carry=["altered"])
+    return tree.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("siblings")).alias("proof_sha256"),
+        merkle.folded(F.coalesce("altered", "leaf"), F.col("siblings")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_recurrent_lm, op2_url_list_in_time, op3_pack_in_order, op4_quality_rules,
     op5_bottom_k, op6_language, op7_ngram_jaccard,
     op8_quality_bags, op9_binary_rows,
-    op10_mix_sources,
+    op10_mix_sources, op13_merkle_manifest,
 )}
-ORACLES: dict[str, str] = {"op2_url_list_in_time": url_sql.URL_SQL, "op4_quality_rules": QUALITY_SQL}
+ORACLES: dict[str, str] = {"op2_url_list_in_time": url_sql.URL_SQL, "op4_quality_rules": QUALITY_SQL,
+                           "op13_merkle_manifest": MERKLE_SQL}
