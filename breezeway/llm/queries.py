@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breezeway.llm import (
-    binary_output, fingerprints, langid, lm, merkle, mil, mixing, ngram_join, packing, quality, url_filter, url_sql,
+    binary_output, fingerprints, langid, lm, merkle, mil, mixing, ngram_join, packing, quality, repeats,
+    search, url_filter, url_sql,
 )
 from breezeway.llm.common import fold, table
 from breezeway.llm.merkle_sql import MERKLE_SQL
 from breezeway.llm.quality_sql import QUALITY_SQL
+from breezeway.llm.search_sql import SEARCH_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +89,16 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("mixed.copies") * F.col("mixed.size")).alias("taken"))
 
 
+def op11_cut_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document without spans of 35 words that occur again."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), window=35)
+
+
+def op12_search_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, checked against a tampered text for each third one."""
     docs = table(spark, sf_dir, "documents")
@@ -106,7 +118,7 @@ QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_recurrent_lm, op2_url_list_in_time, op3_pack_in_order, op4_quality_rules,
     op5_bottom_k, op6_language, op7_ngram_jaccard,
     op8_quality_bags, op9_binary_rows,
-    op10_mix_sources, op13_merkle_manifest,
+    op10_mix_sources, op11_cut_repeats, op12_search_bags, op13_merkle_manifest,
 )}
 ORACLES: dict[str, str] = {"op2_url_list_in_time": url_sql.URL_SQL, "op4_quality_rules": QUALITY_SQL,
-                           "op13_merkle_manifest": MERKLE_SQL}
+                           "op12_search_bags": SEARCH_SQL, "op13_merkle_manifest": MERKLE_SQL}

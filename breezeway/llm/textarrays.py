@@ -18,12 +18,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of terms: ASCII letters and digits, and all bytes of other code points.
+TERM_BYTES = np.arange(256) >= 128
+TERM_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def power(kind: str, n: int) -> np.ndarray:
     """Powers 0 … n - 1 of the base or its inverse modulo 2**64."""
     if len(_powers[kind]) < n:
         factors = np.full(n + n // 4, _BASE if kind == "up" else _INVERSE, dtype=np.uint64)
@@ -82,9 +85,9 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES, raw: bool = False) -> Iter
         begin = end
 
 
-def split_words(texts: Texts) -> Words:
-    """Runs of bytes other than blanks, tabs, line ends, vertical tabs and form feeds."""
-    solid = ~_BLANK[texts.data]
+def split_words(texts: Texts, inside: np.ndarray = ~_BLANK) -> Words:
+    """Runs of the bytes ``inside``: all but blanks, tabs, line ends, vertical tabs and form feeds."""
+    solid = inside[texts.data]
     edge = np.zeros(len(solid) + 1, dtype=bool)
     edge[texts.starts] = True
     before = np.concatenate([[False], solid[:-1]]) if len(solid) else solid
@@ -99,6 +102,6 @@ def hash_words(texts: Texts, words: Words) -> np.ndarray:
     """A 64-bit hash of each word's bytes, the same in every batch."""
     n = len(texts.data)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((texts.data.astype(np.uint64) + np.uint64(1)) * _power("up", n), out=total[1:])
-    own = (total[words.end] - total[words.begin]) * _power("down", n)[words.begin]
+    np.cumsum((texts.data.astype(np.uint64) + np.uint64(1)) * power("up", n), out=total[1:])
+    own = (total[words.end] - total[words.begin]) * power("down", n)[words.begin]
     return mix(own + (words.end - words.begin).astype(np.uint64))
