@@ -259,8 +259,10 @@ def _cut(window: int, with_text: bool) -> Callable:
 def _repeated(docs: DataFrame, scanned: DataFrame, window: int) -> DataFrame:
     """Spans of texts to remove: ta, tb, start, n (edges); verified, may overlap."""
     found_in = scanned.where("start IS NOT NULL").select(*_ID, "start", "n", "gram", "content")
-    again = found_in.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram")
+    # written first, so that the join's sides are plain shuffles, of which a hot n-gram's can be split
+    again = materialise(found_in.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram"), "repeats-grams")
     found = materialise(found_in.join(again, "gram", "left_semi"), "repeats-found")
+    discard(again)
     contents = materialise(found.groupBy("gram", "content").agg(
         F.count(F.lit(1)).alias("occurs"), F.min(F.struct(*_ID, "start", "n")).alias("at")), "repeats-contents")
     paths = _paths(found, contents)
