@@ -274,12 +274,14 @@ def _repeated(docs: DataFrame, scanned: DataFrame, window: int) -> DataFrame:
             singles.withColumn("path", F.lit(None).cast("bigint")).select(*_ID, asked.alias("_a")))
         .groupBy(*_ID).agg(F.collect_list("_a").alias("asked")), "repeats-wanted")
     read = _read(docs, wanted, _digests(window), "ta bigint, tb bigint, start int, n int, path bigint, copies bigint, digest binary")
-    # a piece may be asked for as a path and, split, as single edges
-    seen = materialise(read.dropDuplicates([*_ID, "start", "n", "path"]), "repeats-digests")
+    # a text may have been read twice, so places count, not rows
+    seen = materialise(read.withColumn("place", F.xxhash64(*_ID, "start")), "repeats-digests")
+    elsewhere = F.min("place") != F.max("place")
     of_paths = seen.where("path IS NOT NULL")
-    true_paths = of_paths.groupBy("path", "digest").agg(F.sum("copies").alias("_n")).where("_n > 1").select("path", "digest")
+    true_paths = of_paths.groupBy("path", "digest").agg((elsewhere | (F.max("copies") > 1)).alias("_again")).where(
+        "_again").select("path", "digest")
     edges = seen.where("path IS NULL")
-    true_edges = edges.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest")
+    true_edges = edges.groupBy("digest").agg(elsewhere.alias("_again")).where("_again").select("digest")
     out = materialise(
         of_paths.join(true_paths, ["path", "digest"], "left_semi").select(*_ID, "start", "n").unionByName(
             edges.where("copies = 1").join(true_edges, "digest", "left_semi").select(*_ID, "start", "n")), "repeats-spans")
