@@ -1,10 +1,9 @@
-"""Readings stored as parquet snapshots.
+"""Readings stored as parts, one folder a date.
 
-``root/snapshot=<n>/date=<d>/*.parquet``: appends add files to the newest
-snapshot, deletes write the next one. A snapshot counts once it is committed. Rows are clustered by date and sorted by
-entity and time inside a file, so a time filter skips directories and an entity
-filter skips row groups; entities do not become directories, their number is
-not bounded.
+Rows are clustered by date and sorted by entity and time inside a file, so a time filter
+skips directories and an entity filter skips row groups; entities do not become
+directories, their number is not bounded. Each append is a part of its own; deletes write
+the dates anew that they touch. Both count once the manifest names them.
 """
 
 from __future__ import annotations
@@ -15,14 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from breezeway.operators import dedup
 from breezeway.operators.series import Series
-from breezeway.session import materialise
-from breezeway.sources.commits import commit, versions
-
-
-def cluster_for_write(df: DataFrame, columns: list[str], sort: list[str]) -> DataFrame:
-    """Few, even files: rebalancing splits a hot value and merges small ones."""
-    return df.hint("rebalance", *columns).sortWithinPartitions(*columns, *sort)
+from breezeway.session import discard, materialise
+from breezeway.sources.manifest import PartTable, Version, versions
 
 
 @dataclass(frozen=True)
@@ -32,33 +27,20 @@ class ReadingStore:
     schema: T.StructType
     series: Series = Series()
 
-    def _snapshots(self) -> list[int]:
-        return versions(self.spark, self.root, "snapshot")
+    @property
+    def table(self) -> PartTable:
+        s = self.series
+        return PartTable(self.spark, self.root, self.schema, "date", F.to_date(s.ts), (*s.key, *s.order))
 
-    def _path(self, snapshot: int) -> str:
-        return f"{self.root}/snapshot={snapshot}"
+    def versions(self) -> list[int]:
+        return versions(self.spark, self.root)
 
-    def _write(self, df: DataFrame, snapshot: int, mode: str) -> None:
-        s = self.series
-        dated = df.select(*self.schema.names).withColumn("date", F.to_date(s.ts))
-        dated = cluster_for_write(dated, ["date"], [*s.key, *s.order])
-        dated.write.mode(mode).partitionBy("date").parquet(self._path(snapshot))
-        commit(self.spark, self._path(snapshot))
-
-    def read(self) -> DataFrame:
-        """The newest snapshot, with its ``date`` column."""
-        snapshots = self._snapshots()
-        schema = T.StructType([*self.schema.fields, T.StructField("date", T.DateType())])
-        if not snapshots:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._path(snapshots[-1]))
-
-    def append(self, df: DataFrame) -> None:
-        snapshots = self._snapshots()
-        if snapshots:
-            self._write(df, snapshots[-1], "append")
-        else:
-            self._write(df, 1, "overwrite")
+    def read(self, version: int | None = None) -> DataFrame:
+        """The newest version, or an older one, with its ``date`` column."""
+        return self.table.read(version)
+
+    def append(self, df: DataFrame) -> Version:
+        return self.table.append(df)
 
     def append_stamped(self, df: DataFrame, batch: int, at: Column | None = None,
                        order: list[str] | None = None) -> DataFrame:
@@ -70,7 +52,8 @@ class ReadingStore:
         """
         at = F.current_timestamp() if at is None else at
         placed = (df.sortWithinPartitions(*order) if order else df).withColumn("_at", F.monotonically_increasing_id())
-        placed = materialise(placed, "unstamped").withColumn("_part", F.shiftright("_at", 33))
+        written = materialise(placed, "unstamped")
+        placed = written.withColumn("_part", F.shiftright("_at", 33))
         parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
         earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         starts = parts.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
@@ -78,10 +61,29 @@ class ReadingStore:
         stamped = placed.join(F.broadcast(starts), "_part").withColumn(self.series.ts, at).withColumn(
             self.series.seq, F.lit(batch << 44) + place)
         stamped = materialise(stamped.select(*self.schema.names), "stamped")
+        discard(written)
         self.append(stamped)
         return stamped.select(self.series.seq)
 
-    def replace(self, df: DataFrame) -> None:
-        """Make ``df`` the next snapshot; readers of the old one are not disturbed."""
-        snapshots = self._snapshots()
-        self._write(df, snapshots[-1] + 1 if snapshots else 1, "overwrite")
+    def replace(self, df: DataFrame) -> Version:
+        """Make ``df`` the next version; readers of older ones are not disturbed."""
+        return self.table.replace(df)
+
+    def delete_ids(self, ids: DataFrame) -> Version:
+        """Remove rows by id; only the dates that hold one are written anew."""
+        wanted, seq = ids.select(self.series.seq), self.series.seq
+        return self.table.change(
+            lambda rows: rows.join(wanted, seq, "left_semi"), lambda rows: dedup.delete_ids(rows, wanted, seq))
+
+    def delete_where(self, condition: Column) -> Version:
+        """Remove rows for which ``condition`` is true; only their dates are written anew."""
+        gone = F.coalesce(condition, F.lit(False))
+        return self.table.change(lambda rows: rows.where(gone), lambda rows: rows.where(~gone))
+
+    def delete_all(self) -> Version:
+        """Remove all rows; nothing is read or written but the manifest."""
+        return self.table.commit(lambda base: ({}, {}))
+
+    def vacuum(self, keep: int = 1) -> list[int]:
+        """Remove older versions and unused parts; only while nobody writes."""
+        return self.table.vacuum(keep)

@@ -2,206 +2,164 @@
 
 A poll is stored if it is the first of its entity, if at least 45 minutes have
 passed since the last *stored* poll, or if index, pm2_5 or temperature moved.
-Each decision needs the previous one, so an entity is walked in time order.
-
-Batch form: an ordinary entity is one pandas group of at most ``max_rows``
-rows. A huge entity is laid out in chunks and walked chunk by chunk in
-parallel: every chunk starts from a guess of the last stored poll before it,
-and the chunks whose guess proves wrong are walked again until all guesses
-equal what the chunk before really ended with. Decisions forget their start
-quickly, so two or three rounds are the rule; the result is exact in any case.
-
-Stream form: ``applyInPandasWithState`` keyed by entity.
+Each decision depends on the one before, so the polls of an entity form a chain.
+
+The chain is cut into blocks of time. A block is longer than 45 minutes, so all it has to
+know of the past is which poll of the block before it was stored last, or that none was
+within 45 minutes. For each of these few cases it computes which of its own polls is stored
+last: a table from cases to cases. Where all cases end alike, as in almost every block, the
+outcome is known without the past. Tables of the others are composed with those of the
+block before, then of the two before that, the four before those, and so on, until all
+end alike: the logarithm of the longest stretch in rounds. With the last stored poll before
+it, every block then decides its own polls.
+
+All of it is joins and array functions on (entity, block). A task holds one block of one
+entity, so a long history of one entity is as many blocks. Work within a block grows with
+its polls times those that repeat one another within 45 minutes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from breezeway.functions import fixed_values as V
+from breezeway.functions.arrays import let, places
 from breezeway.functions.calendar import MICROS_PER_MINUTE, micros
-from breezeway.operators.series import Series, attach, chunk_rows, place_hot, split_by_size
-from breezeway.session import materialise
+from breezeway.operators.series import Series
+from breezeway.session import discard, materialise
 
 REASONS = ["first", "elapsed", "changed", "unchanged"]
-_GATE_MICROS = V.GATE_MINUTES * MICROS_PER_MINUTE
-
-# Last stored poll: time in microseconds, index, pm2_5, temperature.
-State = tuple[int, float, float, float]
-_STATE_FIELDS = ["last_t", "last_aqi", "last_pm2_5", "last_temperature"]
-_STATE_DDL = "last_t bigint, last_aqi double, last_pm2_5 double, last_temperature double"
-
-
-def walk(state: State | None, rows: Iterable[State]) -> tuple[list[str], State | None]:
-    """Reasons for rows in time order, and the last stored poll after them."""
-    reasons = []
-    for row in rows:
-        if state is None:
-            reason = "first"
-        elif row[0] - state[0] >= _GATE_MICROS:
-            reason = "elapsed"
-        elif (
-            row[1] == state[1]
-            and abs(row[2] - state[2]) < V.GATE_TOLERANCE
-            and abs(row[3] - state[3]) < V.GATE_TOLERANCE
-        ):
-            reason = "unchanged"
-        else:
-            reason = "changed"
-        reasons.append(reason)
-        if reason != "unchanged":
-            state = row
-    return reasons, state
-
-
-def _prepared(df: DataFrame, s: Series) -> DataFrame:
-    """Only what the walk needs; a missing measure counts as 0."""
-    measure = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_{c}")
-    return df.select(
-        *s.key, *s.order, micros(F.col(s.ts)).alias("_t"),
-        measure("aqi"), measure("pm2_5"), measure("temperature"))
-
-
-def _states(pdf: pd.DataFrame) -> Iterator[State]:
-    return zip(pdf["_t"].tolist(), pdf["_aqi"].tolist(), pdf["_pm2_5"].tolist(),
-               pdf["_temperature"].tolist())
-
-
-def _start_of(pdf: pd.DataFrame) -> State | None:
-    first = pdf.iloc[0]
-    if pd.isna(first["last_t"]):
-        return None
-    return tuple(first[c] for c in _STATE_FIELDS)
-
-
-def _decide_cold(rows: DataFrame, s: Series) -> DataFrame:
-    seq, order = s.seq, ["_t", s.seq]
-    seq_type = rows.schema[seq].dataType.simpleString()
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        reasons, _ = walk(None, _states(pdf))
-        return pd.DataFrame({seq: pdf[seq], "reason": reasons})
-
-    return rows.groupBy(*s.key).applyInPandas(decide, f"`{seq}` {seq_type}, reason string")
-
-
-def _chunk_ends(chunks: DataFrame, starts: DataFrame, s: Series, n_chunks: int) -> DataFrame:
-    """Last stored poll of each chunk, given the poll each one starts from."""
-    key = list(s.key)
-    keyed = attach(chunks, starts, [*key, "_chunk"], n_chunks)
-
-    def end(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        _, state = walk(_start_of(pdf), _states(pdf))
-        out = pdf.iloc[:1][[*key, "_chunk"]].copy()
-        for name, value in zip(_STATE_FIELDS, state):
-            out[name] = value
-        return out
-
-    fields = [f for f in keyed.schema.fields if f.name in (*key, "_chunk")]
-    fields = sorted(fields, key=lambda f: [*key, "_chunk"].index(f.name))
-    state = [T.StructField(c, T.LongType() if c == "last_t" else T.DoubleType()) for c in _STATE_FIELDS]
-    schema = T.StructType([*fields, *state])
-    return keyed.groupBy(*key, "_chunk").applyInPandas(end, schema)
-
-
-def _decide_hot(rows: DataFrame, s: Series, split) -> DataFrame:
-    key, seq = list(s.key), s.seq
-    chunks = materialise(chunk_rows(place_hot(split, s), s, 0, 0), "gate-chunks")
-    n_chunks = -(-split.hot_rows // s.max_rows) + split.hot_entities
-    by_chunk = Window.partitionBy(*key).orderBy("_chunk")
-    previous = [F.lag(c).over(by_chunk).alias(c) for c in _STATE_FIELDS]
-    none = [F.lit(None).cast(t).alias(c) for c, t in zip(_STATE_FIELDS, ["bigint", *["double"] * 3])]
-
-    ids = chunks.select(*key, "_chunk").distinct()
-    starts = materialise(ids.select("*", *none), "gate-starts")
-    ends = materialise(_chunk_ends(chunks, starts, s, n_chunks), "gate-ends")
-    while True:
-        following = materialise(ends.select(*key, "_chunk", *previous), "gate-starts")
-        wrong = following.exceptAll(starts)
-        redo = materialise(wrong, "gate-wrong")
-        if redo.isEmpty():
-            break
-        again = _chunk_ends(chunks, redo, s, n_chunks)
-        kept_condition = F.lit(True)
-        marks = redo.select(*[F.col(c).alias(f"_r_{c}") for c in [*key, "_chunk"]])
-        for c in [*key, "_chunk"]:
-            kept_condition = kept_condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-        kept = ends.join(marks, kept_condition, "left_anti")
-        ends, starts = materialise(kept.unionByName(again), "gate-ends"), following
-    keyed = attach(chunks, starts, [*key, "_chunk"], n_chunks)
-    seq_type = rows.schema[seq].dataType.simpleString()
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        reasons, _ = walk(_start_of(pdf), _states(pdf))
-        return pd.DataFrame({seq: pdf[seq], "reason": reasons})
-
-    return keyed.groupBy(*key, "_chunk").applyInPandas(decide, f"`{seq}` {seq_type}, reason string")
-
-
-def gate_reasons(df: DataFrame, s: Series = Series()) -> DataFrame:
-    """(seq, reason) of every poll; ``unchanged`` polls are the rejected ones."""
-    rows = _prepared(df, s)
-    split = split_by_size(rows, s)
-    decided = _decide_cold(split.cold, s)
-    if split.hot is None:
-        return decided
-    return decided.unionByName(_decide_hot(rows, s, split))
+GATE_MICROS = V.GATE_MINUTES * MICROS_PER_MINUTE
+#: A block must be at least as long as the gate.
+BLOCK_MICROS = 2 * GATE_MICROS
+#: Polls that are looked at before the rest of a block is searched.
+NEAR = 8
+
+_STATE = "struct<t:bigint,aqi:double,pm2_5:double,temperature:double>"
+
+
+def _block_of(ts: Column) -> Column:
+    return F.floor(micros(ts) / BLOCK_MICROS).alias("_block")
+
+
+def _blocks(df: DataFrame, s: Series) -> DataFrame:
+    """key, _block, polls: its polls in order, with their whole rows. A missing measure counts as 0."""
+    measure = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    poll = F.struct(
+        micros(F.col(s.ts)).alias("t"), F.col(s.seq).alias("seq"),
+        F.struct(micros(F.col(s.ts)).alias("t"), *[measure(c) for c in ("aqi", "pm2_5", "temperature")]).alias("state"),
+        F.struct(*df.columns).alias("row"))
+    return df.groupBy(*s.key, _block_of(F.col(s.ts))).agg(F.sort_array(F.collect_list(poll)).alias("polls"))
+
+
+def _repeats(last: Column, poll: Column) -> Column:
+    """Whether ``poll`` is not stored after ``last``."""
+    return F.coalesce(
+        (poll["t"] - last["t"] < GATE_MICROS) & (poll["aqi"] == last["aqi"])
+        & (F.abs(poll["pm2_5"] - last["pm2_5"]) < V.GATE_TOLERANCE)
+        & (F.abs(poll["temperature"] - last["temperature"]) < V.GATE_TOLERANCE), F.lit(False))
+
+
+def _next(states: Column, last: Column, start: Column) -> Column:
+    """Place of the first of ``states`` from ``start`` on that is stored after ``last``; null if none is."""
+    n = F.size(states)
+    found = lambda a, b: F.get(F.filter(places(a, b), lambda k: ~_repeats(last, F.get(states, k))), F.lit(0))
+    return F.coalesce(found(start, F.least(start + NEAR, n)), found(start + NEAR, n))
+
+
+def _ends(states: Column) -> Column:
+    """For each of ``states``: the place of the last stored one if this one is stored."""
+    n = F.size(states)
+    follow = F.transform(states, lambda x, i: _next(states, x, i + 1))
+    return let(follow, lambda nxt: F.aggregate(
+        F.reverse(places(F.lit(0), n)), F.array().cast("array<int>"),
+        lambda later, i: F.concat(F.array(F.coalesce(F.get(later, F.get(nxt, i) - i - 1), i)), later)))
+
+
+def _beside(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Null-safe join on ``on`` that keeps the columns of ``left``; keys of ``right`` are unique."""
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(right.withColumnsRenamed({c: f"_r_{c}" for c in on}), condition, how).drop(*[f"_r_{c}" for c in on])
+
+
+def _tables(states: DataFrame, on: list[str]) -> DataFrame:
+    """on, skipped, table: ``table[0]`` is the place of the last stored poll if none is recent before
+    the block, ``table[1 + i]`` if it is poll ``skipped + i`` of the block before; -1 for none."""
+    before = states.select(*on[:-1], (F.col("_block") + 1).alias("_block"), F.col("states").alias("earlier"))
+    both = _beside(states, before, on, "left")
+    earlier = F.coalesce("earlier", F.array().cast(f"array<{_STATE}>"))
+    recent = F.filter(earlier, lambda x: x["t"] > F.get("states", F.lit(0))["t"] - GATE_MICROS)
+
+    def table(ends: Column) -> Column:
+        of = lambda x: let(_next(F.col("states"), x, F.lit(0)), lambda k: F.coalesce(F.get(ends, k), F.lit(-1)))
+        return F.concat(F.array(F.get(ends, F.lit(0))), F.transform("recent", of))
+
+    return both.withColumn("recent", recent).select(
+        *on, (F.size(earlier) - F.size("recent")).alias("skipped"), let(_ends(F.col("states")), table).alias("table"))
+
+
+def _outcomes(tables: DataFrame, on: list[str]) -> DataFrame:
+    """on, last: the place of the last stored poll of each block, -1 for none."""
+    alike = F.size(F.array_distinct("table")) == 1
+    now, span = materialise(tables.select("*", alike.alias("known")), "gate-tables"), 1
+    while not now.where("NOT known").isEmpty():
+        before = now.select(*on[:-1], (F.col("_block") + span).alias("_block"), F.col("skipped").alias("_skipped"),
+                            F.col("table").alias("_table"))
+        open_ = _beside(now.where("NOT known"), before, on, "inner")
+        case = lambda e: F.when(e < F.col("skipped"), 0).otherwise(e - F.col("skipped") + 1)
+        # in two steps: a name given in a select would hide the column of that name in its lambdas
+        composed = open_.select(*on, "_skipped", F.transform("_table", lambda e: F.get("table", case(e))).alias("_composed"))
+        composed = composed.withColumnsRenamed({"_skipped": "skipped", "_composed": "table"})
+        after = materialise(now.where("known").unionByName(composed.select("*", alike.alias("known"))), "gate-tables")
+        discard(now)
+        now, span = after, 2 * span
+    return now.select(*on, F.get("table", F.lit(0)).alias("last"))
+
+
+def _reasons(states: Column, entry: Column, opening: Column) -> Column:
+    """Reason of each of ``states`` after the stored poll ``entry``, or after none (``opening``)."""
+    def step(at: Column, poll: Column) -> Column:
+        reason = (F.when(at["last"].isNull(), opening).when(_repeats(at["last"], poll), "unchanged")
+                  .when(poll["t"] - at["last"]["t"] >= GATE_MICROS, "elapsed").otherwise("changed"))
+        return let(reason, lambda r: F.struct(
+            F.when(r == "unchanged", at["last"]).otherwise(poll).cast(_STATE).alias("last"),
+            F.array_append(at["out"], r).alias("out")))
+
+    start = F.struct(entry.cast(_STATE).alias("last"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(states, start, step, lambda at: at["out"])
 
 
 def with_gate_reason(df: DataFrame, s: Series = Series()) -> DataFrame:
-    return df.join(gate_reasons(df, s), s.seq).select(*df.columns, "reason")
-
-
-def accepted(df: DataFrame, s: Series = Series()) -> DataFrame:
-    """The polls to store."""
-    stored = gate_reasons(df, s).filter(F.col("reason") != "unchanged").select(s.seq)
-    return df.join(stored, s.seq, "left_semi").select(*df.columns)
-
+    """``df`` with the ``reason`` of every poll; ``unchanged`` polls are the rejected ones.
 
-# Stream form.
+    Polls of one time are taken by ``seq``. Polls without a time count as changed.
+    """
+    on = [*s.key, "_block"]
+    blocks = materialise(_blocks(df, s), "gate-blocks")
+    states = materialise(blocks.select(*on, F.transform("polls", lambda p: p["state"]).alias("states")), "gate-states")
+    outcome = _outcomes(_tables(states, on), on)
+    entry = _beside(states, outcome, on, "inner").select(
+        *s.key, (F.col("_block") + 1).alias("_block"), F.when(F.col("last") >= 0, F.get("states", "last")).alias("_entry"))
+    opening = states.groupBy(*s.key).agg(F.min("_block").alias("_block")).withColumn("_first", F.lit(True))
+    entries = materialise(
+        _beside(_beside(states.select(*on), entry, on, "left"), opening, on, "left"), "gate-entries")
+    decided = _beside(blocks, entries, on, "inner")
+    reasons = _reasons(F.transform("polls", lambda p: p["state"]), F.col("_entry"),
+                       F.when(F.col("_first"), "first").otherwise("elapsed"))
+    both = let(reasons, lambda r: F.transform(
+        "polls", lambda p, i: F.struct(p["row"].alias("row"), F.get(r, i).alias("reason"))))
+    return decided.select(F.explode(both).alias("_p")).select("_p.row.*", "_p.reason")
 
-_STREAM_STATE = f"{_STATE_DDL}, newest_t bigint, late bigint"
 
+def gate_reasons(df: DataFrame, s: Series = Series()) -> DataFrame:
+    """(seq, reason) of every poll; ``unchanged`` polls are the rejected ones."""
+    needed = list(dict.fromkeys([*s.key, s.ts, s.seq, "aqi", "pm2_5", "temperature"]))
+    return with_gate_reason(df.select(*needed), s).select(s.seq, "reason")
 
-def gate_stream(stream: DataFrame, s: Series = Series(), emit_rejected: bool = False) -> DataFrame:
-    """The gate on a stream of polls; adds ``reason``.
 
-    Rows of one micro-batch are put in time order first. A row older than the
-    newest one of an earlier batch is late: it gets the reason ``late`` and is
-    not stored. Rejected and late rows are emitted only on request.
-    """
-    key, columns = list(s.key), stream.columns
-    prepared = stream.withColumns({
-        "_t": micros(F.col(s.ts)),
-        **{f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-           for c in ("aqi", "pm2_5", "temperature")},
-    })
-    schema = T.StructType([*stream.schema.fields, T.StructField("reason", T.StringType())])
-    order = ["_t", s.seq]
-
-    def step(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(order, kind="stable")
-        last, newest, late_rows = None, None, 0
-        if state.exists:
-            *last, newest, late_rows = state.get
-            last = tuple(last)
-        late = pdf["_t"] < newest if newest is not None else pd.Series(False, index=pdf.index)
-        pdf["reason"] = "late"
-        reasons, last = walk(last, _states(pdf[~late]))
-        pdf.loc[~late, "reason"] = reasons
-        newest = max(int(pdf["_t"].iloc[-1]), newest or int(pdf["_t"].iloc[-1]))
-        state.update((*last, newest, late_rows + int(late.sum())))
-        out = pdf if emit_rejected else pdf[~pdf["reason"].isin(["unchanged", "late"])]
-        yield out[[*columns, "reason"]]
-
-    return prepared.groupBy(*key).applyInPandasWithState(
-        step, schema, _STREAM_STATE, "append", GroupStateTimeout.NoTimeout)
+def accepted(df: DataFrame, s: Series = Series()) -> DataFrame:
+    """The polls to store."""
+    return with_gate_reason(df, s).where("reason <> 'unchanged'").drop("reason")

@@ -161,7 +161,7 @@ def _(spark, sf):
 def _(spark, sf):
     store = stored(spark, sf)
     ids = store.read().filter(F.col("seq") % 3 == 0).select("seq")
-    store.replace(dedup.delete_ids(store.read(), ids))
+    store.delete_ids(ids)
     return store.read().select(*COLUMNS)
 
 
@@ -181,7 +181,7 @@ def _(spark, sf):
 def _(spark, sf):
     store = stored(spark, sf)
     before = store.read()
-    store.replace(dedup.delete_all(before))
+    store.delete_all()
     kept = store.read().agg(F.count(F.lit(1)).alias("n"))
     return kept.select("n", before.agg(F.count(F.lit(1))).scalar().alias("earlier_rows"))
 

@@ -73,17 +73,17 @@ def _(spark, sf):
     path = scratch_path(spark, "gated")
     stream = polls_stream(spark, sf)
     jobs.store_gated(stream, path, f"{path}-state", S).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return jobs.read_gated(spark, path, stream.schema, S)
 
 
-# The watermark ends two hours before the newest row; days after it are not emitted.
 @query("t4_daily_coverage_stream", """SELECT location, date, n AS records,
   CASE WHEN n >= 20 THEN 'good' WHEN n >= 10 THEN 'partial' ELSE 'poor' END AS status
-FROM (SELECT 'st' || (user_id % 4) AS location, CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY ALL) d
-WHERE date + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOURS FROM events)""")
+FROM (SELECT 'st' || (user_id % 4) AS location, CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY ALL) d""")
 def _(spark, sf):
+    path = scratch_path(spark, "coverage")
     stream = polls_stream(spark, sf).select("location", "timestamp")
-    return jobs.run_to_table(jobs.daily_coverage_stream(stream, S), "coverage")
+    jobs.keep_daily_coverage(stream, path, f"{path}-state", S).awaitTermination()
+    return jobs.read_daily_coverage(spark, path, stream.schema, S).drop("late")
 
 
 @query("t5_latest_kept_current", """WITH $polls SELECT seq, location, timestamp, aqi, pm2_5, temperature FROM (

@@ -182,3 +182,66 @@ def test_edges_of_metrics_gates_and_gaps(spark):
     assert quality.large_gaps(df).count() == 1
     assert quality.sample_gates(df, df).first()["clean_rows"] == 3
     assert quality.with_enough_rows(df, 3).count() == 3
+
+
+def test_deleting_one_id_rewrites_one_date(spark, tmp_path, rows):
+    table = store(spark, tmp_path)
+    table.append(rows)
+    before, n = table.table.current(), table.read().count()
+    gone = rows.orderBy("seq").limit(1).select("seq", F.to_date("timestamp").cast("string").alias("d")).first()
+    table.delete_ids(spark.createDataFrame([(gone.seq,), (-1,)], "seq long"))
+    after = table.table.current()
+    assert {d for d in before.parts if before.parts[d] != after.parts.get(d)} == {f"date={gone.d}"}
+    assert table.read().count() == n - 1 and table.read().where(F.col("seq") == gone.seq).isEmpty()
+    assert table.read(before.number).count() == n  # the old version is as it was
+    table.delete_ids(spark.createDataFrame([(-5,)], "seq long"))
+    assert table.table.current() == after
+    assert table.vacuum() == [before.number] and table.read().count() == n - 1
+    table.delete_where(F.col("source") == "sensor")
+    assert table.read().count() == rows.where("source <> 'sensor' OR source IS NULL").count() - (
+        0 if gone.seq in {r.seq for r in rows.where("source = 'sensor'").collect()} else 1)
+    table.delete_all()
+    assert table.read().isEmpty()
+
+
+def test_half_written_parts_are_never_read(spark, tmp_path, rows):
+    """A writer that dies before it publishes leaves nothing behind that counts."""
+    table = store(spark, tmp_path)
+    table.append(rows.limit(10))
+    table.table.write_part(rows)
+    assert table.read().count() == 10
+    table.append(rows.limit(3))
+    assert table.read().count() == 13
+    table.vacuum()
+    assert table.read().count() == 13
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, rows):
+    """Appends from many threads, and a delete that another writer overtakes."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from breezeway.sources.manifest import Conflict, publish, Version
+
+    table = store(spark, tmp_path)
+    few = rows.limit(20).cache()
+    few.count()
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: table.append(few.withColumn("seq", F.col("seq") + 10_000 * i)), range(8)))
+    assert table.read().count() == 160 and table.versions() == list(range(1, 9))
+    assert not publish(spark, table.root, Version(8))  # a number is taken once
+
+    ids = few.limit(5).select("seq")
+    raced = []
+
+    def gone(stored):
+        if not raced:  # between reading and publishing, another writer appends to the same dates
+            raced.append(table.append(few.withColumn("seq", F.col("seq") + 90_000)))
+        return stored.join(ids, "seq", "left_semi")
+
+    table.table.change(gone, lambda stored: dedup.delete_ids(stored, ids))
+    assert table.read().count() == 175
+    base = table.table.current()
+    table.append(few.limit(1))
+    with pytest.raises(Conflict):
+        table.table.replace(few, based_on=base)
+    assert table.read().count() == 176

@@ -1,5 +1,8 @@
 """The gate as a stream equals the batch gate; the other stream jobs."""
 
+import datetime
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -22,14 +25,79 @@ def land(polls, folder, parts):
         part.coalesce(1).write.mode("append").parquet(folder)
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_stream_gate_equals_batch_gate(spark, polls, tmp_path, parts):
+def stored_by_stream(spark, folder, tmp_path, schema, files_per_batch, run="a"):
+    """Poll ids that the stream stores from the files of a folder."""
+    root = str(tmp_path / f"table-{run}")
+    stream = jobs.landing_stream(spark, folder, schema, files_per_batch=files_per_batch)
+    jobs.store_gated(stream, root, f"{root}-state").awaitTermination()
+    return {r.seq for r in jobs.read_gated(spark, root, schema).select("seq").collect()}, root
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 3, None])
+def test_stream_gate_equals_batch_gate(spark, polls, tmp_path, files_per_batch):
     folder = str(tmp_path / "landing")
-    land(polls, folder, parts)
-    stream = jobs.landing_stream(spark, folder, polls.schema, files_per_batch=1)
-    out = jobs.run_to_table(gate.gate_stream(stream, emit_rejected=True), f"gate-{parts}")
-    assert rows_of(out.select("seq", "reason")) == rows_of(gate.gate_reasons(polls))
-    assert gate.gate_reasons(polls).filter("reason = 'unchanged'").count() > 0
+    land(polls, folder, 4)
+    got, root = stored_by_stream(spark, folder, tmp_path, polls.schema, files_per_batch)
+    assert got == {r.seq for r in gate.accepted(polls).select("seq").collect()}
+    decided = jobs.decided_polls(spark, root, polls.schema).read()
+    assert decided.count() == polls.count() and 0 < len(got) < polls.count()
+
+
+def drifting(rng, n, step, location):
+    """Polls that hover around the tolerance, with pauses; many decisions hang on the one before."""
+    minute, pm, out = 0, 10.0, []
+    for i in range(n):
+        minute += rng.choice(step)
+        pm += rng.choice([0, 0, 0.2, -0.2, 0.45, -0.45])
+        out.append((minute, round(pm, 2), location))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_order_of_arrival_does_not_matter(spark, tmp_path, seed):
+    """Files out of order and rows dealt at random store the same polls as one batch in order."""
+    rng = random.Random(seed)
+    rows = drifting(rng, 400, [5, 10, 20, 44, 45, 300], "a") + drifting(rng, 150, [7], "b") + drifting(rng, 60, [600, 1], None)
+    polls = frame(spark, [poll(i, m, pm=p, location=w) for i, (m, p, w) in enumerate(rows)])
+    shares = 4
+    share = [rng.randrange(shares) if seed > 1 else shares - 1 - i * shares // len(rows) for i in range(len(rows))]
+    for n in range(shares):
+        mine = [poll(i, m, pm=p, location=w) for i, (m, p, w) in enumerate(rows) if share[i] == n]
+        frame(spark, mine).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+    landed = spark.read.parquet(str(tmp_path / "landing"))
+    want = {r.seq for r in gate.accepted(landed).select("seq").collect()}
+    got, _ = stored_by_stream(spark, str(tmp_path / "landing"), tmp_path, polls.schema, 1)
+    assert got == want
+
+
+def test_late_poll_changes_later_decisions(spark, tmp_path):
+    """A late poll far back is stored, and what it makes a repeat is no longer stored, days on as well."""
+    root = str(tmp_path / "table")
+    chain = [poll(i, 40 * i) for i in range(200)]  # every second one is stored, for five days
+    schema = frame(spark, []).schema
+    handle = jobs.gate_batches(root, schema)
+    handle(frame(spark, chain[1:]), 0)
+    stored = lambda: {r.seq for r in jobs.read_gated(spark, root, schema).collect()}
+    assert stored() == set(range(1, 200, 2))
+    first = jobs.decided_polls(spark, root, schema)
+    handle(frame(spark, chain[:1]), 1)
+    assert stored() == set(range(0, 200, 2))
+    handle(frame(spark, chain[:1]), 1)  # delivered again
+    assert stored() == set(range(0, 200, 2)) and first.read().count() == 200
+
+
+def test_late_poll_rewrites_only_its_days(spark, tmp_path):
+    root = str(tmp_path / "table")
+    rows = [poll(i, 60 * i, pm=float(i)) for i in range(24 * 10)]
+    schema = frame(spark, []).schema
+    handle = jobs.gate_batches(root, schema)
+    handle(frame(spark, rows), 0)
+    table = jobs.decided_polls(spark, root, schema)
+    before = table.current().parts
+    handle(frame(spark, [poll(1000, 60 * 30 + 1, pm=30.2), poll(1001, 60 * 30 + 20, pm=99.0)]), 1)
+    after = table.current().parts
+    assert {d for d in before if before[d] != after[d]} == {"date=1970-01-02"}
+    assert jobs.read_gated(spark, root, schema).count() == 24 * 10 + 1
 
 
 def poll(seq, minute, pm=1.0, aqi=1, temperature=20.0, location="a"):
@@ -62,13 +130,55 @@ def test_missing_measures_count_as_zero(spark):
     assert reasons(spark, [poll(1, 0, None, None, None), poll(2, 5, 0.2, 0, 0.1)]) == ["first", "unchanged"]
 
 
-def test_late_rows_are_marked(spark, tmp_path):
-    folder = str(tmp_path / "landing")
-    for n, rows in enumerate([[poll(1, 0), poll(2, 100)], [poll(3, 50, pm=9.0), poll(4, 101, pm=5.0)]]):
-        frame(spark, rows).coalesce(1).write.mode("append").parquet(folder)
-    stream = jobs.landing_stream(spark, folder, frame(spark, []).schema, files_per_batch=1)
-    out = jobs.run_to_table(gate.gate_stream(stream, emit_rejected=True), "late")
-    assert {r["seq"]: r["reason"] for r in out.collect()} == {1: "first", 2: "elapsed", 3: "late", 4: "changed"}
+def plain_reasons(rows):
+    """The rules, one poll after the other."""
+    last, out = {}, {}
+    for seq, location, t, aqi, pm, temperature in sorted(rows, key=lambda r: (str(r[1]), r[2], r[0])):
+        now = (t, aqi or 0, pm or 0.0, temperature or 0.0)
+        at = last.get(location)
+        if at is None:
+            out[seq] = "first"
+        elif t - at[0] >= 45 * 60:
+            out[seq] = "elapsed"
+        elif now[1] == at[1] and abs(now[2] - at[2]) < 0.5 and abs(now[3] - at[3]) < 0.5:
+            out[seq] = "unchanged"
+            continue
+        else:
+            out[seq] = "changed"
+        last[location] = now
+    return out
+
+
+def test_gate_on_long_stretches_without_a_pause(spark):
+    """Constant values at many paces: the outcome of a block hangs on the block before, all along."""
+    rng = random.Random(4)
+    rows = [poll(10_000 * k + i, pace * i, location=f"pace{pace}") for k, pace in enumerate([1, 4, 7, 10, 20, 40, 44, 45, 46])
+            for i in range(300)]
+    for k, pace in enumerate([[3], [1, 2, 30], [10], [44, 1], [90, 89, 91], [46, 44, 200]]):
+        rows += [poll(1_000_000 + 10_000 * k + i, m, pm=p, location=w)
+                 for i, (m, p, w) in enumerate(drifting(rng, 300, pace, None if k == 2 else f"drift{k}"))]
+    rng.shuffle(rows)
+    got = {r.seq: r.reason for r in gate.gate_reasons(frame(spark, rows)).collect()}
+    assert got == plain_reasons(rows)
+
+
+def test_gate_plan_has_no_python_and_no_join_on_ids(spark, polls):
+    plan = gate.with_gate_reason(polls)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    assert not any("Join" in line and "seq" in line for line in plan.splitlines())
+
+
+def test_daily_coverage_keeps_open_days_and_counts_late_rows(spark, tmp_path):
+    root, schema = str(tmp_path / "days"), "location string, timestamp timestamp"
+    at = lambda rows: spark.createDataFrame(
+        [(w, datetime.datetime(2024, 1, d, h)) for w, d, h in rows], schema)
+    handle = jobs.coverage_batches(root, at([]).schema)
+    handle(at([("a", 1, 1), ("a", 1, 2), ("a", 2, 9), (None, 2, 9)]), 0)
+    handle(at([("a", 1, 3), ("a", 2, 8), ("a", 2, 6), ("b", 3, 1)]), 1)
+    handle(at([("a", 1, 3), ("a", 2, 8), ("a", 2, 6), ("b", 3, 1)]), 1)  # delivered again
+    handle(at([]), 2)
+    got = {(r.location, r.date.day): (r.records, r.late, r.status) for r in jobs.read_daily_coverage(spark, root, at([]).schema).collect()}
+    assert got == {("a", 1): (3, 1, "poor"), ("a", 2): (3, 1, "poor"), (None, 2): (1, 0, "poor"), ("b", 3): (1, 0, "poor")}
 
 
 def test_latest_is_kept_over_batches(spark, polls, tmp_path):
