@@ -33,8 +33,8 @@ REASONS = ["first", "elapsed", "changed", "unchanged"]
 GATE_MICROS = V.GATE_MINUTES * MICROS_PER_MINUTE
 #: A block must be at least as long as the gate.
 BLOCK_MICROS = 2 * GATE_MICROS
-#: Polls that are looked at before the rest of a block is searched.
-NEAR = 8
+#: Polls that are looked at before more of a block is searched, and before all the rest is.
+NEAR = (1, 8)
 
 _STATE = "struct<t:bigint,aqi:double,pm2_5:double,temperature:double>"
 
@@ -44,13 +44,18 @@ def _block_of(ts: Column) -> Column:
 
 
 def _blocks(df: DataFrame, s: Series) -> DataFrame:
-    """key, _block, polls: its polls in order, with their whole rows. A missing measure counts as 0."""
+    """key, _block, and in order of time the whole rows of its polls and what the gate compares (``states``).
+
+    A missing measure counts as 0.
+    """
     measure = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
     poll = F.struct(
-        micros(F.col(s.ts)).alias("t"), F.col(s.seq).alias("seq"),
-        F.struct(micros(F.col(s.ts)).alias("t"), *[measure(c) for c in ("aqi", "pm2_5", "temperature")]).alias("state"),
+        micros(F.col(s.ts)).alias("t"), F.col(s.seq).alias("seq"), *[measure(c) for c in ("aqi", "pm2_5", "temperature")],
         F.struct(*df.columns).alias("row"))
-    return df.groupBy(*s.key, _block_of(F.col(s.ts))).agg(F.sort_array(F.collect_list(poll)).alias("polls"))
+    blocks = df.groupBy(*s.key, _block_of(F.col(s.ts))).agg(F.sort_array(F.collect_list(poll)).alias("_polls"))
+    return blocks.select(
+        *s.key, "_block", F.col("_polls.row").alias("rows"),
+        F.transform("_polls", lambda p: F.struct(p["t"], p["aqi"], p["pm2_5"], p["temperature"])).alias("states"))
 
 
 def _repeats(last: Column, poll: Column) -> Column:
@@ -65,7 +70,8 @@ def _next(states: Column, last: Column, start: Column) -> Column:
     """Place of the first of ``states`` from ``start`` on that is stored after ``last``; null if none is."""
     n = F.size(states)
     found = lambda a, b: F.get(F.filter(places(a, b), lambda k: ~_repeats(last, F.get(states, k))), F.lit(0))
-    return F.coalesce(found(start, F.least(start + NEAR, n)), found(start + NEAR, n))
+    bounds = [start, *[F.least(start + near, n) for near in NEAR], n]
+    return F.coalesce(*[found(a, b) for a, b in zip(bounds, bounds[1:])])
 
 
 def _ends(states: Column) -> Column:
@@ -139,19 +145,15 @@ def with_gate_reason(df: DataFrame, s: Series = Series()) -> DataFrame:
     """
     on = [*s.key, "_block"]
     blocks = materialise(_blocks(df, s), "gate-blocks")
-    states = materialise(blocks.select(*on, F.transform("polls", lambda p: p["state"]).alias("states")), "gate-states")
+    states = blocks.select(*on, "states")
     outcome = _outcomes(_tables(states, on), on)
     entry = _beside(states, outcome, on, "inner").select(
         *s.key, (F.col("_block") + 1).alias("_block"), F.when(F.col("last") >= 0, F.get("states", "last")).alias("_entry"))
     opening = states.groupBy(*s.key).agg(F.min("_block").alias("_block")).withColumn("_first", F.lit(True))
-    entries = materialise(
-        _beside(_beside(states.select(*on), entry, on, "left"), opening, on, "left"), "gate-entries")
-    decided = _beside(blocks, entries, on, "inner")
-    reasons = _reasons(F.transform("polls", lambda p: p["state"]), F.col("_entry"),
-                       F.when(F.col("_first"), "first").otherwise("elapsed"))
-    both = let(reasons, lambda r: F.transform(
-        "polls", lambda p, i: F.struct(p["row"].alias("row"), F.get(r, i).alias("reason"))))
-    return decided.select(F.explode(both).alias("_p")).select("_p.row.*", "_p.reason")
+    entries = _beside(_beside(states.select(*on), entry, on, "left"), opening, on, "left")
+    reasons = _reasons(F.col("states"), F.col("_entry"), F.when(F.col("_first"), "first").otherwise("elapsed"))
+    both = let(reasons, lambda r: F.transform("rows", lambda row, i: F.struct(row.alias("row"), F.get(r, i).alias("reason"))))
+    return _beside(blocks, entries, on, "inner").select(F.explode(both).alias("_p")).select("_p.row.*", "_p.reason")
 
 
 def gate_reasons(df: DataFrame, s: Series = Series()) -> DataFrame:

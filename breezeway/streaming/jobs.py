@@ -102,12 +102,15 @@ def gate_batches(root: str, schema: T.StructType, s: Series = Series(), name: st
             days *= 4
             decided, changed = _decided(table, base, new, s, days)
         row = [*s.key, "date", s.seq]
-        flips = materialise(decided.where("was <> stored").select(*row, F.lit(True).alias("flips")), "gate-flips")
-        table.change(
-            lambda rows: _on(rows, flips.drop("flips"), row, "left_semi"),
-            lambda rows: _on(rows, flips, row, "left").withColumn("stored", F.col("stored") != F.coalesce("flips", F.lit(False))),
-            added=decided.where("was IS NULL"), notes={note: n})
-        discard(new, decided, flips)
+        added, flips = decided.where("was IS NULL"), decided.where("was <> stored").select(*row, F.lit(True).alias("flips"))
+        if not base.parts or flips.isEmpty():
+            table.append(added, {note: n})
+        else:
+            table.change(
+                lambda rows: _on(rows, flips.drop("flips"), row, "left_semi"),
+                lambda rows: _on(rows, flips, row, "left").withColumn("stored", F.col("stored") != F.coalesce("flips", F.lit(False))),
+                added=added, notes={note: n})
+        discard(new, decided)
 
     return handle
 
