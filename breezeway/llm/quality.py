@@ -18,15 +18,21 @@ from breezeway.session import materialise
 WINDOW = 8
 #: Leading bits that a bucket keeps: values below 2**BITS are exact, others within 1/16.
 BITS = 5
-#: measure -> (count, per, smallest spread in per mille)
+#: measure -> (count, per, upper quantile in per mille, reach): a group's fence is its median plus
+#: ``reach`` times what the upper quantile exceeds it by, plus MARGIN. Symbols and marks are junk
+#: that may fill much of a group, so their quantile is low; lines and words repeat in a few good texts.
 MEASURES = {
-    "symbol_share": ("n_symbols", "word_chars", 10),
-    "dup_line_share": ("n_dup_lines", "n_lines", 100),
-    "repeat_share": ("n_repeat_words", "n_words", 60),
-    "same_word_share": ("n_same_words", "n_words", 30),
-    "capital_share": ("n_capitals", "word_chars", 50),
-    "mark_share": ("n_marks", "word_chars", 25),
+    "symbol_share": ("n_symbols", "word_chars", 750, 8),
+    "dup_line_share": ("n_dup_lines", "n_lines", 980, 3),
+    "repeat_share": ("n_repeat_words", "n_words", 980, 3),
+    "same_word_share": ("n_same_words", "n_words", 900, 6),
+    "capital_share": ("n_capitals", "word_chars", 900, 6),
+    "mark_share": ("n_marks", "word_chars", 750, 8),
 }
+#: Per mille that a document may always exceed the quantiles by.
+MARGIN = 5
+#: The median and the upper quantiles in use, in per mille.
+QUANTILES = (500, *sorted({upper for _, _, upper, _ in MEASURES.values()}))
 
 
 def _repeat_words(hashes: Column) -> Column:
@@ -96,7 +102,7 @@ def measures(c: Column) -> Column:
     """Struct of the measures in whole per mille; 0 over nothing."""
     return F.struct(*[
         F.when(c[per] > 0, F.floor(1000 * c[count] / c[per])).otherwise(0).cast("long").alias(name)
-        for name, (count, per, _) in MEASURES.items()])
+        for name, (count, per, _, _) in MEASURES.items()])
 
 
 def bucket(value: Column) -> Column:
@@ -115,38 +121,35 @@ def sketches(measured: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(sketch: DataFrame, group: list[str], at: tuple[float, ...]) -> DataFrame:
-    """Quantiles q0, q1, … of each group and measure, and its number of rows ``n``.
+def quantiles(sketch: DataFrame, group: list[str], at: tuple[int, ...]) -> DataFrame:
+    """Quantiles q0, q1, … (in per mille) of each group and measure, and its number of rows ``n``.
 
     Merges the sketch rows of a group first. A quantile is the lower end of the bucket
-    that holds the row of rank ceil(q * n).
+    that holds the row of rank ceil(q * n / 1000).
     """
     merged = sketch.groupBy(*group, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*group, "measure")
     upto = F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ranked = merged.withColumn("_upto", upto).withColumn("_all", F.sum("n").over(w))
     return ranked.groupBy(*group, "measure").agg(F.max("_all").alias("n"), *[
-        F.min(F.when(F.col("_upto") >= F.ceil(F.lit(q) * F.col("_all")), F.col("bucket"))).alias(f"q{i}")
+        F.min(F.when(F.col("_upto") * 1000 >= F.col("_all") * q, F.col("bucket"))).alias(f"q{i}")
         for i, q in enumerate(at)])
 
 
-def thresholds(
-    measured: DataFrame, *, least_docs: int = 100, reach: int = 5,
-) -> DataFrame:
-    """Upper fences lang, source, fences (measure -> per mille): the median plus ``reach``
-    times the larger of (upper quartile - median) and the measure's smallest spread.
+def thresholds(measured: DataFrame, *, least_docs: int = 100, margin: int = MARGIN) -> DataFrame:
+    """Upper fences lang, source, fences (measure -> per mille): see MEASURES.
 
     A group of fewer than ``least_docs`` documents takes the fence of its language, and a
     language of fewer the fence of all documents.
     """
     sketch = materialise(sketches(measured), "sketches")
-    spread = F.lit(0)
-    for name, (_, _, least) in MEASURES.items():
-        spread = F.when(F.col("measure") == name, F.lit(least)).otherwise(spread)
+    fence = F.lit(None).cast("long")
+    for name, (_, _, upper, reach) in MEASURES.items():
+        spread = F.col(f"q{QUANTILES.index(upper)}") - F.col("q0")
+        fence = F.when(F.col("measure") == name, F.col("q0") + reach * spread + margin).otherwise(fence)
 
     def fences(group: list[str], label: str) -> DataFrame:
-        fence = F.col("q0") + reach * F.greatest(F.col("q1") - F.col("q0"), spread)
-        return quantiles(sketch, group, (0.5, 0.75)).select(
+        return quantiles(sketch, group, QUANTILES).select(
             *[F.col(g).alias(f"{label}_{g}") for g in group], F.col("measure").alias(f"{label}_measure"),
             F.when(F.col("n") >= least_docs, fence).alias(label) if group else fence.alias(label))
 
@@ -170,7 +173,7 @@ def _within() -> Column:
 
 def judge(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
-    least_docs: int = 100, reach: int = 5,
+    least_docs: int = 100, margin: int = MARGIN,
 ) -> DataFrame:
     """One row per document: key, the counts, base_failed, the measures, their fences, kept.
 
@@ -184,7 +187,7 @@ def judge(
     measured = materialise(counted.select(
         "*", base_failed(F.col("counts")).alias("base_failed"), measures(F.col("counts")).alias("measures")), "quality")
     table = materialise(
-        thresholds(measured.where(~F.col("base_failed")), least_docs=least_docs, reach=reach), "fences")
+        thresholds(measured.where(~F.col("base_failed")), least_docs=least_docs, margin=margin), "fences")
     joined = attach_small(measured, table, ["lang", "source"], table.count(), F.col("key"))
     return joined.select(
         F.col("key").alias(key), "counts.*", "base_failed", "measures.*", *[f"most_{m}" for m in MEASURES],
@@ -193,7 +196,7 @@ def judge(
 
 def filtered(
     docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source",
-    least_docs: int = 100, reach: int = 5,
+    least_docs: int = 100, margin: int = MARGIN,
 ) -> DataFrame:
     """The documents that the rules keep, with their columns.
 
@@ -207,7 +210,7 @@ def filtered(
     measured = counts(plain).select("kept", "lang", "source", F.inline(F.array(verdict)))
     table = materialise(thresholds(
         measured.where(~F.col("base_failed")).select("lang", "source", "measures"),
-        least_docs=least_docs, reach=reach), "fences")
+        least_docs=least_docs, margin=margin), "fences")
     joined = attach_small(measured.where(~F.col("base_failed")), table, ["lang", "source"], table.count(),
                           F.xxhash64("kept.*"))
     return joined.where(_within()).select("kept.*")

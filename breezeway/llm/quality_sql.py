@@ -1,19 +1,21 @@
 """DuckDB's SQL for the quality query."""
 
-from breezeway.llm.quality import BITS, MEASURES, WINDOW
+from breezeway.llm.quality import BITS, MEASURES, QUANTILES, WINDOW
 
 _MEASURE_ROWS = " UNION ALL ".join(
     f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM measured WHERE NOT base_failed" for m in MEASURES)
-_SPREAD = "CASE measure " + " ".join(f"WHEN '{m}' THEN {least}" for m, (_, _, least) in MEASURES.items()) + " END"
+# the median, an upper quantile, how far a fence reaches beyond it, and 5 per mille
+_FENCE = """CASE measure WHEN 'symbol_share' THEN q500 + 8 * (q750 - q500) + 5 WHEN 'mark_share' THEN q500 + 8 * (q750 - q500) + 5
+    WHEN 'same_word_share' THEN q500 + 6 * (q900 - q500) + 5 WHEN 'capital_share' THEN q500 + 6 * (q900 - q500) + 5
+    WHEN 'dup_line_share' THEN q500 + 3 * (q980 - q500) + 5 WHEN 'repeat_share' THEN q500 + 3 * (q980 - q500) + 5 END"""
 _SHIFT = f"greatest(length(bin(v)) - {BITS}, 0)"
 
 
 def _fences(group: str, label: str) -> str:
     by = f"{group}, measure" if group else "measure"
     some = f"CASE WHEN n >= 100 THEN {{}} END" if group else "{}"
-    fence = f"q0 + 5 * greatest(q1 - q0, {_SPREAD})"
-    quant = ", ".join(f"min(bucket) FILTER (upto >= ceil({q} * n)) AS q{i}" for i, q in enumerate((0.5, 0.75)))
-    return f"""{label} AS (SELECT {by}, {some.format(fence)} AS fence FROM (
+    quant = ", ".join(f"min(bucket) FILTER (1000 * upto >= {q} * n) AS q{q}" for q in QUANTILES)
+    return f"""{label} AS (SELECT {by}, {some.format(_FENCE)} AS fence FROM (
         SELECT {by}, max(n) AS n, {quant} FROM (
             SELECT {by}, bucket, sum(count(*)) OVER (PARTITION BY {by} ORDER BY bucket) AS upto,
                 sum(count(*)) OVER (PARTITION BY {by}) AS n FROM buckets GROUP BY {by}, bucket)
@@ -47,7 +49,7 @@ counted AS (
 measured AS (
     SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
         {", ".join(f"CASE WHEN {per} > 0 THEN (1000 * {c}) // {per} ELSE 0 END AS {m}"
-                   for m, (c, per, _) in MEASURES.items())}
+                   for m, (c, per, _, _) in MEASURES.items())}
     FROM counted),
 buckets AS (
     SELECT lang, source, measure, (v // (1::BIGINT << {_SHIFT})) * (1::BIGINT << {_SHIFT}) AS bucket
