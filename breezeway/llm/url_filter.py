@@ -19,8 +19,11 @@ PERIOD_SECONDS = 30 * 86400
 
 
 def host(url: Column) -> Column:
-    """Lower-case host of a URL, without user, port and final dot; null if there is none."""
-    found = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
+    """Lower-case host of a URL, without user, port and final dot; null if there is none.
+
+    An IPv6 address keeps its brackets.
+    """
+    found = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1)
     return F.nullif(F.regexp_replace(found, r"\.$", ""), F.lit(""))
 
 
@@ -30,12 +33,20 @@ def page(url: Column) -> Column:
     return F.concat(host(url), F.regexp_replace(path, "/+$", ""))
 
 
+def is_address(name: Column) -> Column:
+    """Whether a host is an IPv4 or IPv6 address, which has no parent domains."""
+    return name.rlike(r"^(\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3})$")
+
+
 def lookup_keys(url: Column) -> Column:
-    """Patterns that a list may have for a URL, the most specific first: page, host, parent domains of two labels or more."""
+    """Patterns that a list may have for a URL, the most specific first: page, host, parent domains of two labels or more.
+
+    An address has no parents.
+    """
     labels = F.split(host(url), r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.array_distinct(F.concat(F.array(page(url)), parents))
+    return F.array_distinct(F.concat(F.array(page(url)), F.when(is_address(host(url)), F.array(host(url))).otherwise(parents)))
 
 
 def intervals(changes: DataFrame) -> DataFrame:
@@ -68,9 +79,9 @@ def active_entries(captures: DataFrame, changes: DataFrame) -> DataFrame:
     rows = materialise(captures.select(
         F.monotonically_increasing_id().alias("row"), "key", F.col("at"), host(F.col("url")).alias("host"),
         F.coalesce(lookup_keys(F.col("url")), F.array().cast("array<string>")).alias("patterns")), "captures")
-    # cast to seconds: the newest fetch bounds how far an open interval is cut
-    newest = rows.agg(F.max("at").alias("_newest"))
-    cut = spans.join(F.broadcast(newest)).where(F.col("since") <= F.col("_newest")).select(
+    # the newest fetch bounds how far an open interval is cut
+    newest = rows.agg(F.max("at").alias("_newest")).scalar()
+    cut = spans.withColumn("_newest", newest).where(F.col("since") <= F.col("_newest")).select(
         "pattern", "since", "until",
         F.explode(F.sequence(period(F.col("since")), period(F.least(F.coalesce("until", "_newest"), F.col("_newest")))))
         .alias("period"))

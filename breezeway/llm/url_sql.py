@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from breezeway.llm.url_filter import host, page
+from breezeway.llm.url_filter import host, is_address, page
 
 #: Days of 2024 on which hosts, domains and pages are added (+) and removed (-), by a number x of the name.
 #: kind -> (every how many names are listed, [(sign, constant day, modulus of x)])
@@ -26,7 +26,8 @@ def fetched(key: Column) -> Column:
 def changes(pages: DataFrame) -> DataFrame:
     """Dated changes pattern, at, added of a list whose names are those of the pages."""
     url = F.col("url")
-    names = {"host": host(url), "domain": F.substring_index(host(url), ".", -2), "page": page(url)}
+    domain = F.when(is_address(host(url)), host(url)).otherwise(F.substring_index(host(url), ".", -2))
+    names = {"host": host(url), "domain": domain, "page": page(url)}
     out = None
     for kind, (every, days) in LISTED.items():
         listed = pages.select(names[kind].alias("pattern")).where("pattern IS NOT NULL").distinct().withColumn(
@@ -52,13 +53,15 @@ _CHANGES = " UNION ALL ".join(
     f"FROM (SELECT DISTINCT {kind} AS pattern, {_x(kind)} AS x FROM named WHERE {kind} IS NOT NULL) WHERE x % {every} = 0"
     for kind, (every, days) in LISTED.items() for sign, day, modulus in days)
 
+_ADDRESS = r"coalesce(regexp_matches(host, '^(\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3})$'), false)"
+
 URL_SQL = f"""
 WITH hosted AS (
     SELECT page_id, url, nullif(regexp_replace(regexp_extract(lower(url),
-        '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '\\.$', ''), '') AS host FROM pages),
+        '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/:?#]+)', 1), '\\.$', ''), '') AS host FROM pages),
 named AS (
-    SELECT page_id, host, string_split(host, '.') AS labels,
-        array_to_string(string_split(host, '.')[-2:], '.') AS domain,
+    SELECT page_id, host, string_split(host, '.') AS labels, {_ADDRESS} AS address,
+        CASE WHEN {_ADDRESS} THEN host ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
         host || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS page,
         {_time(f"1704067200 + ({_x('page_id')} % 365) * 86400 + page_id % 86400")} AS fetched_at
     FROM hosted),
@@ -74,7 +77,7 @@ asked AS (
     SELECT DISTINCT page_id, fetched_at, pattern FROM (
         SELECT page_id, fetched_at, page AS pattern FROM named
         UNION ALL SELECT page_id, fetched_at, array_to_string(labels[i:], '.') FROM named, range(1, 20) AS r(i)
-        WHERE i <= greatest(len(labels) - 1, 1))),
+        WHERE i <= CASE WHEN address THEN 1 ELSE greatest(len(labels) - 1, 1) END)),
 hits AS (
     SELECT page_id, count(*) AS n_entries, arg_max(pattern, length(pattern)) AS entry,
         arg_max(since, length(pattern)) AS since

@@ -64,3 +64,20 @@ def test_empty_list_and_no_captures(spark):
     assert not any(r.blocked for r in uf.active_entries(some, none).collect())
     listed = spark.createDataFrame(changes, "pattern string, at timestamp, added boolean")
     assert uf.active_entries(some.limit(0), listed).collect() == []
+
+
+def test_addresses_are_hosts_without_parents(spark):
+    """An IPv6 address is a whole host, and neither kind of address has parent domains."""
+    urls = ["http://[2001:db8::1]/a", "http://[2001:db8::2]:80/b", "http://u@[::ffff:1.2.3.4]/", "http://10.1.2.3/x/", "http://9.1.2.3:8/x",
+            "http://1.2.3.4.example.com/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "key int, url string")
+    got = {r.key: (r.host, r.keys) for r in df.select("key", uf.host(df.url).alias("host"), uf.lookup_keys(df.url).alias("keys")).collect()}
+    assert got[0] == ("[2001:db8::1]", ["[2001:db8::1]/a", "[2001:db8::1]"])
+    assert got[1] == ("[2001:db8::2]", ["[2001:db8::2]/b", "[2001:db8::2]"])
+    assert got[2] == ("[::ffff:1.2.3.4]", ["[::ffff:1.2.3.4]"])
+    assert got[3] == ("10.1.2.3", ["10.1.2.3/x", "10.1.2.3"]) and got[4][1] == ["9.1.2.3/x", "9.1.2.3"]
+    assert "example.com" in got[5][1] and "2.3.4.example.com" in got[5][1]
+    listed = spark.createDataFrame([("[2001:db8::1]", T0, True), ("2.3", T0, True), ("10.1.2.3", T0, True)],
+                                   "pattern string, at timestamp, added boolean")
+    rows = uf.active_entries(df.withColumn("at", uf.F.lit(T0)), listed).collect()
+    assert {r.key for r in rows if r.blocked} == {0, 3}
