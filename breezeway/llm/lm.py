@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breezeway.llm import gru
@@ -24,6 +24,8 @@ from breezeway.session import materialise
 
 #: The commonest words, whose counts every task holds. Counts of all others are joined.
 LEXICON = 1 << 17
+#: Counts that come to the driver in one round of finding the lexicon's least count.
+HISTOGRAM = 4096
 #: Tokens that a task lays on lanes at once.
 TASK_TOKENS = 1 << 20
 #: Longer documents of a batch are scored together, after the others.
@@ -90,9 +92,38 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("hash", "class").agg(F.sum("n").alias("n"))
 
 
+def _kth_least(rows: DataFrame, value: Column, k: int) -> int:
+    """The ``k``-th least of whole numbers, by histograms that are refined around it."""
+    at = rows.select(value.alias("v"))
+    low, high = at.agg(F.min("v"), F.max("v")).first()
+    while low < high:
+        width = (high - low) // HISTOGRAM + 1
+        inside = at.where(F.col("v").between(low, high)).groupBy(F.expr(f"(v - {low}) div {width}").alias("part"))
+        for row in sorted(inside.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()):
+            if k <= row.n:
+                break
+            k -= row.n
+        low, high = row.low, row.high
+    return low
+
+
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """The ``most`` commonest rows of ``counts``, those of one count by their hash, without a sort.
+
+    One row more may come, where two hashes differ in the last bit alone.
+    """
+    if counts.count() <= most:
+        return counts
+    place = F.shiftrightunsigned("hash", 1)
+    least = -_kth_least(counts, -F.col("n"), most)
+    rest = most - counts.where(F.col("n") > least).count()
+    last = _kth_least(counts.where(F.col("n") == least), place, rest)
+    return counts.where((F.col("n") > least) | ((F.col("n") == least) & (place <= last)))
+
+
 def lexicon(counts: DataFrame, n_docs: int) -> Lexicon:
     """The lexicon of a count table; ``n_docs`` is the number of ends."""
-    top = counts.orderBy(F.desc("n"), "hash").limit(LEXICON).toPandas()
+    top = commonest(counts, LEXICON).toPandas()
     top = top.sort_values(["n", "hash"], ascending=[False, True]).reset_index(drop=True)
     head = np.full(len(top), -1, dtype=np.int32)
     n_head = min(gru.HEAD - 1, len(top))

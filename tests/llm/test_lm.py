@@ -105,3 +105,17 @@ def test_training_lowers_the_loss():
     for _ in range(30):
         gru.train(p, tokens, first, adam, least_lanes=4)
     assert gru.score(p, tokens, first).sum() > before * 0.9
+
+
+def test_commonest_words_by_histograms(spark, monkeypatch):
+    """The same words as by sorting, with many ties and negative hashes."""
+    from breezeway.llm import lm
+
+    monkeypatch.setattr(lm, "HISTOGRAM", 4)
+    rng = np.random.default_rng(1)
+    rows = [(int(h), int(n)) for h, n in zip(rng.integers(-2**63, 2**63 - 1, 500), rng.zipf(1.7, 500))]
+    df = spark.createDataFrame(rows, "hash long, n long")
+    for most in (1, 7, 100, 499, 500, 600):
+        got = {tuple(r) for r in lm.commonest(df, most).collect()}
+        want = sorted(rows, key=lambda r: (-r[1], (r[0] % 2**64) >> 1))[:most]
+        assert got == set(want)
