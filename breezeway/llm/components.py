@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breezeway.session import materialise
+from breezeway.session import discard, materialise
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def contract(edges: DataFrame) -> DataFrame:
     Rounds are written to the shared folder, which cuts their lineage.
     """
     left = materialise(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    roots = None
+    roots = known = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = materialise(
@@ -28,10 +28,15 @@ def contract(edges: DataFrame) -> DataFrame:
         else:
             moved = step.select(F.col("node").alias("root"), "to")
             roots = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        roots = materialise(roots, "roots")
+        before, roots = known, materialise(roots, "roots")
+        known = roots
+        discard(before)
         label_a = step.select(F.col("node").alias("a"), F.col("to").alias("_a"))
         label_b = step.select(F.col("node").alias("b"), F.col("to").alias("_b"))
-        left = materialise(
+        after = materialise(
             left.join(label_a, "a").join(label_b, "b").where("_a <> _b")
             .select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
+        discard(left, step)
+        left = after
+    discard(left)
     return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0) if roots is None else roots

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from breezeway.llm.components import contract
 from breezeway.llm.textarrays import Texts, chunks, hash_words, mix, split_words
-from breezeway.session import materialise
+from breezeway.session import discard, materialise
 
 #: Class ids are broadcast to filter the documents up to this many (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -273,8 +273,10 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int
     if changed := allocation(shared, percent):
         anew = _shared(_signature_rows(plain, n, percent, changed))
         kept = shared.where(~F.col("scheme").isin(list(changed)))
-        shared = materialise(kept.unionByName(anew.select(*kept.columns)), "shared")
+        before, shared = shared, materialise(kept.unionByName(anew.select(*kept.columns)), "shared")
+        discard(before)
     roots = _components(plain, rows, shared, n, percent)
+    discard(shared)
     return _labelled(rows, roots).withColumnRenamed("key", key)
 
 
@@ -322,7 +324,9 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
         .withColumn("place", F.lit(None).cast("int"))
         .select("group", "class", "size", "larger", "deleted", "rank", "place", "_weight", "members", "pivot"), "members")
     wanted = members.select("class").distinct().join(rows, "class").groupBy("class").agg(F.min("key").alias("key"))
-    sets = materialise(_sets(plain, materialise(wanted, "wanted"), n), "grams")
+    wanted = materialise(wanted, "wanted")
+    sets = materialise(_sets(plain, wanted, n), "grams")
+    discard(wanted)
     fits = 100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a")
     allowed = fits & ~(F.col("larger") & F.col("larger_a")) & ~(F.col("deleted") & F.col("deleted_a"))
     grams_a = sets.select(F.col("class").alias("a"), F.col("grams").alias("grams_a"))
@@ -341,7 +345,15 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
             "a", "b", linked.alias("linked"), "size", "_weight",
             F.when(F.col("large"), _pivot_order("grams_b", "grams_a", percent)).alias("firsts")), "stars")
     links = checked.where("linked").select("a", "b")
-    roots = materialise(contract(links), "components")
+    found = []
+
+    def components() -> DataFrame:
+        labels = contract(links)
+        out = materialise(labels, "components")
+        discard(labels)
+        return out
+
+    roots = components()
     again = checked.where("firsts IS NOT NULL").select(
         "a", F.col("b").alias("class"), "size", "_weight", F.posexplode("firsts").alias("place", "gram"))
     dealt = Window.partitionBy("group").orderBy(F.desc("_weight"), "class")
@@ -349,15 +361,18 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
         "group", "class", "size", F.lit(False).alias("larger"), F.lit(False).alias("deleted"),
         F.row_number().over(dealt).alias("rank"), "place")
     small = members.where(F.col("members") <= SMALL_GROUP).select(again.columns)
-    members, first, last = small.unionByName(again), 1, 1 + MORE_PIVOTS
+    first_members, members, first, last = members, small.unionByName(again), 1, 1 + MORE_PIVOTS
     while True:
         placed = members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn(
             "root", F.coalesce("root", "class"))
         # groups with a pivot left, and with two components among what is left and the pivots to come
-        members = materialise(
+        after = materialise(
             placed.where(F.col("rank") >= first).withColumn("_a", F.min("root").over(w))
             .withColumn("_b", F.max("root").over(w)).where("_a <> _b").drop("_a", "_b"), "members")
+        discard(first_members)
+        members = first_members = after
         if members.isEmpty():
+            discard(members, sets, checked, *found)
             return roots
         pivots = members.where(F.col("rank") < last).select(
             "group", F.col("class").alias("a"), *[F.col(c).alias(f"{c}_a") for c in (
@@ -368,11 +383,13 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
         pairs = members.join(pivots, "group").where(
             (F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & allowed & enough
         ).select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
-        found = materialise(pairs.join(grams_a, "a").join(grams_b, "b").where(linked).select("a", "b"), "links")
+        more = materialise(pairs.join(grams_a, "a").join(grams_b, "b").where(linked).select("a", "b"), "links")
+        found.append(more)
         members = members.drop("root")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = materialise(contract(links), "components")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            before, roots = roots, components()
+            discard(before)
         first, last = last, last + (last - first) * MORE_PIVOTS
 
 
@@ -381,6 +398,7 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     small = roots.select(F.col("node").alias("class"), "root")
     placed = materialise(rows.join(small, "class", "left").select(
         "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "class")).alias("root")), "placed")
+    discard(rows, roots)
     least = placed.where("root IS NOT NULL").groupBy("root").agg(
         F.min("key").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     return placed.join(least, "root", "left").select(
