@@ -117,3 +117,11 @@ def test_best_fit_takes_the_tightest_row():
         used = sorted(zip(row, offset, lengths))
         for (r, o, k), (r2, o2, _) in zip(used, used[1:]):
             assert o + k <= 32 and (r != r2 or o + k == o2)
+
+
+def test_special_strings_are_ordinary_text(spark):
+    text = "a <|endoftext|> b<|endoftext|><|endoftext|> c"
+    df = spark.createDataFrame([(1, text), (2, "<|endoftext|>")], "doc_id long, text string")
+    for r in packing.pack(df, with_ids=True).collect():
+        want = ids_of(text if r.doc_id == 1 else "<|endoftext|>")
+        assert bytes(r.ids) == want.tobytes() and 50256 not in want
