@@ -278,14 +278,14 @@ def _repeated(docs: DataFrame, scanned: DataFrame, window: int) -> DataFrame:
     seen = materialise(read.withColumn("place", F.xxhash64(*_ID, "start")), "repeats-digests")
     elsewhere = F.min("place") != F.max("place")
     of_paths = seen.where("path IS NOT NULL")
-    true_paths = of_paths.groupBy("path", "digest").agg((elsewhere | (F.max("copies") > 1)).alias("_again")).where(
-        "_again").select("path", "digest")
+    true_paths = materialise(of_paths.groupBy("path", "digest").agg((elsewhere | (F.max("copies") > 1)).alias("_again")).where(
+        "_again").select("path", "digest"), "repeats-true")
     edges = seen.where("path IS NULL")
-    true_edges = edges.groupBy("digest").agg(elsewhere.alias("_again")).where("_again").select("digest")
+    true_edges = materialise(edges.groupBy("digest").agg(elsewhere.alias("_again")).where("_again").select("digest"), "repeats-true")
     out = materialise(
         of_paths.join(true_paths, ["path", "digest"], "left_semi").select(*_ID, "start", "n").unionByName(
             edges.where("copies = 1").join(true_edges, "digest", "left_semi").select(*_ID, "start", "n")), "repeats-spans")
-    discard(found, contents, paths, wanted, seen)
+    discard(found, contents, paths, wanted, seen, true_paths, true_edges)
     return out
 
 
