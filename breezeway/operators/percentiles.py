@@ -1,50 +1,131 @@
-"""Exact interpolated percentiles at any scale."""
+"""Exact interpolated percentiles at any scale, by histograms that are refined.
+
+A first histogram groups values by sign and power of two. The buckets that hold a wanted
+rank are then cut into BUCKETS equal parts between their least and greatest value, and so on,
+until a bucket is one value: a part of a power of two needs at most six rounds. All
+groups, columns and ranks are refined together. Each round folds the values on the map side
+into counts; a group of any size is as many rows as buckets are in use.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from breezeway.operators.series import Series, running_count
+from breezeway.operators.series import Series, bounded
+from breezeway.session import discard, materialise
+
+#: Parts of a bucket in the next round.
+BUCKETS = 1024
+#: Above the exponents of all doubles.
+_POWERS = 1100
 
 
 def percentile_name(column: str, p: float) -> str:
     return f"{column}_p{p * 100:g}".replace(".", "_")
 
 
+def _magnitude(x: Column) -> Column:
+    """A whole number that grows with ``x``: by sign and power of two; NaN is the greatest value."""
+    power = F.floor(F.log2(F.abs(x))) + _POWERS
+    finite = F.when(x == 0, 0).when(x > 0, power).otherwise(-power)
+    far = 4 * _POWERS
+    return (F.when(F.isnan(x), far + 1).when(x == float("inf"), far).when(x == float("-inf"), -far).otherwise(finite)).cast("int")
+
+
+def _part(x: Column, low: Column, high: Column) -> Column:
+    """Which of the equal parts of a bucket a value is in; it never falls where the value grows."""
+    return F.least(F.floor((x - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+
+
+def _same(names: list[str]) -> Column:
+    condition = F.lit(True)
+    for c in names:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return condition
+
+
+def _renamed(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"_r_{c}" for c in names})
+
+
+def _bucket_of_rank(targets: DataFrame, buckets: DataFrame, cell: list[str]) -> DataFrame:
+    """``targets`` (cell, rank, below) with the bucket of ``buckets`` (cell, part, n, least, most) that holds the rank."""
+    in_order = Window.partitionBy(*cell).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    counted = buckets.withColumn("_upto", F.sum("n").over(in_order))
+    both = targets.join(_renamed(counted, cell), _same(cell))
+    before = F.col("below") + F.col("_upto") - F.col("n")
+    return both.where((before <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("_upto"))).select(
+        *[c for c in targets.columns if c not in ("low", "high", "below")], F.col("least").alias("low"),
+        F.col("most").alias("high"), before.alias("below"))
+
+
 def exact_percentiles(
     df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
     s: Series = Series(),
 ) -> DataFrame:
     """One row per group with a column ``<column>_p<percent>`` for each pair.
 
-    Inputs of at most ``s.max_rows`` rows use Spark's ``percentile``, which keeps
-    every distinct value of a group in one task. Larger ones count values first, place
-    the counts in ordered blocks and read the two neighbouring ranks off the running
-    count. Both give the same: a group without a value has NULL percentiles.
+    Between two ranks it interpolates. A missing value has no rank; a group without a value
+    has NULL percentiles. NaN counts as the greatest value. The same way is taken for every
+    size; ``s`` is not looked at.
     """
-    by = by or []
-    names = [(c, p, percentile_name(c, p)) for c in columns for p in probs]
-    if df.count() <= s.max_rows:
-        return df.groupBy(*by).agg(
-            *[F.percentile(F.col(c).cast("double"), F.lit(p)).alias(n) for c, p, n in names])
-    values = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns]))
-    counts = (
-        df.select(*by, values.alias("_v")).select(*by, "_v.*")
-        .groupBy(*by, "_column", "_value")
-        .agg(F.count("_value").alias("_n"))  # 0 for NULL: it has no rank but keeps its group
-    )
-    ranked = running_count(counts, [*by, "_column"], "_value", "_n", s)
-
-    def at_rank(column: str, rank: Column) -> Column:
-        hit = (F.col("_column") == column) & (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
-        return F.max(F.when(hit, F.col("_value")))
+    keys = [f"_k{i}" for i in range(len(by or []))] or ["_k0"]
+    given = [F.col(c) for c in by] if by else [F.lit(0)]
+    rows = df.select(
+        *[g.alias(k) for g, k in zip(given, keys)],
+        *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    if not hasattr(df, "_scratch"):  # each round reads the values again
+        rows = materialise(rows, "percentile-values")
+    x = [F.col(f"_x{i}") for i in range(len(columns))]
+    fold = [F.count("x").alias("n"), F.min("x").alias("least"), F.max("x").alias("most")]
+    named = lambda i, *more: F.struct(F.lit(i).alias("c"), x[i].alias("x"), *more)
+
+    cell = [*keys, "c"]
+    # a row without a value keeps its group: its bucket counts none
+    first = materialise(
+        rows.select(*keys, F.explode(F.array(*[named(i) for i in range(len(x))])).alias("_v")).select(*keys, "_v.*")
+        .groupBy(*cell, _magnitude(F.col("x")).alias("part")).agg(*fold), "percentile-buckets")
+    totals = first.groupBy(*cell).agg(F.sum("n").alias("_all")).where("_all > 0")
+    place = (F.col("_all") - 1) * F.col("p")
+    wanted = totals.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in sorted(set(probs))])))
+    wanted = wanted.select(*cell, "p", (place - F.floor(place)).alias("weight"),
+                           F.explode(F.array(F.floor(place), F.ceil(place))).alias("rank"))
+    wanted = wanted.distinct().select("*", F.lit(0).cast("long").alias("below"))
+    targets = materialise(_bucket_of_rank(wanted, first.where("n > 0"), cell), "percentile-ranks")
+
+    part = [*cell, "low", "high"]
+    while True:
+        open_ = targets.where(~F.col("low").eqNullSafe(F.col("high")))
+        groups = open_.groupBy(*keys).agg(F.collect_set(F.struct("c", "low", "high")).alias("_open"))
+        groups = materialise(groups, "percentile-open")
+        n_groups = groups.count()
+        if not n_groups:
+            discard(groups)
+            break
+        # the few open buckets of a group beside each of its rows
+        beside = rows.join(bounded(_renamed(groups, keys), n_groups), _same(keys))
+        value = F.get(F.array(*x), F.col("_o.c"))
+        inside = beside.select(*keys, *[f"_x{i}" for i in range(len(x))], F.explode("_open").alias("_o")).select(
+            *keys, F.col("_o.c").alias("c"), F.col("_o.low").alias("low"), F.col("_o.high").alias("high"), value.alias("x"))
+        parts = inside.where("x >= low AND x <= high").groupBy(
+            *part, _part(F.col("x"), F.col("low"), F.col("high")).alias("part")).agg(*fold)
+        found = _bucket_of_rank(open_, parts, part)
+        after = materialise(targets.where(F.col("low").eqNullSafe(F.col("high"))).unionByName(found), "percentile-ranks")
+        discard(targets, groups)
+        targets = after
 
     out = []
-    for c, p, name in names:
-        place = (F.col("_all") - 1) * F.lit(p)
-        low, high = at_rank(c, F.floor(place)), at_rank(c, F.ceil(place))
-        weight = F.max(F.when(F.col("_column") == c, place - F.floor(place)))
-        out.append(F.when(low == high, low).otherwise(low * (1 - weight) + high * weight).alias(name))
-    return ranked.groupBy(*by).agg(*out)
+    for i, c in enumerate(columns):
+        for p in probs:
+            hit = (F.col("c") == i) & (F.col("p") == float(p))
+            low, high = F.min(F.when(hit, F.struct("rank", "low")))["low"], F.max(F.when(hit, F.struct("rank", "low")))["low"]
+            weight = F.max(F.when(hit, F.col("weight")))
+            out.append(F.when(low == high, low).otherwise(low * (1 - weight) + high * weight).alias(percentile_name(c, p)))
+    found = targets.groupBy(*keys).agg(*out)
+    if not by:
+        return targets.agg(*out)  # a row, also for an empty input
+    names = [percentile_name(c, p) for c in columns for p in probs]
+    every = first.select(*keys).distinct()
+    return every.join(_renamed(found, keys), _same(keys), "left").select(
+        *[F.col(k).alias(c) for k, c in zip(keys, by)], *names)

@@ -8,22 +8,21 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breezeway.functions import fixed_values as V
 from breezeway.functions.bands import clip_index
 from breezeway.functions.calendar import version_stamp
 from breezeway.operators.metrics import best_by_mae, best_by_r2, error_metrics
-from breezeway.operators.quality import SAMPLE_GATES, data_quality
+from breezeway.operators.quality import SAMPLE_GATES, data_quality, with_enough_rows
 from breezeway.operators.series import Series, same_key
 from breezeway.operators.shape import drop_missing, feature_names, fill_missing
 from breezeway.operators.windows import with_split
@@ -31,17 +30,55 @@ from breezeway.plans.features import (
     adaptive_features, adaptive_leads, advanced_feature_names, advanced_features, full_features, hours_of,
     pick_adaptive_targets, simple_features,
 )
-from breezeway.plans.registry import register, registry_row
+from breezeway.plans.registry import register, registry_row, training_metadata
+from breezeway.plans.tuning import (
+    BOOSTING_GRID, FOREST_GRID, SEED, PenalisedBoosting, boosting_search, forest_search,
+)
 from breezeway.session import materialise
 
 log = logging.getLogger(__name__)
-SEED = 42
+#: Hexadecimal digits by which a bucket of the split's histogram is refined.
+SPLIT_DIGITS = 3
+
+
+def split_hash(seq: str, seed: int) -> Column:
+    """md5 of the seed and the id: an order that has nothing to do with the rows."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(seq).cast("string")).cast("binary"))
+
+
+def cut_hash(df: DataFrame, n: int, seq: str = "seq", seed: int = SEED) -> str:
+    """The ``n``-th least hash, by histograms: the bucket that holds it is refined until it is one hash.
+
+    Each pass reads the ids alone and brings home at most 4,096 counts.
+    """
+    digest, prefix = df.select(split_hash(seq, seed).alias("h")), ""
+    while len(prefix) < 32:
+        width = min(len(prefix) + SPLIT_DIGITS, 32)
+        inside = digest.where(F.col("h").startswith(prefix)) if prefix else digest
+        counts = inside.groupBy(F.substring("h", 1, width).alias("p")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("h").alias("least"), F.max("h").alias("most")).orderBy("p").collect()
+        for row in counts:
+            if n <= row.n:
+                break
+            n -= row.n
+        if row.least == row.most:
+            return row.least
+        prefix = row.p
+    return prefix
 
 
 def shuffled_split(df: DataFrame, seq: str = "seq", share: float = 0.8, seed: int = SEED,
                    name: str = "is_train") -> DataFrame:
-    """Random membership by a hash of ``seq``: the same rows in every run and layout."""
-    return df.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), seq), F.lit(1000)) < int(share * 1000))
+    """Exactly floor(share * rows) rows are marked, those of the least hashes of ``seq``, which is unique.
+
+    The same rows in every run and layout. Rows without an id are never marked.
+    """
+    rows = df.where(F.col(seq).isNotNull()).count()
+    n = int(share * rows + 1e-9)
+    if not n:
+        return df.withColumn(name, F.lit(False))
+    cut = cut_hash(df.where(F.col(seq).isNotNull()), n, seq, seed)
+    return df.withColumn(name, F.coalesce(split_hash(seq, seed) <= cut, F.lit(False)))
 
 
 def assemble(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -62,9 +99,9 @@ def gradient_boosting(rounds: int = 100, depth: int = 3, rate: float = 0.1) -> G
     return GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=SEED)
 
 
-def deep_boosting(rounds: int = 100) -> GBTRegressor:
-    """Boosted trees at depth 6 and rate 0.3, in place of the extra boosting library."""
-    return gradient_boosting(rounds, depth=6, rate=0.3)
+def deep_boosting(rounds: int = 100) -> PenalisedBoosting:
+    """Boosted trees at depth 6 and rate 0.3 with penalised leaves, in place of the extra boosting library."""
+    return PenalisedBoosting(rounds, depth=6, rate=0.3)
 
 
 def ridge(train: DataFrame, alpha: float = 1.0) -> Pipeline:
@@ -84,6 +121,9 @@ def ridge(train: DataFrame, alpha: float = 1.0) -> Pipeline:
 
 
 Candidates = dict[str, Callable[[DataFrame], Estimator]]
+QUALITY_FIGURES = ["total_records", "max_consecutive", "can_use_lags", "can_forecast"]
+#: Candidates that are fitted at once, and horizons.
+AT_ONCE = 4
 
 ADAPTIVE_CANDIDATES: Candidates = {
     "RandomForest": lambda _: random_forest(100, 10),
@@ -102,33 +142,11 @@ FULL_CANDIDATES: Candidates = {
     "RIDGE": ridge,
 }
 
-# Tuning grids. Minimum rows per node stands in for the two split-size limits,
-# which gives the forest 16 distinct points.
-BOOSTING_GRID = {
-    "maxIter": [200, 250], "maxDepth": [7, 9], "stepSize": [0.08, 0.1],
-    "minInstancesPerNode": [2, 5], "subsamplingRate": [0.9, 1.0],
-}
-FOREST_GRID = {
-    "numTrees": [150, 200], "maxDepth": [12, 15],
-    "minInstancesPerNode": [1, 2], "featureSubsetStrategy": ["sqrt", "log2"],
-}
-
-
-def grid_search(estimator: Estimator, grid: dict[str, list], folds: int = 3, parallelism: int = 4) -> CrossValidator:
-    """Cross-validated grid search scored by R2."""
-    points = ParamGridBuilder()
-    for name, values in grid.items():
-        points = points.addGrid(estimator.getParam(name), values)
-    return CrossValidator(
-        estimator=estimator, estimatorParamMaps=points.build(),
-        evaluator=RegressionEvaluator(metricName="r2"), numFolds=folds, parallelism=parallelism, seed=SEED)
-
-
 def tuned_candidates(boosting: dict[str, list] = BOOSTING_GRID, forest: dict[str, list] = FOREST_GRID,
                      folds: int = 3, parallelism: int = 4) -> Candidates:
     return {
-        "GradientBoosting": lambda _: grid_search(GBTRegressor(seed=SEED), boosting, folds, parallelism),
-        "RandomForest": lambda _: grid_search(RandomForestRegressor(seed=SEED), forest, folds, parallelism),
+        "GradientBoosting": lambda _: boosting_search(boosting, folds, parallelism),
+        "RandomForest": lambda _: forest_search(forest, folds, parallelism),
     }
 
 
@@ -146,6 +164,14 @@ class Trained:
     all_metrics: dict[str, dict[str, float]] = field(default_factory=dict)
     #: what the trainer knew: model_type, data_quality, uses_lags, optimization
     details: dict[str, str] = field(default_factory=dict)
+    #: quality figures of the entities it learned from, one row each
+    quality: DataFrame | None = None
+
+
+def fit_all(candidates: Candidates, train: DataFrame) -> dict[str, object]:
+    """All candidates fitted; fits are chains of short jobs, so several at once keep the cluster busy."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return dict(zip(candidates, pool.map(lambda build: build(train).fit(train), candidates.values())))
 
 
 def predict(model, rows: DataFrame) -> DataFrame:
@@ -170,7 +196,7 @@ def train_one(frame: DataFrame, horizon: str, features: list[str], target: str,
     if not _has_rows(ready, least):
         raise TooFewRows(f"fewer than {least} rows")
     train, test = ready.filter("is_train"), ready.filter(~F.col("is_train"))
-    fitted = {name: build(train).fit(train) for name, build in candidates.items()}
+    fitted = fit_all(candidates, train)
     scores = materialise(evaluate(fitted, test), "scores")
     pick = best_by_mae if choose == "mae" else best_by_r2
     best = pick(scores, []).first()["model"]
@@ -201,16 +227,19 @@ def adaptive_frames(readings: DataFrame, horizons: list[str] = V.HORIZONS,
 
 def train_adaptive(readings: DataFrame, horizons: list[str] = V.HORIZONS,
                    candidates: Candidates = ADAPTIVE_CANDIDATES, s: Series = Series()) -> dict[str, Trained]:
-    if not _has_rows(readings, SAMPLE_GATES["adaptive"][0]):
+    readings = with_enough_rows(readings, SAMPLE_GATES["adaptive"][0], s)
+    if not _has_rows(readings, 1):
         return {}
     frame, features = adaptive_frames(readings, horizons, s)
     frame = materialise(frame, "features")
 
     def rows(h: str) -> tuple[DataFrame, list[str], str]:
         target = f"target_aqi_{h}"
-        return with_split(drop_missing(frame, [*features, target]), s), features, target
+        clean = with_enough_rows(drop_missing(frame, [*features, target]), SAMPLE_GATES["adaptive"][1], s)
+        return with_split(clean, s), features, target
 
-    found = _each_horizon(horizons, rows, candidates, "mae", SAMPLE_GATES["adaptive"][1])
+    found = _each_horizon(horizons, rows, candidates, "mae", 1)
+    quality = materialise(frame.select(*s.key, *QUALITY_FIGURES).distinct(), "quality")
     # one row per model type, at most three
     kinds = frame.groupBy("model_type").agg(
         F.max("max_consecutive").alias("longest")).collect()
@@ -219,7 +248,7 @@ def train_adaptive(readings: DataFrame, horizons: list[str] = V.HORIZONS,
         "uses_lags": str(any("_lag_" in f for f in features)).lower(),
         "data_quality": f"longest run {max((k['longest'] or 0 for k in kinds), default=0)}",
     }
-    return {h: replace(t, details=details) for h, t in found.items()}
+    return {h: replace(t, details=details, quality=quality) for h, t in found.items()}
 
 
 def train_adaptive_by_type(readings: DataFrame, horizons: list[str] = V.HORIZONS,
@@ -242,7 +271,8 @@ def train_adaptive_by_type(readings: DataFrame, horizons: list[str] = V.HORIZONS
 
 def train_simple(readings: DataFrame, horizons: list[str] = V.HORIZONS,
                  candidates: Candidates = SIMPLE_CANDIDATES, s: Series = Series()) -> dict[str, Trained]:
-    if not _has_rows(readings, SAMPLE_GATES["simple"][0]):
+    readings = with_enough_rows(readings, SAMPLE_GATES["simple"][0], s)
+    if not _has_rows(readings, 1):
         return {}
 
     def rows(h: str) -> tuple[DataFrame, list[str], str]:
@@ -250,9 +280,10 @@ def train_simple(readings: DataFrame, horizons: list[str] = V.HORIZONS,
         skip = ["timestamp", "location", "_id", target, "aqi"]
         frame = simple_features(readings, hours_of(h), s, subset=[])
         features = feature_names(frame, skip, numeric_only=True)
-        return with_split(drop_missing(frame, [*features, target]), s), features, target
+        clean = with_enough_rows(drop_missing(frame, [*features, target]), SAMPLE_GATES["simple"][1], s)
+        return with_split(clean, s), features, target
 
-    return _each_horizon(horizons, rows, candidates, "mae", SAMPLE_GATES["simple"][1])
+    return _each_horizon(horizons, rows, candidates, "mae", 1)
 
 
 def train_full(readings: DataFrame, horizons: list[str] = V.HORIZONS,
@@ -303,14 +334,16 @@ class TooFewRows(Exception):
 def _each_horizon(horizons: list[str], rows: Callable, candidates: Candidates, choose: str,
                   least: int) -> dict[str, Trained]:
     """Train horizon by horizon; one with too few rows is skipped and logged, other errors are raised."""
-    trained = {}
-    for h in horizons:
+    def one(h: str) -> Trained | None:
         frame, features, target = rows(h)
         try:
-            trained[h] = train_one(frame, h, features, target, candidates, choose, least)
+            return train_one(frame, h, features, target, candidates, choose, least)
         except TooFewRows as e:
             log.warning("horizon %s skipped: %s", h, e)
-    return trained
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        found = dict(zip(horizons, pool.map(one, horizons)))
+    return {h: t for h, t in found.items() if t}
 
 
 def horizon_status(horizons: list[str], trained: dict[str, Trained]) -> dict[str, str]:
@@ -319,12 +352,14 @@ def horizon_status(horizons: list[str], trained: dict[str, Trained]) -> dict[str
 
 
 def save_and_register(spark, trained: Trained, model_root: str, registry_path: str, at,
-                      stage: str = "staging") -> str:
-    """Save the model, append its registry row, and return its version."""
+                      stage: str = "staging", s: Series = Series()) -> str:
+    """Save the model and its training record, append its registry row, and return its version."""
     stamp = spark.range(1).select(version_stamp(F.lit(at)).alias("v")).first()["v"]
     name = f"aqi_forecast_{trained.horizon}"
     path = f"{model_root}/{name}/{stamp}"
     trained.model.write().overwrite().save(path)
+    if trained.quality is not None:
+        training_record(trained, at, s).write.mode("overwrite").parquet(f"{model_root}/records/{name}/{stamp}")
     metadata = {
         "algorithm": trained.name, "features": str(len(trained.features)),
         "training_samples": str(trained.training_samples), "test_samples": str(trained.test_samples),
@@ -335,6 +370,17 @@ def save_and_register(spark, trained: Trained, model_root: str, registry_path: s
     return stamp
 
 
+def training_record(trained: Trained, at, s: Series = Series()) -> DataFrame:
+    """What the trainer knew of a model: one row for each entity it learned from."""
+    models = trained.quality.select(
+        *s.key, F.lit(trained.name).alias("model_name"), F.array(*[F.lit(c) for c in trained.features]).alias("feature_cols"),
+        F.create_map(*[F.lit(v) for item in trained.metrics.items() for v in item]).alias("metrics"),
+        F.lit(at).cast("timestamp").alias("trained_on"), F.lit(trained.training_samples).cast("long").alias("training_samples"),
+        F.lit(trained.test_samples).cast("long").alias("test_samples"), F.lit(trained.horizon).alias("horizon"),
+        F.lit(trained.details.get("model_type")).alias("model_type"))
+    return training_metadata(models, trained.quality, list(s.key))
+
+
 def load_model(registry_row) -> PipelineModel:
     """The model a registry row points at."""
     return PipelineModel.load(registry_row["file_path"])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +28,20 @@ def local_session(cores: str = "8", app: str = "breezeway", folder: str = "/tmp/
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors of a session that doesn't have it installed.
+
+    An archive of it is copied to the shared folder, from where late executors get it too.
+    """
+    package = Path(__file__).resolve().parent
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    target = path(scratch_path(spark, "code") + f"/{package.name}.zip")
+    with tempfile.TemporaryDirectory() as folder:
+        archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(path(archive), target)
+    spark.sparkContext.addPyFile(target.toString())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names for checkpoints, which all executors must share.
 
@@ -76,11 +93,13 @@ def discard(*tables: DataFrame) -> None:
 
 
 def plan_name(df: DataFrame) -> tuple:
-    """Equal for frames of the same optimized plan over the same inputs.
+    """Equal for frames of the same optimized plan over the same files.
 
+    Files that were added or written anew have other names, and so give another name here.
     A frame that shows no plan (a remote session's) is equal to itself only.
     """
     if not hasattr(df, "_jdf"):
         return (id(df),)
     plan = df._jdf.queryExecution().optimizedPlan()
-    return plan.semanticHash(), plan.canonicalized().treeString()
+    files = df.sparkSession._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(df._jdf.inputFiles()).hashCode()
+    return plan.semanticHash(), plan.canonicalized().treeString(), files, str(plan.stats().sizeInBytes())

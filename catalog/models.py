@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from breezeway.operators import metrics
 from breezeway.operators.quality import data_quality
 from breezeway.operators.windows import with_split
 from breezeway.plans import registry as reg
-from breezeway.plans import serving, training
+from breezeway.plans import serving, training, tuning
 from breezeway.plans.features import advanced_feature_names, advanced_features
 from breezeway.session import materialise, scratch_path
 from breezeway.operators.shape import drop_missing, fill_missing
@@ -88,26 +89,41 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
 
 
-@query("m02_shuffled_split")
+@query("m02_shuffled_split", """WITH $readings SELECT seq, location,
+  row_number() OVER (ORDER BY md5('42:' || seq)) <= (SELECT count(*) * 4 // 5 FROM readings) AS is_train FROM readings""")
 def _(spark, sf):
     return training.shuffled_split(fx.readings(spark, sf).select("seq", "location"))
 
 
-def training_rows(spark, sf, horizon="24h", features=None):
-    """Advanced features, the target and the time split."""
-    features = features or advanced_feature_names()
-    hours = {f"target_aqi_{horizon}": int(horizon[:-1])}
-    frame = advanced_features(fx.readings(spark, sf), S, hours)
-    clean = fill_missing(drop_missing(frame, list(hours)), features)
-    rows = with_split(clean, S).select("seq", "location", "is_train", *features, *hours)
-    return materialise(training.assemble(rows, features, f"target_aqi_{horizon}"), "training")
+HORIZONS = ["24h", "48h", "72h"]
+
+
+def training_rows(spark, sf, horizons=("24h",)):
+    """For each horizon: advanced features as a vector, the target and the time split. Features are made once."""
+    features = advanced_feature_names()
+    hours = {f"target_aqi_{h}": int(h[:-1]) for h in horizons}
+    frame = materialise(advanced_features(fx.readings(spark, sf), S, hours), "features")
+    out = {}
+    for h, target in zip(horizons, hours):
+        clean = fill_missing(drop_missing(frame, [target]), features)
+        rows = with_split(clean, S).select("seq", "location", "is_train", *features, target)
+        out[h] = materialise(training.assemble(rows, features, target), "training")
+    return out
 
 
 def fit_and_predict(spark, sf, build):
-    rows = training_rows(spark, sf)
-    train = rows.filter("is_train")
-    model = build(train).fit(train)
-    return training.predict(model, rows.filter("not is_train")).select("seq", "location", "label", "prediction")
+    """Fit on the training rows of each horizon and predict its test rows; horizons are fitted at once."""
+    frames = training_rows(spark, sf, HORIZONS)
+
+    def one(h):
+        train = frames[h].filter("is_train")
+        model = build(train).fit(train)
+        return training.predict(model, frames[h].filter("not is_train")).select(
+            F.lit(h).alias("horizon"), "seq", "location", "label", "prediction")
+
+    with ThreadPoolExecutor(len(HORIZONS)) as pool:
+        parts = list(pool.map(one, HORIZONS))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("m03_random_forest")
@@ -127,48 +143,47 @@ def _(spark, sf):
 
 @query("m06_deep_boosting")
 def _(spark, sf):
-    return fit_and_predict(spark, sf, lambda _: training.deep_boosting(10))
+    return fit_and_predict(spark, sf, lambda _: training.deep_boosting())
 
 
 @query("m07_feature_vectors")
 def _(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    return training_rows(spark, sf).select("seq", "location", "label", vector_to_array("features").alias("features"))
+    frames = training_rows(spark, sf, HORIZONS)
+    parts = [frames[h].select(F.lit(h).alias("horizon"), "seq", "location", "label", vector_to_array("features").alias("features"))
+             for h in HORIZONS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def searched(spark, sf, estimator, grid):
+def searched(spark, sf, search):
     """Mean R2 of every grid point."""
-    train = training_rows(spark, sf).filter("is_train")
-    search = training.grid_search(estimator, grid, folds=3)
-    model = search.fit(train)
-    points = [
-        (", ".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda i: i[0].name)), float(score))
-        for point, score in zip(search.getEstimatorParamMaps(), model.avgMetrics)
-    ]
-    return spark.createDataFrame(points, "point string, mean_r2 double")
+    model = search.fit(training_rows(spark, sf)["24h"].filter("is_train"))
+    points = [(", ".join(f"{k}={v}" for k, v in sorted(s.point.items())), float(s.mean), len(s.by_fold)) for s in model.scores]
+    return spark.createDataFrame(points, "point string, mean_r2 double, folds int")
 
 
 @query("m08_boosting_grid")
 def _(spark, sf):
-    """Two points; the full grid is the library's default."""
-    return searched(spark, sf, training.gradient_boosting(5, 3), {"stepSize": [0.08, 0.1]})
+    """A short search; the full grid is the library's default, see README for what it takes."""
+    return searched(spark, sf, tuning.boosting_search({"maxIter": [4, 5], "maxDepth": [3], "stepSize": [0.08, 0.1]}))
 
 
 @query("m09_forest_grid")
 def _(spark, sf):
-    return searched(spark, sf, training.random_forest(10, 5), {"featureSubsetStrategy": ["sqrt", "log2"]})
-
-
-SMALL = {"RandomForest": lambda _: training.random_forest(10, 5),
-         "GradientBoosting": lambda _: training.gradient_boosting(5, 5), "Ridge": training.ridge}
+    """All 32 points on three folds."""
+    return searched(spark, sf, tuning.forest_search())
 
 
 @query("m10_candidate_metrics")
 def _(spark, sf):
-    rows = training_rows(spark, sf)
-    train, test = rows.filter("is_train"), rows.filter("not is_train")
-    return training.evaluate({name: build(train).fit(train) for name, build in SMALL.items()}, test)
+    """All candidates of the adaptive trainer on all horizons."""
+    parts = []
+    for h, rows in training_rows(spark, sf, HORIZONS).items():
+        train, test = rows.filter("is_train"), rows.filter("not is_train")
+        fitted = training.fit_all(training.ADAPTIVE_CANDIDATES, train)
+        parts.append(training.evaluate(fitted, test).select(F.lit(h).alias("horizon"), "*"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 AT = datetime.datetime(2024, 2, 1, 12, 30)
@@ -176,7 +191,7 @@ AT = datetime.datetime(2024, 2, 1, 12, 30)
 
 def trained(spark, sf, horizons):
     """Train, save, register and promote; returns the models and the registry path."""
-    models = training.train_adaptive(fx.readings(spark, sf), horizons, SMALL, S)
+    models = training.train_adaptive(fx.readings(spark, sf), horizons, s=S)
     root = scratch_path(spark, "models")
     for model in models.values():
         training.save_and_register(spark, model, root, f"{root}/registry", AT, stage="production")
@@ -185,7 +200,7 @@ def trained(spark, sf, horizons):
 
 @query("m13_train_all_horizons")
 def _(spark, sf):
-    models, _ = trained(spark, sf, ["24h", "48h", "72h"])
+    models, _ = trained(spark, sf, HORIZONS)
     rows = [(m.horizon, m.name, m.training_samples, m.test_samples, m.metrics["mae"], m.metrics["rmse"], m.metrics["r2"])
             for m in models.values()]
     return spark.createDataFrame(rows, "horizon string, model string, training_samples long, test_samples long, "
@@ -200,19 +215,18 @@ def outcomes(spark, models):
 
 @query("m13_train_simple")
 def _(spark, sf):
-    return outcomes(spark, training.train_simple(fx.readings(spark, sf), candidates=SMALL, s=S))
+    return outcomes(spark, training.train_simple(fx.readings(spark, sf), s=S))
 
 
 @query("m13_train_full")
 def _(spark, sf):
-    return outcomes(spark, training.train_full(fx.readings(spark, sf), candidates=SMALL, s=S))
+    return outcomes(spark, training.train_full(fx.readings(spark, sf), s=S))
 
 
 @query("m14_forecast_of_trained_model")
 def _(spark, sf):
     """Train on the readings, register, look the models up again and forecast."""
-    candidates = {"Ridge": training.ridge}
-    models = training.train_tuned(fx.readings(spark, sf), ["24h", "48h", "72h"], candidates, S)
+    models = training.train_tuned(fx.readings(spark, sf), HORIZONS, training.ADAPTIVE_CANDIDATES, S)
     root = scratch_path(spark, "models")
     for model in models.values():
         training.save_and_register(spark, model, root, f"{root}/registry", AT, stage="production")
@@ -228,7 +242,7 @@ def _(spark, sf):
 
 @query("s19_save_model_with_metadata")
 def _(spark, sf):
-    _, path = trained(spark, sf, ["24h"])
+    _, path = trained(spark, sf, HORIZONS)
     return fx.flat_registry(reg.read_registry(spark, path)).drop("file_path")
 
 

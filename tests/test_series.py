@@ -1,10 +1,13 @@
 """The way huge entities take gives the same rows as the plain window."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from breezeway.operators import quality, windows
-from breezeway.operators.percentiles import exact_percentiles
+from breezeway.operators.percentiles import exact_percentiles, percentile_name
 from breezeway.operators.series import Series, running_count, split_by_size, with_positions
 from breezeway.plans import features
 from breezeway.streaming import gate
@@ -99,6 +102,34 @@ def test_percentiles_with_one_dominant_value(spark):
         exact_percentiles(df, ["v"], [0.5, 0.95]))
 
 
+def test_percentiles_of_all_magnitudes(spark):
+    """Against numpy: both signs, all powers of two, neighbours in the last bit, infinities, one huge group."""
+    rng = np.random.default_rng(3)
+    close = np.nextafter(1.0, 2.0) + np.arange(700) * np.spacing(1.0)
+    wide = rng.choice([-1.0, 1.0], 900) * 2.0 ** rng.uniform(-1070, 1020, 900)
+    groups = {"close": close, "wide": wide, "few": np.array([3.0, -0.0, 0.0, 5e-324]), "one": np.array([-7.25]),
+              "same": np.full(300, 2.5), "far": np.array([-np.inf, -1.0, 4.0, 9.0, np.inf]),
+              "large": np.round(rng.normal(size=5000), 2)}
+    df = spark.createDataFrame([(g, float(v), float(i)) for g, vs in groups.items() for i, v in enumerate(vs)], "g string, v double, w double")
+    probs = [0.0, 0.013, 0.25, 0.5, 0.75, 0.987, 1.0]
+    for row in exact_percentiles(df, ["v", "w"], probs, ["g"]).collect():
+        values = np.sort(groups[row.g])
+        for name, known in (("v", values), ("w", np.arange(len(values)).astype(float))):
+            for p in probs:
+                place = (len(known) - 1) * p
+                low, high, weight = known[math.floor(place)], known[math.ceil(place)], place - math.floor(place)
+                want = low if low == high else low * (1 - weight) + high * weight
+                got = row[percentile_name(name, p)]
+                assert got == want or (math.isnan(got) and math.isnan(want))
+
+
+def test_percentiles_take_few_jobs_and_no_sort_of_the_values(spark):
+    df = spark.range(100_000).select((F.col("id") % 3).alias("g"), F.sqrt("id").alias("v"))
+    got = {r.g: r.v_p50 for r in exact_percentiles(df, ["v"], [0.5], ["g"]).collect()}
+    want = df.groupBy("g").agg(F.percentile("v", F.lit(0.5)).alias("p")).collect()
+    assert got == {r.g: r.p for r in want}
+
+
 def test_running_count(spark):
     counts = spark.range(100).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"), F.lit(3).alias("n"))
     out = running_count(counts, ["g"], "v", "n", Series(max_rows=7))
@@ -182,3 +213,18 @@ def test_other_rolling_sizes_take_plain_frames(spark):
     assert out[9].v_rolling_mean_5h == pytest.approx(sum(i * i % 7 for i in range(5, 10)) / 5)
     assert out[9].v_rolling_max_12h == max(i * i % 7 for i in range(10))
     assert "v_rolling_mean_7h" in windows.with_rolling(df, {"v": ["mean"]}, [7]).columns
+
+
+def test_counts_of_a_table_that_grew_are_taken_again(spark, tmp_path):
+    """An entity that passes the limit by an append is found, and operators over one frame count once."""
+    from breezeway.operators import series
+
+    path, s = str(tmp_path / "t"), Series(key=("k",), ts="t", seq="n", max_rows=10)
+    rows = lambda a, b: spark.range(a, b).select(F.lit("x").alias("k"), F.col("id").alias("t"), F.col("id").alias("n"))
+    rows(0, 5).write.parquet(path)
+    assert series.heavy_entities(spark.read.parquet(path), s).entities == 0
+    rows(5, 100).write.mode("append").parquet(path)
+    df = spark.read.parquet(path)
+    assert (series.heavy_entities(df, s).entities, series.heavy_entities(df, s).rows) == (1, 100)
+    known = len(series._counted)
+    assert series.heavy_entities(df.withColumn("more", F.lit(1)), s).entities == 1 and len(series._counted) == known
