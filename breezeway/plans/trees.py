@@ -80,6 +80,25 @@ def joined(parts: list[Trees]) -> Trees:
                  plain("value"), plain("rows"), plain("depth"))
 
 
+def tree_of(model) -> Trees:
+    """The nodes of one fitted tree with numeric features, read one by one: for the small trees of a boosting."""
+    rows: list[list] = []
+
+    def add(node, depth: int) -> int:
+        at = len(rows)
+        inner = node.subtreeDepth() > 0
+        split = node.split() if inner else None
+        rows.append([split.featureIndex() if inner else -1, split.threshold() if inner else 0.0, 0, 0,
+                     node.prediction(), node.impurityStats().rawCount(), depth])
+        if inner:
+            rows[at][2], rows[at][3] = add(node.leftChild(), depth + 1), add(node.rightChild(), depth + 1)
+        return at
+
+    add(model._java_obj.rootNode(), 0)
+    feature, threshold, left, right, value, n, depth = (np.array(c) for c in zip(*rows))
+    return Trees(np.zeros(1, dtype=np.int64), feature, threshold.astype(float), left, right, value.astype(float), n, depth)
+
+
 def trees_of(model, spark) -> Trees:
     """The trees of a fitted Spark tree, forest or boosting with numeric features, from its saved form."""
     path = scratch_path(spark, "trees")

@@ -21,7 +21,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breezeway.plans.trees import Trees, TreeSum, joined, penalised, trees_of
+from breezeway.plans.trees import Trees, TreeSum, joined, penalised, tree_of, trees_of
 from breezeway.session import discard, materialise
 
 SEED = 42
@@ -194,7 +194,6 @@ class PenalisedBoosting(Estimator):
         self.rounds, self.depth, self.rate, self.penalty, self.least_gain = rounds, depth, rate, penalty, least_gain
 
     def _fit(self, dataset: DataFrame) -> TreeSum:
-        spark = dataset.sparkSession
         base = float(dataset.agg(F.avg("label")).first()[0] or 0.0)
         rows = materialise(dataset.select("features", "label", F.lit(base).alias("margin")), "boosting")
         kept, recent = [], []
@@ -208,7 +207,7 @@ class PenalisedBoosting(Estimator):
                 rows, recent, margin = after, [], F.col("margin")
             residuals = rows.select("features", (F.col("label") - margin).alias("residual"))
             fitted = DecisionTreeRegressor(labelCol="residual", maxDepth=self.depth, seed=SEED).fit(residuals)
-            tree = penalised(trees_of(fitted, spark), self.penalty, self.least_gain)
+            tree = penalised(tree_of(fitted), self.penalty, self.least_gain)
             kept.append(tree)
             recent.append(tree)
         discard(rows)
