@@ -13,14 +13,20 @@ block before, then of the two before that, the four before those, and so on, unt
 end alike: the logarithm of the longest stretch in rounds. With the last stored poll before
 it, every block then decides its own polls.
 
-All of it is joins and array functions on (entity, block). A task holds one block of one
-entity, so a long history of one entity is as many blocks. Work within a block grows with
-its polls times those that repeat one another within 45 minutes.
+Most repeats are known from the poll before alone and take no part in this. A poll is surely
+stored if it differs from the one before by more than twice the tolerance: what that one repeats
+is then too far off as well. Up to 45 minutes after a sure one, and at one and the same time, a
+poll that equals the one before repeats whatever that one repeats. So copies and constant values
+cost one sort; blocks hold the polls that are left.
+
+All of it is windows, joins and array functions on (entity, block). A task holds one block of one
+entity, so a long history of one entity is as many blocks. Work within a block grows with its
+polls left, times the different values among them that repeat one another within 45 minutes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from breezeway.functions import fixed_values as V
@@ -34,8 +40,11 @@ GATE_MICROS = V.GATE_MINUTES * MICROS_PER_MINUTE
 #: A block must be at least as long as the gate.
 BLOCK_MICROS = 2 * GATE_MICROS
 #: Polls that are looked at before more of a block is searched, and before all the rest is.
-NEAR = (1, 8)
+NEAR = (1, 8, 64)
+#: Reasons are gathered in pieces of so many, as an array is copied for each that is added.
+PIECE = 128
 
+MEASURES = ["aqi", "pm2_5", "temperature"]
 _STATE = "struct<t:bigint,aqi:double,pm2_5:double,temperature:double>"
 
 
@@ -43,19 +52,41 @@ def _block_of(ts: Column) -> Column:
     return F.floor(micros(ts) / BLOCK_MICROS).alias("_block")
 
 
-def _blocks(df: DataFrame, s: Series) -> DataFrame:
-    """key, _block, and in order of time the whole rows of its polls and what the gate compares (``states``).
-
-    A missing measure counts as 0.
-    """
-    measure = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+def _measure(c: str) -> Column:
+    """What the gate compares: a missing measure counts as 0."""
+    return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+
+
+def _with_sure_repeats(df: DataFrame, s: Series) -> DataFrame:
+    """``df`` with _block and ``_sure``: whether the poll before it in its block shows that it is a repeat."""
+    rest = [c for c in df.columns if c not in (*s.key, s.ts, s.seq)]
+    measures = [_measure(c) for c in MEASURES]
+    # polls without a time are alone
+    alone = F.when(F.col(s.ts).isNull(), F.col(s.seq))
+    w = Window.partitionBy(*s.key, "_block", alone).orderBy(s.ts, s.seq, *measures, *rest)
+    t = micros(F.col(s.ts))
+    poll = F.struct(t.alias("t"), *[m.alias(c) for m, c in zip(measures, MEASURES)])
+    both = df.withColumn("_block", _block_of(F.col(s.ts))).withColumn("_now", poll).withColumn("_before", F.lag("_now").over(w))
+    now, before = F.col("_now"), F.col("_before")
+    apart = [F.abs(now[c] - before[c]) for c in MEASURES[1:]]
+    stored = (now["t"] - before["t"] >= GATE_MICROS) | (now["aqi"] != before["aqi"])
+    equal = now["aqi"] == before["aqi"]
+    for d in apart:
+        stored, equal = stored | (d > 2 * V.GATE_TOLERANCE), equal & (d == 0)
+    since = F.max(F.when(stored, now["t"])).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sure = ~stored & equal & ((now["t"] == before["t"]) | F.coalesce(now["t"] - since < GATE_MICROS, F.lit(False)))
+    return both.withColumn("_sure", F.coalesce(sure, F.lit(False))).drop("_now", "_before")
+
+
+def _blocks(df: DataFrame, columns: list[str], s: Series) -> DataFrame:
+    """key, _block, and in order of time the whole rows of its polls and what the gate compares (``states``)."""
     poll = F.struct(
-        micros(F.col(s.ts)).alias("t"), F.col(s.seq).alias("seq"), *[measure(c) for c in ("aqi", "pm2_5", "temperature")],
-        F.struct(*df.columns).alias("row"))
-    blocks = df.groupBy(*s.key, _block_of(F.col(s.ts))).agg(F.sort_array(F.collect_list(poll)).alias("_polls"))
+        micros(F.col(s.ts)).alias("t"), F.col(s.seq).alias("seq"), *[_measure(c).alias(c) for c in MEASURES],
+        F.struct(*columns).alias("row"))
+    blocks = df.groupBy(*s.key, "_block").agg(F.sort_array(F.collect_list(poll)).alias("_polls"))
     return blocks.select(
         *s.key, "_block", F.col("_polls.row").alias("rows"),
-        F.transform("_polls", lambda p: F.struct(p["t"], p["aqi"], p["pm2_5"], p["temperature"])).alias("states"))
+        F.transform("_polls", lambda p: F.struct(p["t"], *[p[c] for c in MEASURES])).alias("states"))
 
 
 def _repeats(last: Column, poll: Column) -> Column:
@@ -66,21 +97,56 @@ def _repeats(last: Column, poll: Column) -> Column:
         & (F.abs(poll["temperature"] - last["temperature"]) < V.GATE_TOLERANCE), F.lit(False))
 
 
-def _next(states: Column, last: Column, start: Column) -> Column:
-    """Place of the first of ``states`` from ``start`` on that is stored after ``last``; null if none is."""
+def _elapsed(states: Column, last: Column, start: Column) -> Column:
+    """Place of the first of ``states`` from ``start`` on that is 45 minutes after ``last``, by bisection; their number if none is."""
+    def halve(at: Column, _) -> Column:
+        middle = F.floor((at["a"] + at["b"]) / 2).cast("int")
+        late = F.get(states, middle)["t"] - last["t"] >= GATE_MICROS
+        return F.when(at["a"] >= at["b"], at).when(late, F.struct(at["a"].alias("a"), middle.alias("b"))).otherwise(
+            F.struct((middle + 1).alias("a"), at["b"].alias("b")))
+
     n = F.size(states)
-    found = lambda a, b: F.get(F.filter(places(a, b), lambda k: ~_repeats(last, F.get(states, k))), F.lit(0))
-    bounds = [start, *[F.least(start + near, n) for near in NEAR], n]
-    return F.coalesce(*[found(a, b) for a, b in zip(bounds, bounds[1:])])
+    span = F.struct(F.least(start, n).alias("a"), n.alias("b"))
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(n))), span, halve, lambda at: at["a"])
+
 
+def _turns(states: Column) -> Column:
+    """Places of ``states`` whose measures are not those of the one before."""
+    def other(k: Column) -> Column:
+        now, before = F.get(states, k), F.get(states, k - 1)
+        same = now["aqi"] == before["aqi"]
+        for c in MEASURES[1:]:
+            same = same & (now[c] - before[c] == 0)
+        return ~same
 
-def _ends(states: Column) -> Column:
-    """For each of ``states``: the place of the last stored one if this one is stored."""
+    return F.filter(places(F.lit(1), F.size(states)), other)
+
+
+def _next(states: Column, turns: Column, last: Column, start: Column) -> Column:
+    """Place of the first of ``states`` from ``start`` on that is stored after ``last``; null if none is.
+
+    Beyond the near ones only ``turns`` are compared, up to the first that is late enough.
+    """
     n = F.size(states)
-    follow = F.transform(states, lambda x, i: _next(states, x, i + 1))
-    return let(follow, lambda nxt: F.aggregate(
-        F.reverse(places(F.lit(0), n)), F.array().cast("array<int>"),
-        lambda later, i: F.concat(F.array(F.coalesce(F.get(later, F.get(nxt, i) - i - 1), i)), later)))
+    stored = lambda k: ~_repeats(last, F.get(states, k))
+    near = [F.least(start + k, n) for k in NEAR]
+    found = [F.get(F.filter(places(a, b), stored), F.lit(0)) for a, b in zip([start, *near], near)]
+
+    def beyond(late: Column) -> Column:
+        turned = F.filter(turns, lambda k: (k >= near[-1]) & (k < late) & stored(k))
+        return F.coalesce(F.get(turned, F.lit(0)), F.when(late < n, late))
+
+    return F.coalesce(*found, F.when(near[-1] < n, let(_elapsed(states, last, near[-1]), beyond)))
+
+
+def _ends(states: Column, turns: Column) -> Column:
+    """For each of ``states``: the place of the last stored one if this one is stored.
+
+    The next stored ones are followed in steps of doubled length.
+    """
+    follow = F.transform(states, lambda x, i: F.coalesce(_next(states, turns, x, i + 1), i))
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(states)))), follow,
+                       lambda to, _: F.transform(to, lambda k: F.get(to, k)))
 
 
 def _beside(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -99,12 +165,13 @@ def _tables(states: DataFrame, on: list[str]) -> DataFrame:
     earlier = F.coalesce("earlier", F.array().cast(f"array<{_STATE}>"))
     recent = F.filter(earlier, lambda x: x["t"] > F.get("states", F.lit(0))["t"] - GATE_MICROS)
 
-    def table(ends: Column) -> Column:
-        of = lambda x: let(_next(F.col("states"), x, F.lit(0)), lambda k: F.coalesce(F.get(ends, k), F.lit(-1)))
+    def table(turns: Column, ends: Column) -> Column:
+        of = lambda x: let(_next(F.col("states"), turns, x, F.lit(0)), lambda k: F.coalesce(F.get(ends, k), F.lit(-1)))
         return F.concat(F.array(F.get(ends, F.lit(0))), F.transform("recent", of))
 
     return both.withColumn("recent", recent).select(
-        *on, (F.size(earlier) - F.size("recent")).alias("skipped"), let(_ends(F.col("states")), table).alias("table"))
+        *on, (F.size(earlier) - F.size("recent")).alias("skipped"),
+        let(_turns(F.col("states")), lambda turns: let(_ends(F.col("states"), turns), lambda ends: table(turns, ends))).alias("table"))
 
 
 def _outcomes(tables: DataFrame, on: list[str]) -> DataFrame:
@@ -134,8 +201,14 @@ def _reasons(states: Column, entry: Column, opening: Column) -> Column:
             F.when(r == "unchanged", at["last"]).otherwise(poll).cast(_STATE).alias("last"),
             F.array_append(at["out"], r).alias("out")))
 
-    start = F.struct(entry.cast(_STATE).alias("last"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(states, start, step, lambda at: at["out"])
+    def piece(at: Column, part: Column) -> Column:
+        none = F.struct(at["last"].alias("last"), F.array().cast("array<string>").alias("out"))
+        return let(F.aggregate(part, none, step), lambda p: F.struct(
+            p["last"].alias("last"), F.array_append(at["out"], p["out"]).alias("out")))
+
+    start = F.struct(entry.cast(_STATE).alias("last"), F.array().cast("array<array<string>>").alias("out"))
+    parts = F.transform(F.sequence(F.lit(1), F.size(states), F.lit(PIECE)), lambda k: F.slice(states, k, PIECE))
+    return F.aggregate(parts, start, piece, lambda at: F.flatten(at["out"]))
 
 
 def with_gate_reason(df: DataFrame, s: Series = Series()) -> DataFrame:
@@ -144,7 +217,9 @@ def with_gate_reason(df: DataFrame, s: Series = Series()) -> DataFrame:
     Polls of one time are taken by ``seq``. Polls without a time count as changed.
     """
     on = [*s.key, "_block"]
-    blocks = materialise(_blocks(df, s), "gate-blocks")
+    polls = materialise(_with_sure_repeats(df, s), "gate-polls")
+    timed = F.col("_block").isNotNull()
+    blocks = materialise(_blocks(polls.where(timed & ~F.col("_sure")), df.columns, s), "gate-blocks")
     states = blocks.select(*on, "states")
     outcome = _outcomes(_tables(states, on), on)
     entry = _beside(states, outcome, on, "inner").select(
@@ -153,7 +228,9 @@ def with_gate_reason(df: DataFrame, s: Series = Series()) -> DataFrame:
     entries = _beside(_beside(states.select(*on), entry, on, "left"), opening, on, "left")
     reasons = _reasons(F.col("states"), F.col("_entry"), F.when(F.col("_first"), "first").otherwise("elapsed"))
     both = let(reasons, lambda r: F.transform("rows", lambda row, i: F.struct(row.alias("row"), F.get(r, i).alias("reason"))))
-    return _beside(blocks, entries, on, "inner").select(F.explode(both).alias("_p")).select("_p.row.*", "_p.reason")
+    decided = _beside(blocks, entries, on, "inner").select(F.explode(both).alias("_p")).select("_p.row.*", "_p.reason")
+    known = polls.where(~timed | F.col("_sure")).select(*df.columns, F.when(timed, "unchanged").otherwise("changed").alias("reason"))
+    return known.unionByName(decided)
 
 
 def gate_reasons(df: DataFrame, s: Series = Series()) -> DataFrame:

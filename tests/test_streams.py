@@ -162,6 +162,46 @@ def test_gate_on_long_stretches_without_a_pause(spark):
     assert got == plain_reasons(rows)
 
 
+def test_gate_on_dense_polls(spark):
+    """Hundreds of polls in a block: constant, hovering around the tolerance, in steps, copied, not a number."""
+    rng, rows = random.Random(5), []
+
+    def add(location, n, pace, value):
+        t = 0
+        for _ in range(n):
+            t += rng.choice(pace)
+            rows.append((len(rows), location, t, 1, value(), 20.0))
+
+    walk = [10.0]
+    step = lambda sizes: lambda: walk.append(round(walk[-1] + rng.choice(sizes), 2)) or walk[-1]
+    add("constant", 900, [13], lambda: 1.0)
+    add("hover", 900, [0, 0, 7, 11], step([0, 0.2, -0.2, 0.45, -0.45]))
+    add("flat", 900, [5, 11], step([0] * 200 + [0.3, -0.3]))
+    add("steps", 900, [3, 2700], step([0, 0.5, 0.6, 1.0, -1.0, 1.01]))
+    add("copies", 900, [0] * 40 + [600], lambda: float(rng.choice([1, 1, 2])))
+    add("nan", 200, [0, 5], lambda: rng.choice([1.0, float("nan"), float("inf")]))
+    rng.shuffle(rows)
+    got = {r.seq: r.reason for r in gate.gate_reasons(frame(spark, rows)).collect()}
+    assert got == plain_reasons(rows)
+
+
+def test_copies_and_constant_values_take_no_part_in_blocks(spark, monkeypatch):
+    """What lies in the blocks' arrays does not grow with copies, nor the work on them with its square."""
+    held, write = [], gate.materialise
+
+    def spy(df, label):
+        out = write(df, label)
+        if label == "gate-blocks":
+            held.append(out.agg(F.sum(F.size("states"))).first()[0])
+        return out
+
+    monkeypatch.setattr(gate, "materialise", spy)
+    rows = [(1000 * copy + i, "a", 60 * i, 1 + i // 10 % 2, 1.0, 20.0) for i in range(80) for copy in range(50)]
+    got = {r.seq: r.reason for r in gate.gate_reasons(frame(spark, rows)).collect()}
+    assert got == plain_reasons(rows)
+    assert held == [10 + 7]  # of 4,000: the times up to the first change, what comes before is not known, and each change
+
+
 def test_gate_plan_has_no_python_and_no_join_on_ids(spark, polls):
     plan = gate.with_gate_reason(polls)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
