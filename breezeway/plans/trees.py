@@ -146,6 +146,15 @@ def penalised(tree: Trees, penalty: float, least_gain: float = 0.0) -> Trees:
     return replace(tree, feature=feature, value=total / (tree.rows + penalty))
 
 
+def values_of_leaves(grown: Trees, cut: Trees) -> np.ndarray:
+    """For each leaf of the tree ``grown``, from left to right, its value in ``cut``, a pruning of it."""
+    at = np.where(cut.leaves(), np.arange(len(cut.value)), -1)
+    for node in range(len(at)):  # a node comes before those below it
+        if grown.feature[node] >= 0 and at[node] >= 0:
+            at[grown.left[node]] = at[grown.right[node]] = at[node]
+    return cut.value[at[grown.leaves()]]
+
+
 class TreeSum(Model, HasFeaturesCol, HasPredictionCol, MLReadable, MLWritable):
     """Predicts ``base`` plus ``weight`` times the sum of the trees' values."""
 

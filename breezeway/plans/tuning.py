@@ -21,13 +21,16 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breezeway.plans.trees import Trees, TreeSum, joined, penalised, tree_of, trees_of
+from breezeway.plans.trees import Trees, TreeSum, joined, penalised, tree_of, trees_of, values_of_leaves
 from breezeway.session import discard, materialise
 
 SEED = 42
 
-#: Rounds whose trees are applied anew for the next residuals; after so many, sums are written.
+#: Rounds whose sums are held by the executors alone; after so many they are written.
 ROUNDS_BETWEEN_WRITES = 10
+#: Training rows of a task: the least worth one, and, once all cores have theirs, the most. A fit of trees sends the
+#: statistics of every open node from each task, so tasks must follow from the rows, not from how the input was split.
+ROWS_OF_A_TASK = (10_000, 100_000)
 
 BOOSTING_GRID = {
     "maxIter": [200, 250], "maxDepth": [7, 9], "stepSize": [0.08, 0.1],
@@ -50,6 +53,13 @@ def with_folds(train: DataFrame, folds: int) -> DataFrame:
     return train.withColumn("fold", F.pmod(F.xxhash64(F.lit(SEED), vector_to_array("features"), "label"), F.lit(folds)))
 
 
+def laid_out(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to tasks by their number (``ROWS_OF_A_TASK``), whatever they came from."""
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    few, many = (-(-n // size) for size in reversed(ROWS_OF_A_TASK))
+    return rows.repartition(max(1, few, min(many, cores)))
+
+
 def r2_of(rows: float, y: float, yy: float, squares: float) -> float:
     """R2 from the sums of rows, labels, squared labels and squared errors."""
     spread = yy - y * y / rows
@@ -195,20 +205,26 @@ class PenalisedBoosting(Estimator):
 
     def _fit(self, dataset: DataFrame) -> TreeSum:
         base = float(dataset.agg(F.avg("label")).first()[0] or 0.0)
-        rows = materialise(dataset.select("features", "label", F.lit(base).alias("margin")), "boosting")
-        kept, recent = [], []
+        written = materialise(laid_out(dataset.select("features", "label", F.lit(base).alias("margin"))), "boosting")
+        grower = DecisionTreeRegressor(labelCol="residual", maxDepth=self.depth, leafCol="leaf", seed=SEED)
+        before, rows, kept = None, written.persist(), []
         for n in range(1, self.rounds + 1):
-            margin = F.col("margin")
-            if recent:
-                margin = margin + TreeSum(joined(recent), 0.0, self.rate).scored(F.col("features"))
-            if len(recent) == ROUNDS_BETWEEN_WRITES:
-                after = materialise(rows.withColumn("margin", margin), "boosting")
-                discard(rows)
-                rows, recent, margin = after, [], F.col("margin")
-            residuals = rows.select("features", (F.col("label") - margin).alias("residual"))
-            fitted = DecisionTreeRegressor(labelCol="residual", maxDepth=self.depth, seed=SEED).fit(residuals)
-            tree = penalised(tree_of(fitted), self.penalty, self.least_gain)
-            kept.append(tree)
-            recent.append(tree)
-        discard(rows)
+            fitted = grower.fit(rows.select("features", (F.col("label") - F.col("margin")).alias("residual")))
+            if before:
+                before.unpersist()
+            grown = tree_of(fitted)
+            kept.append(penalised(grown, self.penalty, self.least_gain))
+            values = F.array(*[F.lit(self.rate * float(v)) for v in values_of_leaves(grown, kept[-1])])
+            added = fitted.setPredictionCol("").transform(rows).select(
+                "features", "label", (F.col("margin") + F.get(values, F.col("leaf").cast("int"))).alias("margin"))
+            if n % ROUNDS_BETWEEN_WRITES == 0:
+                after = materialise(added, "boosting")
+                rows.unpersist()
+                discard(written)
+                before, written, rows = None, after, after.persist()
+            else:
+                before, rows = rows, added.persist()
+        for held in filter(None, (before, rows)):
+            held.unpersist()
+        discard(written)
         return TreeSum(joined(kept), base, self.rate)

@@ -101,6 +101,26 @@ def test_penalised_leaves_equal_sums_over_rows(data):
     assert np.sort(got) == pytest.approx(np.sort(margin), abs=1e-9)
 
 
+def test_rounds_need_no_python_and_few_rows_are_one_task(data, monkeypatch):
+    """Sums of the rounds are kept by the trees' leaves, and equal what the model predicts."""
+    rows, x, _ = data
+    written, write = [], tuning.materialise
+
+    def spy(df, label):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        out = write(df, label)
+        got = sorted((tuple(r.features.toArray()), r.margin) for r in out.collect())
+        written.append(("Python" in plan, df.rdd.getNumPartitions(), got))
+        return out
+
+    monkeypatch.setattr(tuning, "materialise", spy)
+    model = tuning.PenalisedBoosting(rounds=11, depth=4, rate=0.3, penalty=2.0, least_gain=0.05).fit(rows.repartition(7))
+    assert [(python, tasks) for python, tasks, _ in written] == [(False, 1), (False, 1)]
+    features, margins = zip(*written[1][2])
+    want = model.base + 0.3 * model.trees.prefix(10).values(np.array(features)).sum(axis=1)
+    np.testing.assert_allclose(margins, want, atol=1e-9)
+
+
 def test_pruning_takes_splits_that_gain_too_little():
     tree = Trees(np.array([0]), np.array([0, -1, 1, -1, -1]), np.zeros(5), np.array([1, 0, 3, 0, 0]), np.array([2, 0, 4, 0, 0]),
                  np.array([0.0, -2.0, 2.0, 2.0, 2.01]), np.array([40, 20, 20, 10, 10]), np.array([0, 1, 1, 2, 2]))
