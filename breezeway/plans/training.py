@@ -32,7 +32,7 @@ from breezeway.plans.features import (
 )
 from breezeway.plans.registry import register, registry_row, training_metadata
 from breezeway.plans.tuning import (
-    BOOSTING_GRID, FOREST_GRID, SEED, PenalisedBoosting, boosting_search, forest_search,
+    BOOSTING_GRID, FOREST_GRID, SEED, PenalisedBoosting, boosting_search, forest_search, laid_out,
 )
 from breezeway.session import materialise
 
@@ -192,7 +192,7 @@ def evaluate(models: dict[str, object], test: DataFrame) -> DataFrame:
 def train_one(frame: DataFrame, horizon: str, features: list[str], target: str,
               candidates: Candidates, choose: str = "mae", least: int = 1) -> Trained:
     """Fit all candidates on the rows marked ``is_train`` and keep the best on the others."""
-    ready = materialise(assemble(frame.select("is_train", target, *features), features, target), "training")
+    ready = materialise(laid_out(assemble(frame.select("is_train", target, *features), features, target)), "training")
     if not _has_rows(ready, least):
         raise TooFewRows(f"fewer than {least} rows")
     train, test = ready.filter("is_train"), ready.filter(~F.col("is_train"))

@@ -121,6 +121,28 @@ def test_rounds_need_no_python_and_few_rows_are_one_task(data, monkeypatch):
     np.testing.assert_allclose(margins, want, atol=1e-9)
 
 
+def tasks_of(monkeypatch, module, label):
+    """Tasks by which ``module`` writes its tables of this label."""
+    found, write = [], module.materialise
+
+    def spy(df, name):
+        if name == label:
+            found.append(df.rdd.getNumPartitions())
+        return write(df, name)
+
+    monkeypatch.setattr(module, "materialise", spy)
+    return found
+
+
+def test_training_rows_of_a_horizon_are_one_task(spark, monkeypatch):
+    """However the features were split."""
+    found = tasks_of(monkeypatch, training, "training")
+    frame = spark.range(0, 100, numPartitions=9).select(
+        (F.col("id") % 5 > 0).alias("is_train"), (F.col("id") % 3).cast("double").alias("x"), F.col("id").alias("y"))
+    trained = training.train_one(frame, "24h", ["x"], "y", {"RIDGE": training.ridge})
+    assert found == [1] and (trained.training_samples, trained.test_samples) == (80, 20)
+
+
 def test_pruning_takes_splits_that_gain_too_little():
     tree = Trees(np.array([0]), np.array([0, -1, 1, -1, -1]), np.zeros(5), np.array([1, 0, 3, 0, 0]), np.array([2, 0, 4, 0, 0]),
                  np.array([0.0, -2.0, 2.0, 2.0, 2.01]), np.array([40, 20, 20, 10, 10]), np.array([0, 1, 1, 2, 2]))
