@@ -133,7 +133,7 @@ class GridSearch(Estimator):
         self.folds, self.parallelism = folds, parallelism
 
     def _fit(self, dataset: DataFrame) -> Searched:
-        rows = materialise(with_folds(dataset.select("features", "label"), self.folds), "folds")
+        rows = materialise(laid_out(with_folds(dataset.select("features", "label"), self.folds)), "folds")
         jobs = [(k, p) for k in range(self.folds) for p in _prefixes(self.grid, self.shared)]
 
         def one(job) -> list[tuple[Point, float]]:

@@ -143,6 +143,12 @@ def test_training_rows_of_a_horizon_are_one_task(spark, monkeypatch):
     assert found == [1] and (trained.training_samples, trained.test_samples) == (80, 20)
 
 
+def test_folds_of_a_search_are_one_task(data, monkeypatch):
+    found = tasks_of(monkeypatch, tuning, "folds")
+    model = tuning.boosting_search({"maxIter": [1], "maxDepth": [1]}, folds=2).fit(data[0].repartition(9))
+    assert found == [1] and len(model.scores) == 1
+
+
 def test_pruning_takes_splits_that_gain_too_little():
     tree = Trees(np.array([0]), np.array([0, -1, 1, -1, -1]), np.zeros(5), np.array([1, 0, 3, 0, 0]), np.array([2, 0, 4, 0, 0]),
                  np.array([0.0, -2.0, 2.0, 2.0, 2.01]), np.array([40, 20, 20, 10, 10]), np.array([0, 1, 1, 2, 2]))
