@@ -21,7 +21,8 @@ cost one sort; blocks hold the polls that are left.
 
 All of it is windows, joins and array functions on (entity, block). A task holds one block of one
 entity, so a long history of one entity is as many blocks. Work within a block grows with its
-polls left, times the different values among them that repeat one another within 45 minutes.
+polls left times their logarithm: the poll that is stored next is found by the least and greatest
+measures of spans of polls, spans of spans and so on.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ GATE_MICROS = V.GATE_MINUTES * MICROS_PER_MINUTE
 BLOCK_MICROS = 2 * GATE_MICROS
 #: Polls that are looked at before more of a block is searched, and before all the rest is.
 NEAR = (1, 8, 64)
+#: Of so many polls each the least and greatest measures are kept for the search of the rest.
+SPAN = 16
 #: Reasons are gathered in pieces of so many, as an array is copied for each that is added.
 PIECE = 128
 
@@ -97,54 +100,97 @@ def _repeats(last: Column, poll: Column) -> Column:
         & (F.abs(poll["temperature"] - last["temperature"]) < V.GATE_TOLERANCE), F.lit(False))
 
 
-def _elapsed(states: Column, last: Column, start: Column) -> Column:
-    """Place of the first of ``states`` from ``start`` on that is 45 minutes after ``last``, by bisection; their number if none is."""
-    def halve(at: Column, _) -> Column:
-        middle = F.floor((at["a"] + at["b"]) / 2).cast("int")
-        late = F.get(states, middle)["t"] - last["t"] >= GATE_MICROS
-        return F.when(at["a"] >= at["b"], at).when(late, F.struct(at["a"].alias("a"), middle.alias("b"))).otherwise(
-            F.struct((middle + 1).alias("a"), at["b"].alias("b")))
+def _spans(states: Column) -> Column:
+    """Least and greatest of what the gate compares, of each SPAN of ``states``, of each two such spans, each four, …"""
+    def of(part: Column) -> Column:
+        return F.struct(F.element_at(part, -1)["t"].alias("t"), *[
+            f(part[c]).alias(f"{c}_{end}") for c in MEASURES for f, end in ((F.array_min, "low"), (F.array_max, "high"))])
+
+    def both(a: Column, b: Column) -> Column:  # the last one has none beside it
+        return F.struct(F.greatest(a["t"], b["t"]).alias("t"), *[
+            f(a[f"{c}_{end}"], b[f"{c}_{end}"]).alias(f"{c}_{end}")
+            for c in MEASURES for f, end in ((F.least, "low"), (F.greatest, "high"))])
+
+    def level(at: Column, _) -> Column:
+        return let(F.element_at(at, -1), lambda below: F.concat(at, F.array(F.transform(
+            _upto(_halves(F.size(below))), lambda i: both(F.get(below, 2 * i), F.get(below, 2 * i + 1))))))
+
+    n = _ceil(F.size(states), SPAN)
+    lowest = F.transform(_upto(n), lambda i: of(F.slice(states, i * SPAN + 1, SPAN)))
+    return F.aggregate(_upto(_top(n)), F.array(lowest), level)
+
+
+def _upto(n: Column) -> Column:
+    return places(F.lit(0), n)
+
+
+def _ceil(n: Column, size: int) -> Column:
+    return F.floor((n + (size - 1)) / size).cast("int")
+
+
+def _halves(n: Column) -> Column:
+    return _ceil(n, 2)
 
-    n = F.size(states)
-    span = F.struct(F.least(start, n).alias("a"), n.alias("b"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(n))), span, halve, lambda at: at["a"])
 
+def _top(n: Column) -> Column:
+    """So many times ``n`` spans are halved until one is left, at least once."""
+    return F.length(F.bin(n - 1))
 
-def _turns(states: Column) -> Column:
-    """Places of ``states`` whose measures are not those of the one before."""
-    def other(k: Column) -> Column:
-        now, before = F.get(states, k), F.get(states, k - 1)
-        same = now["aqi"] == before["aqi"]
-        for c in MEASURES[1:]:
-            same = same & (now[c] - before[c] == 0)
-        return ~same
 
-    return F.filter(places(F.lit(1), F.size(states)), other)
+def _all_repeat(last: Column, span: Column) -> Column:
+    """Whether no poll of ``span`` is stored after ``last``; false for no span."""
+    same = (span["t"] - last["t"] < GATE_MICROS) & (span["aqi_low"] == last["aqi"]) & (span["aqi_high"] == last["aqi"])
+    for c in MEASURES[1:]:
+        same = same & (span[f"{c}_high"] - last[c] < V.GATE_TOLERANCE) & (last[c] - span[f"{c}_low"] < V.GATE_TOLERANCE)
+    return F.coalesce(same, F.lit(False))
 
 
-def _next(states: Column, turns: Column, last: Column, start: Column) -> Column:
+def _span_of_next(spans: Column, last: Column, start: Column) -> Column:
+    """Number of the first of the lowest ``spans`` from ``start`` on with a poll that is stored after ``last``.
+
+    Goes up as long as wider spans begin where it stands and hold only repeats, and down again inside the first
+    that doesn't. Their number or more if none does.
+    """
+    up, width = (lambda n, j: F.call_function("shiftright", n, j)), (lambda j: F.call_function("shiftleft", F.lit(1), j))
+
+    def passed(at: Column, j: Column) -> Column:
+        return _all_repeat(last, F.get(F.get(spans, j), up(at["n"], j)))
+
+    def rise(at: Column, j: Column) -> Column:
+        moved = F.struct((at["n"] + width(j)).alias("n"), at["within"].alias("within"))
+        return (F.when(at["within"].isNotNull() | (up(at["n"], j) % 2 == 0), at)
+                .when(passed(at, j), moved).otherwise(F.struct(at["n"].alias("n"), j.alias("within"))))
+
+    def sink(at: Column, j: Column) -> Column:
+        moved = F.struct((at["n"] + width(j)).alias("n"), at["within"].alias("within"))
+        return F.when((at["within"].isNull() | (j < at["within"])) & passed(at, j), moved).otherwise(at)
+
+    levels = _upto(F.size(spans))
+    from_start = F.struct(start.cast("int").alias("n"), F.lit(None).cast("int").alias("within"))
+    return F.aggregate(F.reverse(levels), F.aggregate(levels, from_start, rise), sink, lambda at: at["n"])
+
+
+def _next(states: Column, spans: Column, last: Column, start: Column) -> Column:
     """Place of the first of ``states`` from ``start`` on that is stored after ``last``; null if none is.
 
-    Beyond the near ones only ``turns`` are compared, up to the first that is late enough.
+    Beyond the near ones the ``spans`` are searched, in the logarithm of their number.
     """
     n = F.size(states)
     stored = lambda k: ~_repeats(last, F.get(states, k))
-    near = [F.least(start + k, n) for k in NEAR]
-    found = [F.get(F.filter(places(a, b), stored), F.lit(0)) for a, b in zip([start, *near], near)]
-
-    def beyond(late: Column) -> Column:
-        turned = F.filter(turns, lambda k: (k >= near[-1]) & (k < late) & stored(k))
-        return F.coalesce(F.get(turned, F.lit(0)), F.when(late < n, late))
-
-    return F.coalesce(*found, F.when(near[-1] < n, let(_elapsed(states, last, near[-1]), beyond)))
+    first = lambda a, b: F.get(F.filter(places(a, b), stored), F.lit(0))
+    far = _ceil(start + NEAR[-1], SPAN) * SPAN
+    near = [F.least(k, n) for k in (*[start + k for k in NEAR[:-1]], far)]
+    found = [first(a, b) for a, b in zip([start, *near], near)]
+    beyond = let(_span_of_next(spans, last, far / SPAN) * SPAN, lambda a: first(a, F.least(a + SPAN, n)))
+    return F.coalesce(*found, F.when(far < n, beyond))
 
 
-def _ends(states: Column, turns: Column) -> Column:
+def _ends(states: Column, spans: Column) -> Column:
     """For each of ``states``: the place of the last stored one if this one is stored.
 
     The next stored ones are followed in steps of doubled length.
     """
-    follow = F.transform(states, lambda x, i: F.coalesce(_next(states, turns, x, i + 1), i))
+    follow = F.transform(states, lambda x, i: F.coalesce(_next(states, spans, x, i + 1), i))
     return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(states)))), follow,
                        lambda to, _: F.transform(to, lambda k: F.get(to, k)))
 
@@ -165,13 +211,13 @@ def _tables(states: DataFrame, on: list[str]) -> DataFrame:
     earlier = F.coalesce("earlier", F.array().cast(f"array<{_STATE}>"))
     recent = F.filter(earlier, lambda x: x["t"] > F.get("states", F.lit(0))["t"] - GATE_MICROS)
 
-    def table(turns: Column, ends: Column) -> Column:
-        of = lambda x: let(_next(F.col("states"), turns, x, F.lit(0)), lambda k: F.coalesce(F.get(ends, k), F.lit(-1)))
+    def table(spans: Column, ends: Column) -> Column:
+        of = lambda x: let(_next(F.col("states"), spans, x, F.lit(0)), lambda k: F.coalesce(F.get(ends, k), F.lit(-1)))
         return F.concat(F.array(F.get(ends, F.lit(0))), F.transform("recent", of))
 
     return both.withColumn("recent", recent).select(
         *on, (F.size(earlier) - F.size("recent")).alias("skipped"),
-        let(_turns(F.col("states")), lambda turns: let(_ends(F.col("states"), turns), lambda ends: table(turns, ends))).alias("table"))
+        let(_spans(F.col("states")), lambda spans: let(_ends(F.col("states"), spans), lambda ends: table(spans, ends))).alias("table"))
 
 
 def _outcomes(tables: DataFrame, on: list[str]) -> DataFrame:
