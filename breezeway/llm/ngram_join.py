@@ -15,12 +15,18 @@ Equal sets are one class from the start. Within a group of classes that share a
 the class with the most shared segments is the pivot: all others are verified against it.
 Later rounds take more pivots, and only pairs that are not yet in one component. A group
 of near copies so costs a row for each member, not one for each pair.
+
+Before n-grams are read, a pair is checked by sketches: of each of SKETCH_BITS buckets, whether
+an odd number of the set's n-grams fall into it. Buckets in which two sketches differ hold an n-gram
+that only one of the sets has, so sets that differ in more buckets than similar ones do in n-grams
+cannot link. The check stands in the join that pairs members, so that such pairs are never rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +40,10 @@ from breezeway.session import discard, materialise
 #: Class ids are broadcast to filter the documents up to this many (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Larger groups are dealt anew after the pivot's round.
-SMALL_GROUP = 64
+SMALL_GROUP = 1024
+#: Buckets of a set's sketch, in words of 64.
+SKETCH_BITS = 1024
+SKETCH = [f"sketch{i}" for i in range(SKETCH_BITS // 64)]
 #: Pivots of a group grow by this factor a round.
 MORE_PIVOTS = 8
 
@@ -100,6 +109,15 @@ def class_ids(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, ids, 0).astype(np.uint64).view(np.int64)
 
 
+def sketches(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of words for each set: whether the number of its n-grams in each bucket is odd."""
+    words = np.zeros((len(starts) - 1, len(SKETCH)), dtype=np.uint64)
+    bucket = mix(grams ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(SKETCH_BITS)
+    of = np.repeat(np.arange(len(words)), np.diff(starts)) * len(SKETCH)
+    np.bitwise_xor.at(words.reshape(-1), of + (bucket >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bucket & np.uint64(63)))
+    return words.view(np.int64)
+
+
 def _keys(scheme: np.ndarray, segment: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     place = mix((scheme.astype(np.uint64) << np.uint64(40)) + segment.astype(np.uint64))
     return mix(mix(low + place) + high).view(np.int64)
@@ -238,21 +256,22 @@ def allocation(shared: DataFrame, percent: int) -> dict[int, dict[int, int]]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """class and its n-grams for the classes of ``wanted`` (key, class)."""
+    """class, its n-grams and its sketch for the classes of ``wanted`` (key, class)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in chunks(batch.column(0)):
                 grams, starts = ngram_sets(texts, n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(class_ids(grams, starts)),
-                     pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(grams.view(np.int64)))],
-                    ["class", "grams"])
+                     pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(grams.view(np.int64))),
+                     *[pa.array(word) for word in sketches(grams, starts).T]],
+                    ["class", "grams", *SKETCH])
 
     few = wanted.count() <= BROADCAST_IDS
     keys = wanted.select(F.col("key").alias("_wanted"))
     same = F.col("key").eqNullSafe(F.col("_wanted"))
     rows = docs.join(F.broadcast(keys) if few else keys, same, "left_semi").select("text")
-    found = rows.mapInArrow(run, "class bigint, grams array<bigint>")
+    found = rows.mapInArrow(run, "class bigint, grams array<bigint>" + "".join(f", {c} bigint" for c in SKETCH))
     classes = wanted.select("class")
     return found.join(F.broadcast(classes) if few else classes, "class", "left_semi").dropDuplicates(["class"])
 
@@ -311,7 +330,7 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
     """Component of each class that links with another: node, root.
 
     Pairs of a pivot and the others come first. Groups of at most SMALL_GROUP members then
-    go on with more pivots. Members of larger groups are dealt anew, by their pivot and each
+    go on with more pivots, so that a member is compared with fewer than SMALL_GROUP sketches a group. Members of larger groups are dealt anew, by their pivot and each
     of their first n-grams in the pivot's order: copies with many edits of their own start
     with n-grams that nothing else has, so only likely pairs meet again.
     """
@@ -333,15 +352,20 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
     grams_b = sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     linked = 100 * both >= percent * (F.size("grams_a") + F.size("grams_b") - both)
+    differ = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in SKETCH])
+    close = (100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("size_a"))
 
     heads = members.where("rank = 0").select("group", F.col("size").alias("size_a"), F.col("larger").alias("larger_a"),
                                              F.col("deleted").alias("deleted_a"))
     stars = members.where("class <> pivot").join(heads, "group").groupBy(
         F.col("pivot").alias("a"), F.col("class").alias("b")).agg(
         F.max(allowed).alias("allowed"), F.max(F.col("members") > SMALL_GROUP).alias("large"), F.first("size").alias("size"),
-        F.first("_weight").alias("_weight"))
+        F.first("size_a").alias("size_a"), F.first("_weight").alias("_weight"))
+    sketch_a = sets.select(F.col("class").alias("a"), *[F.col(c).alias(f"{c}_a") for c in SKETCH])
+    stars = stars.where("allowed OR large").join(sketch_a, "a").join(sets.select(F.col("class").alias("b"), *SKETCH), "b").where(
+        F.col("large") | close).select("a", "b", "large", "size", "_weight")
     checked = materialise(
-        stars.where("allowed OR large").join(grams_a, "a").join(grams_b, "b").select(
+        stars.join(grams_a, "a").join(grams_b, "b").select(
             "a", "b", linked.alias("linked"), "size", "_weight",
             F.when(F.col("large"), _pivot_order("grams_b", "grams_a", percent)).alias("firsts")), "stars")
     links = checked.where("linked").select("a", "b")
@@ -366,9 +390,11 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
         placed = members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn(
             "root", F.coalesce("root", "class"))
         # groups with a pivot left, and with two components among what is left and the pivots to come
-        after = materialise(
-            placed.where(F.col("rank") >= first).withColumn("_a", F.min("root").over(w))
-            .withColumn("_b", F.max("root").over(w)).where("_a <> _b").drop("_a", "_b"), "members")
+        left = placed.where(F.col("rank") >= first).withColumn("_a", F.min("root").over(w)).withColumn(
+            "_b", F.max("root").over(w)).where("_a <> _b").drop("_a", "_b")
+        if not set(SKETCH) <= set(left.columns):
+            left = left.join(sets.select("class", *SKETCH), "class")
+        after = materialise(left, "members")
         discard(first_members)
         members = first_members = after
         if members.isEmpty():
@@ -376,12 +402,12 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
             return roots
         pivots = members.where(F.col("rank") < last).select(
             "group", F.col("class").alias("a"), *[F.col(c).alias(f"{c}_a") for c in (
-                "size", "larger", "deleted", "rank", "place", "root")])
+                "size", "larger", "deleted", "rank", "place", "root", *SKETCH)])
         # with both at their places in the pivot's order, no more than this many n-grams can be common
         most = F.least(F.col("size") - F.col("place"), F.col("size_a") - F.col("place_a"))
         enough = F.col("place").isNull() | ((100 + percent) * most >= percent * (F.col("size") + F.col("size_a")))
         pairs = members.join(pivots, "group").where(
-            (F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & allowed & enough
+            (F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & allowed & enough & close
         ).select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
         more = materialise(pairs.join(grams_a, "a").join(grams_b, "b").where(linked).select("a", "b"), "links")
         found.append(more)

@@ -128,3 +128,34 @@ def test_allocation_moves_work_to_cheap_segments(spark):
     assert set(moved) <= {1}
     for parts in moved.values():
         assert parts[3] == 0 and sum(a - 1 for a in parts.values()) == 0
+
+
+def test_sketches_differ_in_no_more_buckets_than_sets_in_ngrams():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 3000, n).astype(np.uint64)) for n in (0, 1, 40, 900, 900, 2500)]
+    sets.append(sets[3][:-5])
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    rows = nj.sketches(np.concatenate(sets), starts).view(np.uint64)
+    for x, a in zip(sets, rows):
+        for y, b in zip(sets, rows):
+            assert sum(int(w).bit_count() for w in a ^ b) <= len(np.setxor1d(x, y))
+
+
+def test_ngrams_of_pairs_that_cannot_link_are_not_read(spark, monkeypatch):
+    """Half of each text is the same: the texts share segments, and their sketches show that they differ in too much."""
+    read, write = [], nj.materialise
+
+    def spy(df, label):
+        out = write(df, label)
+        if label in ("stars", "links"):
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(nj, "materialise", spy)
+    common = [f"c{i}" for i in range(300)]
+    docs = [(k, " ".join(common + [f"w{k}x{i}" for i in range(300 - k)])) for k in range(40)]
+    docs += [(100 + k, " ".join([*common, *[f"w0x{i}" for i in range(300 - k)]])) for k in range(1, 4)]
+    got = {r.doc_id: r.component_id for r in nj.similar(
+        spark.createDataFrame(docs, "doc_id long, text string"), n=5, percent=80).collect()}
+    assert got == {k: 0 if k > 100 else k for k, _ in docs}
+    assert sum(read) <= 6  # the four alike; all pairs of a pivot were read before
