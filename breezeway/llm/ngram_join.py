@@ -20,11 +20,14 @@ Before n-grams are read, a pair is checked by sketches: of each of SKETCH_BITS b
 an odd number of the set's n-grams fall into it. Buckets in which two sketches differ hold an n-gram
 that only one of the sets has, so sets that differ in more buckets than similar ones do in n-grams
 cannot link. The check stands in the join that pairs members, so that such pairs are never rows.
+
+Nothing as large as the texts is kept: signatures are shuffled in PARTS by their group, of which the
+groups that classes share are left, and n-grams are made again from the texts, for classes of pairs alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from operator import add
 
@@ -41,6 +44,8 @@ from breezeway.session import discard, materialise
 BROADCAST_IDS = 1_000_000
 #: Larger groups are dealt anew after the pivot's round.
 SMALL_GROUP = 1024
+#: Signatures are shuffled in so many parts, one after the other.
+PARTS = 3
 #: Buckets of a set's sketch, in words of 64.
 SKETCH_BITS = 1024
 SKETCH = [f"sketch{i}" for i in range(SKETCH_BITS // 64)]
@@ -187,8 +192,11 @@ def sizes_and_classes(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, f"key {kind}, n_shingles bigint, class bigint")
 
 
-def _signature_rows(docs: DataFrame, n: int, percent: int, changed: dict | None) -> DataFrame:
-    """Signature rows of each different set of a task: group, class, size, larger, deleted, scheme, segment."""
+def _signature_rows(docs: DataFrame, n: int, percent: int, changed: dict | None, part: int | None = None) -> DataFrame:
+    """Signature rows of each different set of a task: group, class, size, larger, deleted, scheme, segment.
+
+    ``part``: only groups of this one of PARTS.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -206,6 +214,9 @@ def _signature_rows(docs: DataFrame, n: int, percent: int, changed: dict | None)
                 if changed is not None:  # all other schemes stay as they are
                     again = np.isin(rows["scheme"], list(changed))
                     rows = {k: v[again] for k, v in rows.items()}
+                if part is not None:
+                    inside = rows["group"] % PARTS == part
+                    rows = {k: v[inside] for k, v in rows.items()}
                 of = rows["set"]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(rows["group"]), pa.array(ids[new][of]), pa.array(sizes[of].astype(np.int32)),
@@ -255,25 +266,41 @@ def allocation(shared: DataFrame, percent: int) -> dict[int, dict[int, int]]:
     return {j: parts for j, parts in out.items() if parts}
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """class, its n-grams and its sketch for the classes of ``wanted`` (key, class)."""
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, what: str) -> DataFrame:
+    """class and its n-grams (``what``: "grams") or its sketch ("sketch") for the classes of ``wanted`` (key, class)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in chunks(batch.column(0)):
                 grams, starts = ngram_sets(texts, n)
+                if what == "sketch":
+                    columns = [pa.array(word) for word in sketches(grams, starts).T]
+                else:
+                    columns = [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(grams.view(np.int64)))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(class_ids(grams, starts)),
-                     pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(grams.view(np.int64))),
-                     *[pa.array(word) for word in sketches(grams, starts).T]],
-                    ["class", "grams", *SKETCH])
+                    [pa.array(class_ids(grams, starts)), *columns], ["class", *(SKETCH if what == "sketch" else ["grams"])])
 
     few = wanted.count() <= BROADCAST_IDS
     keys = wanted.select(F.col("key").alias("_wanted"))
     same = F.col("key").eqNullSafe(F.col("_wanted"))
     rows = docs.join(F.broadcast(keys) if few else keys, same, "left_semi").select("text")
-    found = rows.mapInArrow(run, "class bigint, grams array<bigint>" + "".join(f", {c} bigint" for c in SKETCH))
+    found = rows.mapInArrow(run, "class bigint" + (
+        "".join(f", {c} bigint" for c in SKETCH) if what == "sketch" else ", grams array<bigint>"))
     classes = wanted.select("class")
-    return found.join(F.broadcast(classes) if few else classes, "class", "left_semi").dropDuplicates(["class"])
+    found = found.join(F.broadcast(classes) if few else classes, "class", "left_semi")
+    return found.repartition("class").dropDuplicates(["class"])
+
+
+def _side_by_side(docs: DataFrame, wanted: DataFrame, pairs: DataFrame, n: int,
+                  select: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """``select`` of ``pairs`` (a, b: classes of ``wanted``) with grams_a and grams_b, written."""
+    both = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    classes = materialise(both.join(wanted, "class"), "wanted")
+    sets = _sets(docs, classes, n, "grams")
+    grams_a = sets.select(F.col("class").alias("a"), F.col("grams").alias("grams_a"))
+    grams_b = sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b"))
+    out = materialise(select(pairs.join(grams_a, "a").join(grams_b, "b")), label)
+    discard(classes)
+    return out
 
 
 def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -288,14 +315,16 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int
     """
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = materialise(sizes_and_classes(plain, n), "sets")
-    shared = materialise(_shared(_signature_rows(plain, n, percent, None)), "shared")
+    parts = [materialise(_shared(_signature_rows(plain, n, percent, None, part)), "shared") for part in range(PARTS)]
+    shared = reduce(DataFrame.unionByName, parts)
     if changed := allocation(shared, percent):
         anew = _shared(_signature_rows(plain, n, percent, changed))
         kept = shared.where(~F.col("scheme").isin(list(changed)))
-        before, shared = shared, materialise(kept.unionByName(anew.select(*kept.columns)), "shared")
-        discard(before)
+        shared = materialise(kept.unionByName(anew.select(*kept.columns)), "shared")
+        discard(*parts)
+        parts = [shared]
     roots = _components(plain, rows, shared, n, percent)
-    discard(shared)
+    discard(*parts)
     return _labelled(rows, roots).withColumnRenamed("key", key)
 
 
@@ -308,12 +337,19 @@ def deduplicated(
     """
     labels = similar(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), key="key", text="text",
                      n=n, percent=percent)
-    kept = labels.where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("_kept_key"))
-    plain = docs.select(F.struct(*docs.columns).alias("kept"), F.col(key).alias("key"),
-                        F.xxhash64(text).alias("_text"))
-    stay = plain.join(kept, F.col("key").eqNullSafe(F.col("_kept_key")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("key", "_text").orderBy(F.lit(0)))
-    return stay.withColumn("_nth", first).where("_nth = 1").select("kept.*")
+    marked = materialise(labels.groupBy(F.col("key").alias("_key")).agg(
+        F.max(F.col("key").eqNullSafe(F.col("component_id"))).alias("_stays"), F.count(F.lit(1)).alias("_n")).where(
+        "NOT _stays OR _n > 1"), "marked")
+    plain = docs.select(F.struct(*docs.columns).alias("kept"), F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def of(keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select("_key")
+        few = keys.count() <= BROADCAST_IDS
+        return plain.join(F.broadcast(keys) if few else keys, F.col("key").eqNullSafe(F.col("_key")), how)
+
+    first = F.row_number().over(Window.partitionBy("key", F.xxhash64("text")).orderBy(F.lit(0)))
+    again = of(marked.where("_stays"), "left_semi").withColumn("_nth", first).where("_nth = 1")
+    return of(marked, "left_anti").select("kept.*").unionByName(again.select("kept.*"))
 
 
 def _pivot_order(grams: str, pivot: str, percent: int) -> Column:
@@ -344,12 +380,9 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
         .select("group", "class", "size", "larger", "deleted", "rank", "place", "_weight", "members", "pivot"), "members")
     wanted = members.select("class").distinct().join(rows, "class").groupBy("class").agg(F.min("key").alias("key"))
     wanted = materialise(wanted, "wanted")
-    sets = materialise(_sets(plain, wanted, n), "grams")
-    discard(wanted)
+    sets = materialise(_sets(plain, wanted, n, "sketch"), "sketches")
     fits = 100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a")
     allowed = fits & ~(F.col("larger") & F.col("larger_a")) & ~(F.col("deleted") & F.col("deleted_a"))
-    grams_a = sets.select(F.col("class").alias("a"), F.col("grams").alias("grams_a"))
-    grams_b = sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     linked = 100 * both >= percent * (F.size("grams_a") + F.size("grams_b") - both)
     differ = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in SKETCH])
@@ -364,10 +397,11 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
     sketch_a = sets.select(F.col("class").alias("a"), *[F.col(c).alias(f"{c}_a") for c in SKETCH])
     stars = stars.where("allowed OR large").join(sketch_a, "a").join(sets.select(F.col("class").alias("b"), *SKETCH), "b").where(
         F.col("large") | close).select("a", "b", "large", "size", "_weight")
-    checked = materialise(
-        stars.join(grams_a, "a").join(grams_b, "b").select(
-            "a", "b", linked.alias("linked"), "size", "_weight",
-            F.when(F.col("large"), _pivot_order("grams_b", "grams_a", percent)).alias("firsts")), "stars")
+    stars = materialise(stars, "pairs")
+    checked = _side_by_side(plain, wanted, stars, n, lambda pairs: pairs.select(
+        "a", "b", linked.alias("linked"), "size", "_weight",
+        F.when(F.col("large"), _pivot_order("grams_b", "grams_a", percent)).alias("firsts")), "stars")
+    discard(stars)
     links = checked.where("linked").select("a", "b")
     found = []
 
@@ -398,7 +432,7 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
         discard(first_members)
         members = first_members = after
         if members.isEmpty():
-            discard(members, sets, checked, *found)
+            discard(members, sets, wanted, checked, *found)
             return roots
         pivots = members.where(F.col("rank") < last).select(
             "group", F.col("class").alias("a"), *[F.col(c).alias(f"{c}_a") for c in (
@@ -406,16 +440,18 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
         # with both at their places in the pivot's order, no more than this many n-grams can be common
         most = F.least(F.col("size") - F.col("place"), F.col("size_a") - F.col("place_a"))
         enough = F.col("place").isNull() | ((100 + percent) * most >= percent * (F.col("size") + F.col("size_a")))
-        pairs = members.join(pivots, "group").where(
+        pairs = materialise(members.join(pivots, "group").where(
             (F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & allowed & enough & close
-        ).select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
-        more = materialise(pairs.join(grams_a, "a").join(grams_b, "b").where(linked).select("a", "b"), "links")
-        found.append(more)
+        ).select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct(), "pairs")
         members = members.drop("root")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            before, roots = roots, components()
-            discard(before)
+        if not pairs.isEmpty():
+            more = _side_by_side(plain, wanted, pairs, n, lambda checked: checked.where(linked).select("a", "b"), "links")
+            found.append(more)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                before, roots = roots, components()
+                discard(before)
+        discard(pairs)
         first, last = last, last + (last - first) * MORE_PIVOTS
 
 

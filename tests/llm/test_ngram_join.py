@@ -159,3 +159,38 @@ def test_ngrams_of_pairs_that_cannot_link_are_not_read(spark, monkeypatch):
         spark.createDataFrame(docs, "doc_id long, text string"), n=5, percent=80).collect()}
     assert got == {k: 0 if k > 100 else k for k, _ in docs}
     assert sum(read) <= 6  # the four alike; all pairs of a pivot were read before
+
+
+def test_signatures_come_in_parts_that_are_all_of_them(spark):
+    docs = spark.createDataFrame(corpus(5), SCHEMA).repartition(2)
+    whole = nj._signature_rows(docs, 3, 90, None).collect()
+    parts = [nj._signature_rows(docs, 3, 90, None, part).collect() for part in range(nj.PARTS)]
+    assert sorted(map(tuple, whole)) == sorted(tuple(r) for rows in parts for r in rows)
+    groups = [{r.group for r in rows} for rows in parts]
+    assert all(groups) and len(set().union(*groups)) == sum(map(len, groups))
+
+
+def test_ngrams_are_made_for_classes_of_pairs_alone_and_no_text_is_shuffled(spark, monkeypatch):
+    """Texts of one half in common share segments, but only the few with like sketches have their n-grams read."""
+    made, write, sets = [], nj.materialise, nj._sets
+
+    def spy(docs, wanted, n, what):
+        if what == "grams":
+            made.append(wanted.count())
+        return sets(docs, wanted, n, what)
+
+    def no_grams(df, label):
+        assert "grams" not in df.columns
+        return write(df, label)
+
+    monkeypatch.setattr(nj, "materialise", no_grams)
+    monkeypatch.setattr(nj, "_sets", spy)
+    common = [f"c{i}" for i in range(300)]
+    docs = [(k, " ".join(common + [f"w{k}x{i}" for i in range(300 - k)])) for k in range(40)]
+    docs += [(100 + k, " ".join([*common, *[f"w0x{i}" for i in range(300 - k)]])) for k in range(1, 4)]
+    docs += [docs[-1], (5, docs[0][1]), (5, docs[5][1])]  # a repeated row; a key of two texts; a repeated row
+    kept = nj.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), n=5, percent=80)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([*range(40), 5])
+    assert 0 < sum(made) <= 8
+    whole = [x for x in kept._jdf.queryExecution().executedPlan().toString().split("\n") if "SortMergeJoin" in x]
+    assert not whole, "documents are joined by a shuffle of their texts"
