@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from breezeway.llm.components import contract
 from breezeway.llm.textarrays import Texts, chunks, hash_words, mix, split_words
-from breezeway.session import discard, materialise
+from breezeway.session import discard, materialise, release_shuffles
 
 #: Class ids are broadcast to filter the documents up to this many (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -300,6 +300,7 @@ def _side_by_side(docs: DataFrame, wanted: DataFrame, pairs: DataFrame, n: int,
     grams_b = sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b"))
     out = materialise(select(pairs.join(grams_a, "a").join(grams_b, "b")), label)
     discard(classes)
+    release_shuffles(docs.sparkSession)
     return out
 
 
@@ -315,7 +316,10 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int
     """
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = materialise(sizes_and_classes(plain, n), "sets")
-    parts = [materialise(_shared(_signature_rows(plain, n, percent, None, part)), "shared") for part in range(PARTS)]
+    parts = []
+    for part in range(PARTS):
+        parts.append(materialise(_shared(_signature_rows(plain, n, percent, None, part)), "shared"))
+        release_shuffles(docs.sparkSession)
     shared = reduce(DataFrame.unionByName, parts)
     if changed := allocation(shared, percent):
         anew = _shared(_signature_rows(plain, n, percent, changed))
@@ -381,6 +385,7 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
     wanted = members.select("class").distinct().join(rows, "class").groupBy("class").agg(F.min("key").alias("key"))
     wanted = materialise(wanted, "wanted")
     sets = materialise(_sets(plain, wanted, n, "sketch"), "sketches")
+    release_shuffles(plain.sparkSession)
     fits = 100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a")
     allowed = fits & ~(F.col("larger") & F.col("larger_a")) & ~(F.col("deleted") & F.col("deleted_a"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
