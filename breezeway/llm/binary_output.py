@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from breezeway.llm.tokens import Block, blocks
+from breezeway.session import bound_batches
 
 
 class Rooms:
@@ -121,6 +122,7 @@ def pack_rows(
             first += out.num_rows
             yield out
 
+    bound_batches(docs.sparkSession)
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([
         T.StructField("sequence_id", T.LongType()), T.StructField("keys", T.ArrayType(plain.schema["key"].dataType)),

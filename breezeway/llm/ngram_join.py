@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from breezeway.llm.components import contract
 from breezeway.llm.textarrays import Texts, chunks, hash_words, mix, split_words
-from breezeway.session import discard, materialise, release_shuffles
+from breezeway.session import bound_batches, discard, materialise, release_shuffles
 
 #: Class ids are broadcast to filter the documents up to this many (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -314,6 +314,7 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int
     key counts as the largest. An empty table gives an empty one. Sets are told apart by
     64-bit hashes of their n-grams and of the whole.
     """
+    bound_batches(docs.sparkSession)
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = materialise(sizes_and_classes(plain, n), "sets")
     parts = []

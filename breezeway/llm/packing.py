@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from breezeway.llm.tokens import Block, blocks, sentence_enders
+from breezeway.session import bound_batches
 
 WINDOW = 1024
 #: Spare cuts inside a sentence stand this far apart.
@@ -126,6 +127,7 @@ def pack(
             first += len(ends)
 
     numbers = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padding"]
+    bound_batches(docs.sparkSession)
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([
         T.StructField("key", plain.schema["key"].dataType), *[T.StructField(n, T.LongType()) for n in numbers],
