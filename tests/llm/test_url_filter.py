@@ -81,3 +81,26 @@ def test_addresses_are_hosts_without_parents(spark):
                                    "pattern string, at timestamp, added boolean")
     rows = uf.active_entries(df.withColumn("at", uf.F.lit(T0)), listed).collect()
     assert {r.key for r in rows if r.blocked} == {0, 3}
+
+
+@pytest.mark.parametrize("hot", [0, 5, 10_000])
+def test_a_long_list_is_not_broadcast_however_small_its_files_are(spark, monkeypatch, hot):
+    """Only the entries of hot hosts are, the others are merged; the rows are the same."""
+    monkeypatch.setattr(uf, "BROADCAST_ROWS", 40)
+    monkeypatch.setattr(uf, "HOT_ROWS", hot)
+    captures, changes = table(3)
+    got = uf.active_entries(spark.createDataFrame(captures, "key long, url string, at timestamp").repartition(4),
+                            spark.createDataFrame(changes, "pattern string, at timestamp, added boolean"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join Inner" in x]
+    assert "strategy=merge" in joins[0] and all("strategy=" in x for x in joins)
+    assert sorted(str(tuple(r)) for r in got.collect()) == brute(captures, changes)
+
+
+def test_a_list_of_long_patterns_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(uf, "BROADCAST_BYTES", 100)
+    captures, changes = table(4)
+    got = uf.active_entries(spark.createDataFrame(captures, "key long, url string, at timestamp"),
+                            spark.createDataFrame(changes, "pattern string, at timestamp, added boolean"))
+    assert "strategy=merge" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(str(tuple(r)) for r in got.collect()) == brute(captures, changes)
