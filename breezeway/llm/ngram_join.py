@@ -23,10 +23,13 @@ cannot link. The check stands in the join that pairs members, so that such pairs
 
 Nothing as large as the texts is kept: signatures are shuffled in PARTS by their group, of which the
 groups that classes share are left, and n-grams are made again from the texts, for classes of pairs alone.
+Pairs grow faster than the documents, so they are checked in passes, each of which shuffles n-grams in
+proportion to the documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from operator import add
@@ -46,6 +49,8 @@ BROADCAST_IDS = 1_000_000
 SMALL_GROUP = 1024
 #: Signatures are shuffled in so many parts, one after the other.
 PARTS = 3
+#: The n-grams of the pairs of a pass are at most this share of those of all documents.
+PASS_SHARE = 1 / 3
 #: Buckets of a set's sketch, in words of 64.
 SKETCH_BITS = 1024
 SKETCH = [f"sketch{i}" for i in range(SKETCH_BITS // 64)]
@@ -192,10 +197,12 @@ def sizes_and_classes(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, f"key {kind}, n_shingles bigint, class bigint")
 
 
-def _signature_rows(docs: DataFrame, n: int, percent: int, changed: dict | None, part: int | None = None) -> DataFrame:
+def _signature_rows(
+    docs: DataFrame, n: int, percent: int, changed: dict | None, part: int | None = None, parts: int = PARTS,
+) -> DataFrame:
     """Signature rows of each different set of a task: group, class, size, larger, deleted, scheme, segment.
 
-    ``part``: only groups of this one of PARTS.
+    ``part``: only groups of this one of ``parts``.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -215,7 +222,7 @@ def _signature_rows(docs: DataFrame, n: int, percent: int, changed: dict | None,
                     again = np.isin(rows["scheme"], list(changed))
                     rows = {k: v[again] for k, v in rows.items()}
                 if part is not None:
-                    inside = rows["group"] % PARTS == part
+                    inside = rows["group"] % parts == part
                     rows = {k: v[inside] for k, v in rows.items()}
                 of = rows["set"]
                 yield pa.RecordBatch.from_arrays([
@@ -250,10 +257,10 @@ def allocation(shared: DataFrame, percent: int) -> dict[int, dict[int, int]]:
     work = per_group.groupBy("scheme", "segment").agg(
         F.sum(F.col("_n") * F.col("_n")).alias("work"), F.sum(F.col("_n")).alias("rows"), F.avg("_size").alias("size"))
     w = Window.partitionBy("scheme")
-    table = work.withColumn("usual", F.percentile_approx("work", 0.5).over(w)).where(
-        "work > 1000 + 8 * usual").orderBy("scheme", F.desc("work"))
+    table = materialise(work.withColumn("usual", F.percentile_approx("work", 0.5).over(w)).where(
+        "work > 1000 + 8 * usual"), "work")
     out: dict[int, dict[int, int]] = {}
-    for row in table.toLocalIterator():
+    for row in table.orderBy("scheme", F.desc("work")).toLocalIterator():
         _, segments, _ = bands(percent, 1 << max(int(row.size).bit_length() + 1, 4))
         m = int(segments[row.scheme]) if row.scheme < len(segments) else 0
         parts = out.setdefault(row.scheme, {})
@@ -263,9 +270,22 @@ def allocation(shared: DataFrame, percent: int) -> dict[int, dict[int, int]]:
         cheap = next((i for i in range(m) if i not in parts and i != row.segment), None)
         if cheap is not None and row.work > extra and 2 * (len(parts) + 2) <= m:
             parts[row.segment], parts[cheap] = 0, 2
+    discard(table)
     return {j: parts for j, parts in out.items() if parts}
 
 
+def _parts_of(rows: DataFrame, percent: int, changed: dict[int, dict[int, int]]) -> int:
+    """Parts for the signatures of the schemes ``changed``, by the share of n-grams dealt in them.
+
+    Twice as many as the share alone would need: empty segments and sets less one n-gram have signatures there too.
+    """
+    size = F.col("n_shingles")
+    low = [int(x) for x in bands(percent, 1 << 40)[0]] + [1 << 62] * 2
+    dealt = reduce(add, [F.when((size >= low[j]) & (size < low[j + 2]), size).otherwise(0) for j in changed])
+    there, whole = rows.agg(F.sum(dealt).alias("there"), F.sum(size).alias("whole")).first()
+    return max(1, math.ceil(PARTS * there / max(whole, 1)))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, n: int, what: str) -> DataFrame:
     """class and its n-grams (``what``: "grams") or its sketch ("sketch") for the classes of ``wanted`` (key, class)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,9 +300,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, what: str) -> DataFrame:
                     [pa.array(class_ids(grams, starts)), *columns], ["class", *(SKETCH if what == "sketch" else ["grams"])])
 
     few = wanted.count() <= BROADCAST_IDS
-    keys = wanted.select(F.col("key").alias("_wanted"))
-    same = F.col("key").eqNullSafe(F.col("_wanted"))
-    rows = docs.join(F.broadcast(keys) if few else keys, same, "left_semi").select("text")
+    # by hash, which is one number and never null: a table of those is a third as large; the classes are compared below
+    keys = wanted.select(F.xxhash64("key").alias("_wanted"))
+    rows = docs.join(F.broadcast(keys) if few else keys, F.xxhash64("key") == F.col("_wanted"), "left_semi").select("text")
     found = rows.mapInArrow(run, "class bigint" + (
         "".join(f", {c} bigint" for c in SKETCH) if what == "sketch" else ", grams array<bigint>"))
     classes = wanted.select("class")
@@ -290,17 +310,31 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, what: str) -> DataFrame:
     return found.repartition("class").dropDuplicates(["class"])
 
 
-def _side_by_side(docs: DataFrame, wanted: DataFrame, pairs: DataFrame, n: int,
-                  select: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
-    """``select`` of ``pairs`` (a, b: classes of ``wanted``) with grams_a and grams_b, written."""
-    both = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    classes = materialise(both.join(wanted, "class"), "wanted")
-    sets = _sets(docs, classes, n, "grams")
-    grams_a = sets.select(F.col("class").alias("a"), F.col("grams").alias("grams_a"))
-    grams_b = sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b"))
-    out = materialise(select(pairs.join(grams_a, "a").join(grams_b, "b")), label)
+def _side_by_side(docs: DataFrame, wanted: DataFrame, pairs: DataFrame, n: int, most: float,
+                  select: Callable[[DataFrame], DataFrame], label: str) -> list[DataFrame]:
+    """``select`` of ``pairs`` (a, b: classes of ``wanted``) with grams_a and grams_b, written.
+
+    Pairs are dealt to passes, so that those of a pass have about ``most`` n-grams. A table a pass.
+    """
+    def classes_of(pairs: DataFrame) -> DataFrame:
+        both = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+        return materialise(both.groupBy("class").agg(F.count(F.lit(1)).alias("_pairs")).join(wanted, "class"), "wanted")
+
+    classes = classes_of(pairs)
+    grams = classes.agg(F.sum(F.col("_pairs") * F.col("n_shingles"))).first()[0] or 0
+    passes = max(1, math.ceil(grams / max(most, 1)))
+    out = []
+    for k in range(passes):
+        some = pairs if passes == 1 else pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(passes)) == k)
+        if passes > 1:
+            discard(classes)
+            classes = classes_of(some)
+        sets = _sets(docs, classes, n, "grams")
+        grams_a = sets.select(F.col("class").alias("a"), F.col("grams").alias("grams_a"))
+        grams_b = sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b"))
+        out.append(materialise(select(some.join(grams_a, "a").join(grams_b, "b")), label))
+        release_shuffles(docs.sparkSession)
     discard(classes)
-    release_shuffles(docs.sparkSession)
     return out
 
 
@@ -323,11 +357,15 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int
         release_shuffles(docs.sparkSession)
     shared = reduce(DataFrame.unionByName, parts)
     if changed := allocation(shared, percent):
-        anew = _shared(_signature_rows(plain, n, percent, changed))
-        kept = shared.where(~F.col("scheme").isin(list(changed)))
-        shared = materialise(kept.unionByName(anew.select(*kept.columns)), "shared")
+        kept = materialise(shared.where(~F.col("scheme").isin(list(changed))), "shared")
         discard(*parts)
-        parts = [shared]
+        pieces = _parts_of(rows, percent, changed)
+        parts = [kept]
+        for part in range(pieces):
+            anew = _shared(_signature_rows(plain, n, percent, changed, part, pieces))
+            parts.append(materialise(anew.select(*kept.columns), "shared"))
+            release_shuffles(docs.sparkSession)
+        shared = reduce(DataFrame.unionByName, parts)
     roots = _components(plain, rows, shared, n, percent)
     discard(*parts)
     return _labelled(rows, roots).withColumnRenamed("key", key)
@@ -383,8 +421,10 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
         .withColumn("members", F.count(F.lit(1)).over(w)).withColumn("pivot", F.first("class").over(in_order))
         .withColumn("place", F.lit(None).cast("int"))
         .select("group", "class", "size", "larger", "deleted", "rank", "place", "_weight", "members", "pivot"), "members")
-    wanted = members.select("class").distinct().join(rows, "class").groupBy("class").agg(F.min("key").alias("key"))
+    wanted = members.select("class").distinct().join(rows, "class").groupBy("class").agg(
+        F.min("key").alias("key"), F.max("n_shingles").alias("n_shingles"))
     wanted = materialise(wanted, "wanted")
+    most = PASS_SHARE * (rows.agg(F.sum("n_shingles")).first()[0] or 0)
     sets = materialise(_sets(plain, wanted, n, "sketch"), "sketches")
     release_shuffles(plain.sparkSession)
     fits = 100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a")
@@ -404,10 +444,11 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
     stars = stars.where("allowed OR large").join(sketch_a, "a").join(sets.select(F.col("class").alias("b"), *SKETCH), "b").where(
         F.col("large") | close).select("a", "b", "large", "size", "_weight")
     stars = materialise(stars, "pairs")
-    checked = _side_by_side(plain, wanted, stars, n, lambda pairs: pairs.select(
+    passes = _side_by_side(plain, wanted, stars, n, most, lambda pairs: pairs.select(
         "a", "b", linked.alias("linked"), "size", "_weight",
         F.when(F.col("large"), _pivot_order("grams_b", "grams_a", percent)).alias("firsts")), "stars")
     discard(stars)
+    checked = reduce(DataFrame.unionByName, passes)
     links = checked.where("linked").select("a", "b")
     found = []
 
@@ -438,21 +479,22 @@ def _components(plain: DataFrame, rows: DataFrame, shared: DataFrame, n: int, pe
         discard(first_members)
         members = first_members = after
         if members.isEmpty():
-            discard(members, sets, wanted, checked, *found)
+            discard(members, sets, wanted, *passes, *found)
             return roots
         pivots = members.where(F.col("rank") < last).select(
             "group", F.col("class").alias("a"), *[F.col(c).alias(f"{c}_a") for c in (
                 "size", "larger", "deleted", "rank", "place", "root", *SKETCH)])
         # with both at their places in the pivot's order, no more than this many n-grams can be common
-        most = F.least(F.col("size") - F.col("place"), F.col("size_a") - F.col("place_a"))
-        enough = F.col("place").isNull() | ((100 + percent) * most >= percent * (F.col("size") + F.col("size_a")))
+        common = F.least(F.col("size") - F.col("place"), F.col("size_a") - F.col("place_a"))
+        enough = F.col("place").isNull() | ((100 + percent) * common >= percent * (F.col("size") + F.col("size_a")))
         pairs = materialise(members.join(pivots, "group").where(
             (F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & allowed & enough & close
         ).select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct(), "pairs")
         members = members.drop("root")
         if not pairs.isEmpty():
-            more = _side_by_side(plain, wanted, pairs, n, lambda checked: checked.where(linked).select("a", "b"), "links")
-            found.append(more)
+            new = _side_by_side(plain, wanted, pairs, n, most, lambda pairs: pairs.where(linked).select("a", "b"), "links")
+            found += new
+            more = reduce(DataFrame.unionByName, new)
             if not more.isEmpty():
                 links = links.unionByName(more)
                 before, roots = roots, components()

@@ -194,3 +194,43 @@ def test_ngrams_are_made_for_classes_of_pairs_alone_and_no_text_is_shuffled(spar
     assert 0 < sum(made) <= 8
     whole = [x for x in kept._jdf.queryExecution().executedPlan().toString().split("\n") if "SortMergeJoin" in x]
     assert not whole, "documents are joined by a shuffle of their texts"
+
+
+def test_pairs_are_checked_in_passes_of_few_ngrams(spark, monkeypatch):
+    """With little room for n-grams at once, there are more passes and the same components."""
+    tables, write = [], nj.materialise
+
+    def spy(df, label):
+        out = write(df, label)
+        if label == "stars":
+            tables.append(out.count())
+        return out
+
+    monkeypatch.setattr(nj, "materialise", spy)
+    monkeypatch.setattr(nj, "PASS_SHARE", 0.05)
+    rows = corpus(6)
+    got = nj.similar(spark.createDataFrame(rows, SCHEMA).repartition(3), n=3, percent=90)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+    assert len(tables) > 2 and max(tables) < sum(tables)
+
+
+def test_changed_schemes_are_dealt_to_parts_by_their_share(spark, monkeypatch):
+    """All schemes changed: as many n-grams as twice those of all sets, so twice PARTS; few of them: one part."""
+    rows = corpus(7)
+    low = nj.bands(90, 1 << 10)[0]
+    sizes = spark.createDataFrame([(len(rows), 10), (len(rows), 400), (len(rows), 0)], "key long, n_shingles long")
+    of = lambda size: int(np.searchsorted(low, size, side="right") - 1)
+    assert nj._parts_of(sizes, 90, {of(10): {}}) == 1
+    assert nj._parts_of(sizes, 90, {j: {} for j in range(of(400) + 1)}) == 2 * nj.PARTS
+    read, signed = [], nj._signature_rows
+
+    def spy(docs, n, percent, changed, part=None, parts=nj.PARTS):
+        read.append((changed is not None, part, parts))
+        return signed(docs, n, percent, changed, part, parts)
+
+    monkeypatch.setattr(nj, "_signature_rows", spy)
+    monkeypatch.setattr(nj, "allocation", lambda shared, percent: {
+        j: {0: 0, 1: 2} for j in range(len(low)) if nj.bands(percent, 1 << 10)[1][j] > 3})
+    got = nj.similar(spark.createDataFrame(rows, SCHEMA).repartition(3), n=3, percent=90)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+    assert [part for again, part, _ in read if again] == list(range(read[-1][2])) and read[-1][2] > 1

@@ -3,10 +3,11 @@
 import os
 import subprocess
 import sys
+import time
 
 from pyspark.sql import functions as F
 
-from breezeway.session import discard, materialise
+from breezeway.session import discard, materialise, shuffles_go
 
 ALONE = """
 import sys
@@ -41,3 +42,26 @@ def test_discarded_tables_are_gone_and_others_stay(spark):
     plain = spark.range(2)
     discard(a, plain)
     assert not os.path.exists(a._scratch) and b.count() == 4 and plain.agg(F.count("id")).first()[0] == 2
+
+
+def test_shuffle_files_of_a_written_table_are_gone(spark):
+    name, files = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", spark._jvm.org.apache.spark.SparkEnv.get()
+    before = spark.conf.get(name, None)
+
+    def kept():
+        folders = files.blockManager().diskBlockManager().localDirs()
+        return {x for folder in folders for _, _, names in os.walk(folder.getPath()) for x in names if x.startswith("shuffle_")}
+
+    there = kept()
+    rows = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    table = materialise(rows, "rows")
+    for _ in range(50):  # they go in the background
+        if kept() <= there:
+            break
+        time.sleep(0.1)
+    assert kept() <= there
+    assert sum(r["count"] for r in table.collect()) == 1000
+    assert rows.count() == 7 and spark.conf.get(name, None) == before
+    with shuffles_go(spark):
+        assert spark.conf.get(name) == "true"
+    discard(table)
