@@ -300,7 +300,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, what: str) -> DataFrame:
                     [pa.array(class_ids(grams, starts)), *columns], ["class", *(SKETCH if what == "sketch" else ["grams"])])
 
     few = wanted.count() <= BROADCAST_IDS
-    # by hash, which is one number and never null: a table of those is a third as large; the classes are compared below
+    # by hash, which is one number and never null: a table of those is less than half as large; classes are compared below
     keys = wanted.select(F.xxhash64("key").alias("_wanted"))
     rows = docs.join(F.broadcast(keys) if few else keys, F.xxhash64("key") == F.col("_wanted"), "left_semi").select("text")
     found = rows.mapInArrow(run, "class bigint" + (
